@@ -1,0 +1 @@
+"""Empty: every input of these analyses is a bounded table, so there is no streaming job."""
