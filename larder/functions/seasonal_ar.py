@@ -9,6 +9,8 @@ import numpy as np
 
 Z95 = 1.959964
 MIN_ROWS = 30
+BOUND = 0.999
+MAX_STEPS = 25
 
 
 def _lagged(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
@@ -19,31 +21,60 @@ def _solve(a: np.ndarray, b: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
     return np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
 
 
+def _polynomial(a: float, b: float, season: int) -> np.ndarray:
+    return np.convolve([1.0, -a], np.r_[1.0, np.zeros(season - 1), -b])
+
+
+def _errors(z: np.ndarray, a: float, b: float, c: float, season: int) -> np.ndarray:
+    """One-step errors of (1 - aL)(1 - bL^s) z = (1 + cL) e, starting from zero."""
+    level = _polynomial(a, b, season)
+    filtered = np.convolve(z, level)[len(level) - 1: len(z)]
+    errors = np.zeros(len(filtered))
+    last = 0.0
+    for t, value in enumerate(filtered):
+        last = errors[t] = value - c * last
+    return errors
+
+
+def _start(z: np.ndarray, season: int) -> np.ndarray:
+    """Two-stage regression: a long autoregression gives errors, whose lag joins the lags of z."""
+    past = 2 * season
+    own = _lagged(z, list(range(1, past + 1)), past)
+    shocks = np.r_[np.zeros(past), z[past:] - own @ _solve(own, z[past:])]
+    start = past + season + 1
+    terms = np.column_stack([_lagged(z, [1, season, season + 1], start), shocks[start - 1: -1]])
+    return _solve(terms, z[start:])[[0, 1, 3]]
+
+
 def fit_seasonal_ar(y: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Two-stage least squares for (1 - aL)(1 - bL^s)(1 - L)(1 - L^s) y = (1 + cL) e.
+    """Conditional least squares for (1 - aL)(1 - bL^s)(1 - L)(1 - L^s) y = (1 + cL) e.
 
-    Stage one regresses the differenced series on its own past to get residuals; stage
-    two regresses it on its lags 1, s and s + 1 and on the last residual. Returns the
-    autoregressive polynomial of y, the residuals and c.
+    Returns the autoregressive polynomial of y, the errors and c.
     """
     differences = np.convolve([1.0, -1.0], np.r_[1.0, np.zeros(season - 1), -1.0])
     z = np.convolve(y, differences)[season + 1: len(y)]
-    past = 2 * season
-    if len(z) < MIN_ROWS + past:
+    if len(z) < MIN_ROWS + 2 * season:
         raise ValueError(f"only {len(y)} days")
-    lags = list(range(1, past + 1))
-    own = _lagged(z, lags, past)
-    shocks = np.r_[np.zeros(past), z[past:] - own @ _solve(own, z[past:])]
-    start = past + season + 1
-    terms = np.column_stack([_lagged(z, [1, season, season + 1], start), shocks[start - 1: -1]])
-    a, b, _, c = np.clip(_solve(terms, z[start:]), -0.98, 0.98)
-    level = np.convolve([1.0, -a], np.r_[1.0, np.zeros(season - 1), -b])
-    polynomial = np.convolve(level, differences)
-    filtered = np.convolve(y, polynomial)[len(polynomial) - 1: len(y)]
-    errors = np.zeros(len(filtered))
-    for t in range(1, len(filtered)):
-        errors[t] = filtered[t] - c * errors[t - 1]
-    return polynomial, errors, c
+    point = np.clip(_start(z, season), -BOUND, BOUND)
+    errors = _errors(z, *point, season)
+    for _ in range(MAX_STEPS):
+        slopes = np.column_stack([
+            (_errors(z, *(point + shift), season) - errors) / 1e-5 for shift in 1e-5 * np.eye(3)
+        ])
+        step = -_solve(slopes, errors)
+        for share in (1.0, 0.5, 0.25, 0.125):
+            nearby = np.clip(point + share * step, -BOUND, BOUND)
+            tried = _errors(z, *nearby, season)
+            if tried @ tried < errors @ errors:
+                break
+        else:
+            break
+        gain = 1 - (tried @ tried) / (errors @ errors)
+        point, errors = nearby, tried
+        if gain < 1e-8:
+            break
+    a, b, c = point
+    return np.convolve(_polynomial(a, b, season), differences), errors, c
 
 
 def forecast_seasonal_ar(y: np.ndarray, steps: int, season: int = 7) -> tuple[np.ndarray, np.ndarray]:

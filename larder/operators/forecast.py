@@ -90,9 +90,9 @@ def store_day_split(features: DataFrame, params: Params = DEFAULTS) -> DataFrame
         .where((cut > F.col("upto") - F.col("n")) & (cut <= F.col("upto")))
         .select(F.struct("date", (cut - F.col("upto") + F.col("n")).alias("rank")).alias("cut"))
     )
-    on_day = features.where(F.col("date") == last.scalar()["date"]).select("date", "store_id")
+    on_day = features.select("date", "store_id").withColumn("_cut", last.scalar()).where(F.col("date") == F.col("_cut.date"))
     order = Window.partitionBy("date").orderBy("store_id")
-    final = on_day.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == last.scalar()["rank"])
+    final = on_day.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == F.col("_cut.rank"))
     edge = final.select(F.struct("date", "store_id"))
     train = F.struct("date", "store_id") <= edge.scalar()
     return features.withColumn("split", F.when(train, "train").otherwise("test"))
@@ -175,12 +175,12 @@ def standardise(split: DataFrame, columns: Sequence[str]) -> DataFrame:
     stats = train.agg(F.struct(*[
         F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns
     ]))
-    one = stats.scalar()
+    measured = split.withColumn("_train", stats.scalar())
     scaled = {}
     for c in columns:
-        std = F.when(one[c]["std"] == 0, 1.0).otherwise(one[c]["std"])
-        scaled[c] = (F.col(c) - one[c]["mean"]) / std
-    return split.withColumns(scaled)
+        std = F.when(F.col(f"_train.{c}.std") == 0, 1.0).otherwise(F.col(f"_train.{c}.std"))
+        scaled[c] = (F.col(c) - F.col(f"_train.{c}.mean")) / std
+    return measured.withColumns(scaled).drop("_train")
 
 
 def history_tail(daily: DataFrame, n: int = 90) -> DataFrame:

@@ -6,17 +6,20 @@ calendar day, however large the fact is. The forest is trained by MLlib.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions import seasonal_ar
 from larder.functions.seasonal_ar import forecast_regression, forecast_seasonal_ar
 from larder.operators.filters import drop_incomplete
 from larder.operators.forecast import (
@@ -25,6 +28,10 @@ from larder.operators.forecast import (
 from larder.params import DEFAULTS, Params
 from larder.session import durable
 
+# The fit functions travel with the job, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(seasonal_ar)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FORECAST_SCHEMA = (
     "kind string, series_id string, ds date, y double, predicted double, lower double, upper double, error string"
 )
@@ -137,6 +144,14 @@ def forest_features(df: DataFrame, use_lags: bool = True, params: Params = DEFAU
     return store_day_split(drop_incomplete(daily), params)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Use all cores for training when the written rows lie in fewer partitions than that."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, "date", "store_id")
+
+
 def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: bool = True) -> ForestFit:
     """a forest over store-day features.
 
@@ -145,7 +160,7 @@ def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: b
     its mean sales over the training rows, the order in which a regression tree would
     arrange the categories anyway.
     """
-    features = durable(forest_features(df, use_lags, params))
+    features = _spread(durable(forest_features(df, use_lags, params)))
     numbers = ["avg_inventory", "avg_price", "avg_discount", "avg_competitor", "holiday_promotion",
                "month", "year", "day", "weekday", "week"]
     if use_lags:
@@ -158,7 +173,7 @@ def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: b
         level = features.where(F.col("split") == "train").groupBy("store_id").agg(F.avg("units_sold").alias("store_level"))
         overall = features.where(F.col("split") == "train").agg(F.avg("units_sold")).scalar()
         features = features.join(level, "store_id", "left").withColumn("store_level", F.coalesce("store_level", overall))
-        features = durable(features)
+        features = _spread(durable(features))
         numbers.append("store_level")
     train = features.where(F.col("split") == "train")
     stages = [
@@ -168,8 +183,8 @@ def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: b
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=False),
         RandomForestRegressor(
             labelCol="units_sold", numTrees=params.trees, maxDepth=params.max_depth,
-            minInstancesPerNode=max(params.min_samples_split // 2, 1), featureSubsetStrategy="all",
-            seed=params.seed, maxMemoryInMB=1024,
+            minInstancesPerNode=(params.min_samples_split + 1) // 2, featureSubsetStrategy="all",
+            seed=params.seed,
         ),
     ]
     return ForestFit(Pipeline(stages=stages).fit(train), features)

@@ -118,11 +118,12 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS, factor
     one = fences.agg(F.struct(*[
         F.max(F.when(F.col("column_name") == c, F.struct("low", "high"))).alias(c) for c in columns
     ])).scalar()
+    fenced = df.select(*columns, one.alias("_fence"))
     counts = per_column(
-        df, columns,
-        low_fence=lambda c: F.max(one[c]["low"]),
-        high_fence=lambda c: F.max(one[c]["high"]),
-        n_outliers=lambda c: F.count_if((F.col(c) < one[c]["low"]) | (F.col(c) > one[c]["high"])),
+        fenced, columns,
+        low_fence=lambda c: F.max(f"_fence.{c}.low"),
+        high_fence=lambda c: F.max(f"_fence.{c}.high"),
+        n_outliers=lambda c: F.count_if((F.col(c) < F.col(f"_fence.{c}.low")) | (F.col(c) > F.col(f"_fence.{c}.high"))),
         n_rows=lambda c: F.count(F.lit(1)),
     )
     return counts.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,13 +40,12 @@ def shared_folder(spark: SparkSession) -> str | None:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of a result that is read many times.
 
-    The rows are written to the shared checkpoint folder, so a lost executor costs a
+    The rows are written once as a table in the shared folder, so a lost executor costs a
     re-read and not a re-computation. Without such a folder the plan stays lazy.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(df.sparkSession)
     if folder is None:
         return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
