@@ -40,52 +40,54 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     few = F.broadcast if few_groups else (lambda small: small)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna()
 
-    # One row per range; r0, r1, ... are the ranks still wanted inside of it, or NULL.
-    ranks = [
-        end(_place(F.col("n"), p)).cast("long").alias(f"r{2 * i + upper}")
-        for i, p in enumerate(probs) for upper, end in enumerate((F.floor, F.ceil))
-    ]
-    names = [f"r{k}" for k in range(2 * len(probs))]
-    ranges = (
-        rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-        .select(*keys, "n", "low", "high", *ranks)
+    # One row per range that holds a wanted rank, with the number of smaller rows in the group.
+    ranges = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.lit(0).cast("long").alias("before")
     )
     for level in range(levels + 1):
         held = rows.join(few(ranges), keys).where(F.col("_v").between(F.col("low"), F.col("high")))
         cell = F.col("_v") if level == levels else _cell(F.col("_v"), F.col("low"), F.col("high"))
-        order = Window.partitionBy(*keys, "low").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-        cells = (
-            held.groupBy(*keys, "low", cell.alias("cell"))
-            .agg(F.count("*").alias("rows"), F.min("_v").alias("cell_low"), F.max("_v").alias("cell_high"),
-                 F.max("n").alias("n"), *[F.max(r).alias(r) for r in names])
-            .withColumn("upto", F.sum("rows").over(order))
+        order = Window.partitionBy(*keys, "low").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = held.groupBy(*keys, "low", cell.alias("cell")).agg(
+            F.count("*").alias("rows"), F.min("_v").alias("cell_low"), F.max("_v").alias("cell_high"),
+            F.max("n").alias("n"), F.max("before").alias("start"),
         )
-        before = F.col("upto") - F.col("rows")
         ranges = (
-            cells.select(*keys, "n", F.col("cell_low").alias("low"), F.col("cell_high").alias("high"), *[
-                F.when((F.col(r) >= before) & (F.col(r) < F.col("upto")), F.col(r) - before).alias(r) for r in names
-            ])
-            .where(F.coalesce(*names).isNotNull())
+            cells.withColumn("before", F.col("start") + F.coalesce(F.sum("rows").over(order), F.lit(0)))
+            .where(F.exists(_ranks(probs), _within))
+            .select(*keys, "n", F.col("cell_low").alias("low"), F.col("cell_high").alias("high"), "before", "rows")
         )
+    ends = {f"{end}{i}": _rank(p, end) for i, p in enumerate(probs) for end in ("floor", "ceil")}
     found = ranges.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col(r).isNotNull(), F.col("low"))).alias(r) for r in names]
+        F.max("n").alias("n"), *[F.max(F.when(_within(rank), F.col("low"))).alias(name) for name, rank in ends.items()]
     )
     return found.select(*keys, "n", F.array(*[_between(i, p) for i, p in enumerate(probs)]).alias("quantiles"))
 
 
-def _place(n: Column, p: float) -> Column:
-    return (n - 1) * F.lit(float(p))
+def _place(p: float) -> Column:
+    return (F.col("n") - 1) * F.lit(float(p))
+
+
+def _rank(p: float, end: str) -> Column:
+    return (F.floor if end == "floor" else F.ceil)(_place(p)).cast("long")
+
+
+def _ranks(probs: Sequence[float]) -> Column:
+    return F.array(*[_rank(p, end) for p in probs for end in ("floor", "ceil")])
+
+
+def _within(rank: Column) -> Column:
+    return (rank >= F.col("before")) & (rank < F.col("before") + F.col("rows"))
 
 
 def _cell(v: Column, low: Column, high: Column) -> Column:
-    share = (v - low) / F.nullif(high - low, F.lit(0.0))
-    return F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)), F.lit(0)).cast("int")
+    cell = F.least(F.floor((v - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+    return F.when(high > low, cell).otherwise(0).cast("int")
 
 
 def _between(i: int, p: float) -> Column:
-    place = _place(F.col("n"), p)
-    low, high = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
-    return low + (high - low) * (place - F.floor(place))
+    low, high = F.col(f"floor{i}"), F.col(f"ceil{i}")
+    return low + (high - low) * (_place(p) - F.floor(_place(p)))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:

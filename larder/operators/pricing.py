@@ -127,8 +127,11 @@ def _bucketed(df: DataFrame, params: Params) -> DataFrame:
 
 def _every_bucket(means: DataFrame, value: str, params: Params) -> DataFrame:
     """Means on the full list of buckets; the list has one row per label."""
-    labels = price_bucket_labels(params.price_diff_bins)
-    spine = means.sparkSession.createDataFrame(list(enumerate(labels)), "bucket_no int, bucket string")
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("bucket_no"), F.lit(label).alias("bucket"))
+        for i, label in enumerate(price_bucket_labels(params.price_diff_bins))
+    ])
+    spine = means.sparkSession.range(1).select(F.inline(rows))
     return spine.join(means, "bucket_no", "left").select("bucket_no", "bucket", value)
 
 

@@ -186,10 +186,11 @@ def histogram(df: DataFrame, value: str | Column, bins: int | None = None) -> Da
         width = F.greatest(width, F.lit(1.0)) if whole else width
         count = F.when(width > 0, F.ceil(spread / F.nullif(width, F.lit(0.0)))).otherwise(1)
         shape = both.select("e.low", "e.high", F.greatest(count, F.lit(1)).cast("long").alias("bins"))
+    widen = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)  # a single value gets a range of one
+    shape = shape.select((F.col("low") - widen).alias("low"), (F.col("high") + widen).alias("high"), "bins")
     one = shape.select(F.struct(*shape.columns)).scalar()
-    spread = F.nullif(F.col("_s.high") - F.col("_s.low"), F.lit(0.0))
-    position = (F.col("x") - F.col("_s.low")) / spread * F.col("_s.bins")
-    bin_no = F.coalesce(F.least(F.floor(position), F.col("_s.bins") - 1), F.lit(0)).cast("long")
+    position = (F.col("x") - F.col("_s.low")) / (F.col("_s.high") - F.col("_s.low")) * F.col("_s.bins")
+    bin_no = F.least(F.floor(position), F.col("_s.bins") - 1).cast("long")
     counts = rows.withColumn("_s", one).groupBy(bin_no.alias("bin_no")).agg(F.count("*").alias("n"))
     width = (F.col("high") - F.col("low")) / F.col("bins")
     spine = shape.select("low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin_no"))

@@ -27,13 +27,17 @@ def read_fact_raw(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fact_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Fact table from Parquet; filters and column lists of later steps reach this scan."""
-    return spark.read.schema(FACT_SCHEMA).parquet(path)
+    return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
 
 
 def write_fact(df: DataFrame, path: str) -> None:
-    """Persist the fact table by month, so that date filters prune whole folders."""
+    """Persist the fact table by month, for a batch of analyses.
+
+    A file holds days of one month, so a date filter skips files by their statistics. The
+    rebalance splits a month that holds most rows and merges small ones.
+    """
     by_month = df.withColumn("month_start", F.trunc("date", "month"))
-    by_month.write.mode("overwrite").partitionBy("month_start").parquet(path)
+    by_month.hint("rebalance", "month_start").write.mode("overwrite").partitionBy("month_start").parquet(path)
 
 
 def retail_view(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
