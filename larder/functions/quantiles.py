@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.nulls import known
+
 CELLS = 4096
 LEVELS = 2
 
@@ -38,7 +40,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         return exact_quantiles(whole, value, probs, ["_all"], True, levels).drop("_all")
     keys = list(keys)
     few = F.broadcast if few_groups else (lambda small: small)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna()
+    rows = known(df.select(*keys, F.col(value).cast("double").alias("_v")), *keys, "_v").where(~F.isnan("_v"))
 
     # One row per range that holds a wanted rank, with the number of smaller rows in the group.
     ranges = rows.groupBy(*keys).agg(

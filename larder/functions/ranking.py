@@ -40,8 +40,3 @@ def ranked(df: DataFrame, name: str, value: str, n: int, ascending: bool, *ties:
     named = cut.withColumn("ranking", F.lit(name))
     window = Window.partitionBy("ranking").orderBy(order, *ties)
     return named.withColumn("rank", F.row_number().over(window))
-
-
-def one_row(spark, **scalars: DataFrame) -> DataFrame:
-    """One row from several one-row, one-column results, without a join."""
-    return spark.range(1).select(*[result.scalar().alias(name) for name, result in scalars.items()])

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.nulls import known
 from larder.functions.ranking import largest
 from larder.operators.filters import Slice, filter_slice
 from larder.operators.forecast import daily_totals
@@ -34,12 +35,12 @@ def sales_trend(df: DataFrame, chosen: Slice = EVERYTHING) -> DataFrame:
 def sales_by_category(df: DataFrame, chosen: Slice = EVERYTHING) -> DataFrame:
     """D3: all categories, whatever the category filter says."""
     rows = filter_slice(df, replace(chosen, categories=()))
-    return rows.dropna(subset=["category"]).groupBy("category").agg(F.sum("units_sold").alias("units_sold"))
+    return known(rows, "category").groupBy("category").agg(F.sum("units_sold").alias("units_sold"))
 
 
 def top_products_table(df: DataFrame, chosen: Slice = EVERYTHING, n: int = 10) -> DataFrame:
     """The product filter is ignored here."""
-    rows = filter_slice(df, replace(chosen, products=())).dropna(subset=["product_id", "category"])
+    rows = known(filter_slice(df, replace(chosen, products=())), "product_id", "category")
     products = rows.groupBy("product_id", "category").agg(
         F.sum("units_sold").alias("units_sold"),
         F.bround(F.avg("inventory_level"), 1).alias("avg_inventory"),
@@ -51,7 +52,7 @@ def top_products_table(df: DataFrame, chosen: Slice = EVERYTHING, n: int = 10) -
 
 def inventory_vs_sales(df: DataFrame, chosen: Slice = EVERYTHING) -> DataFrame:
     """Both sides of the chart from one aggregate instead of a join on the day."""
-    return filter_slice(df, chosen).dropna(subset=["date"]).groupBy("date").agg(
+    return known(filter_slice(df, chosen), "date").groupBy("date").agg(
         F.avg("inventory_level").alias("avg_inventory"), F.sum("units_sold").alias("units_sold")
     )
 
@@ -61,7 +62,7 @@ def overview_cards(df: DataFrame) -> DataFrame:
 
     Inventory is summed per day first; the last day is then the largest of few rows.
     """
-    per_day = df.dropna(subset=["date"]).groupBy("date").agg(F.sum("inventory_level").alias("inventory"))
+    per_day = known(df, "date").groupBy("date").agg(F.sum("inventory_level").alias("inventory"))
     last = per_day.agg(F.max(F.struct("date", "inventory"))["inventory"])
     return df.agg(
         F.count_distinct("product_id").alias("n_products"),

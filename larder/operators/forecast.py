@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.nulls import known
 from larder.functions.ranking import smallest
 from larder.operators.filters import top_keys
 from larder.params import DEFAULTS, Params
+from larder.session import durable
 
 SERIES = ("kind", "series_id")
 LAGS = (1, 7, 14, 28)
@@ -18,7 +20,7 @@ WINDOWS = (7, 14, 28)
 
 def daily_totals(df: DataFrame) -> DataFrame:
     """F1."""
-    return df.dropna(subset=["date"]).groupBy("date").agg(F.sum("units_sold").alias("units_sold"))
+    return known(df, "date").groupBy("date").agg(F.sum("units_sold").alias("units_sold"))
 
 
 def _dense(daily: DataFrame, key: str) -> DataFrame:
@@ -34,13 +36,13 @@ def _dense(daily: DataFrame, key: str) -> DataFrame:
 
 def daily_by(df: DataFrame, key: str) -> DataFrame:
     """units by day and key, days without sales as zero."""
-    daily = df.dropna(subset=["date", key]).groupBy(key, "date").agg(F.sum("units_sold").alias("units_sold"))
+    daily = known(df, "date", key).groupBy(key, "date").agg(F.sum("units_sold").alias("units_sold"))
     return _dense(daily, key)
 
 
 def daily_by_top_product(df: DataFrame, n: int = 5) -> DataFrame:
     """from one daily table per product, which also ranks the products."""
-    daily = df.dropna(subset=["date", "product_id"]).groupBy("product_id", "date").agg(F.sum("units_sold").alias("units_sold"))
+    daily = known(df, "date", "product_id").groupBy("product_id", "date").agg(F.sum("units_sold").alias("units_sold"))
     best = F.broadcast(top_keys(daily, "product_id", n).select("product_id"))  # n rows
     return _dense(daily.join(best, "product_id", "left_semi"), "product_id")
 
@@ -48,9 +50,11 @@ def daily_by_top_product(df: DataFrame, n: int = 5) -> DataFrame:
 def series_panel(df: DataFrame, top_n: int = 5) -> DataFrame:
     """The series to forecast: the total, each category and the top products.
 
-    All are built from one daily (product, category) table, so the fact is shuffled once.
+    All are built from one daily (product, category) table, which is written once: it is
+    read several times here and again by every fit, while the fact is read once.
     """
-    base = df.dropna(subset=["date"]).groupBy("date", "product_id", "category").agg(F.sum("units_sold").alias("units_sold"))
+    base = known(df, "date").groupBy("date", "product_id", "category").agg(F.sum("units_sold").alias("units_sold"))
+    base = durable(base)
 
     def labelled(series: DataFrame, kind: str, name: Column) -> DataFrame:
         return series.select(F.lit(kind).alias("kind"), name.alias("series_id"), F.col("date").alias("ds"),
@@ -113,7 +117,7 @@ def future_dates(df: DataFrame, days: int = 30, date: str = "date") -> DataFrame
 
 def forecast_metrics(scored: DataFrame, *keys: str, actual: str = "y", predicted: str = "predicted") -> DataFrame:
     """F8: errors per group; r2 is 1 - SSE/SST on the scored rows and may be negative."""
-    both = scored.dropna(subset=[actual, predicted])
+    both = known(scored, actual, predicted)
     error = F.col(actual) - F.col(predicted)
     return both.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -127,14 +131,14 @@ def forecast_metrics(scored: DataFrame, *keys: str, actual: str = "y", predicted
 def store_day_features(df: DataFrame) -> DataFrame:
     """one row per day and store. The first weather and promotion are those of the
     smallest (product, price, units) of the day, then of the smallest value."""
-    known = df.dropna(subset=["date", "store_id"])
+    rows = known(df, "date", "store_id")
 
     def first(column: str) -> Column:
         order = [c for c in ("product_id", "price", "units_sold") if c != column]
         seen = F.when(F.col(column).isNotNull(), F.struct(*order, column))
         return F.min(seen)[column].alias(column)
 
-    daily = known.groupBy("date", "store_id").agg(
+    daily = rows.groupBy("date", "store_id").agg(
         F.sum("units_sold").alias("units_sold"),
         F.avg("inventory_level").alias("avg_inventory"),
         F.avg("price").alias("avg_price"),

@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.nulls import known
 from larder.functions.ranking import largest, top_per_group
 from larder.params import DEFAULTS, Params
 
@@ -17,7 +18,7 @@ DAYS_PER_YEAR = 365
 
 def demand_stats(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Demand and unit cost by product and store."""
-    return df.dropna(subset=list(keys)).groupBy(*keys).agg(
+    return known(df, *keys).groupBy(*keys).agg(
         F.avg("units_sold").alias("demand_mean"),
         F.stddev_samp("units_sold").alias("demand_std"),
         F.sum("units_sold").cast("double").alias("annual_demand"),

@@ -9,6 +9,7 @@ from larder.functions.columns import (
     category_price_action, net_revenue, price_bucket_label, price_bucket_labels, price_bucket_no,
     price_difference_pct, product_price_action,
 )
+from larder.functions.nulls import known
 from larder.functions.quantiles import exact_quantiles
 from larder.functions.ranking import best_per_group, largest, ranked
 from larder.params import DEFAULTS, Params
@@ -17,7 +18,7 @@ MIN_POINTS = 3
 
 
 def _points(df: DataFrame, key: str) -> DataFrame:
-    return df.dropna(subset=[key, "price"]).groupBy(key, "price").agg(F.avg("units_sold").alias("avg_units"))
+    return known(df, key, "price").groupBy(key, "price").agg(F.avg("units_sold").alias("avg_units"))
 
 
 def _usable():
@@ -54,7 +55,7 @@ def product_category(df: DataFrame, key: str = "product_id") -> DataFrame:
     The first step keeps only dates per (product, category, store), which a hash
     aggregate merges before the shuffle.
     """
-    seen = df.dropna(subset=[key, "category"]).groupBy(key, "category", "store_id").agg(F.min("date").alias("date"))
+    seen = known(df, key, "category").groupBy(key, "category", "store_id").agg(F.min("date").alias("date"))
     return seen.groupBy(key).agg(F.min(F.struct("date", "store_id", "category"))["category"].alias("category"))
 
 
@@ -96,12 +97,12 @@ def elasticity_curve(df: DataFrame, key: str = "product_id", steps: int = 100) -
 
 def discount_units(df: DataFrame) -> DataFrame:
     """G7."""
-    return df.dropna(subset=["discount"]).groupBy("discount").agg(F.avg("units_sold").alias("avg_units"))
+    return known(df, "discount").groupBy("discount").agg(F.avg("units_sold").alias("avg_units"))
 
 
 def discount_revenue(df: DataFrame) -> DataFrame:
     """G8."""
-    return df.dropna(subset=["discount"]).groupBy("discount").agg(F.avg(net_revenue()).alias("avg_revenue"))
+    return known(df, "discount").groupBy("discount").agg(F.avg(net_revenue()).alias("avg_revenue"))
 
 
 def optimal_discount(df: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def optimal_discount(df: DataFrame) -> DataFrame:
 
 def category_discount_revenue(df: DataFrame) -> DataFrame:
     """Mean revenue by category and discount."""
-    return df.dropna(subset=["category", "discount"]).groupBy("category", "discount").agg(
+    return known(df, "category", "discount").groupBy("category", "discount").agg(
         F.avg(net_revenue()).alias("avg_revenue")
     )
 
@@ -137,13 +138,13 @@ def _every_bucket(means: DataFrame, value: str, params: Params) -> DataFrame:
 
 def bucket_units(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """G11."""
-    means = _bucketed(df, params).dropna(subset=["bucket_no"]).groupBy("bucket_no").agg(F.avg("units_sold").alias("avg_units"))
+    means = known(_bucketed(df, params), "bucket_no").groupBy("bucket_no").agg(F.avg("units_sold").alias("avg_units"))
     return _every_bucket(means, "avg_units", params)
 
 
 def bucket_revenue(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """G12."""
-    means = _bucketed(df, params).dropna(subset=["bucket_no"]).groupBy("bucket_no").agg(F.avg(net_revenue()).alias("avg_revenue"))
+    means = known(_bucketed(df, params), "bucket_no").groupBy("bucket_no").agg(F.avg(net_revenue()).alias("avg_revenue"))
     return _every_bucket(means, "avg_revenue", params)
 
 
@@ -154,8 +155,8 @@ def optimal_price_position(df: DataFrame, params: Params = DEFAULTS) -> DataFram
 
 def category_bucket_revenue(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Mean revenue by category and bucket."""
-    known = _bucketed(df, params).dropna(subset=["category", "bucket_no"])
-    means = known.groupBy("category", "bucket_no").agg(F.avg(net_revenue()).alias("avg_revenue"))
+    placed = known(_bucketed(df, params), "category", "bucket_no")
+    means = placed.groupBy("category", "bucket_no").agg(F.avg(net_revenue()).alias("avg_revenue"))
     return means.withColumn("bucket", price_bucket_label(F.col("bucket_no"), params))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.columns import clip, forecast_accuracy, inventory_sales_ratio
+from larder.functions.nulls import known
 from larder.functions.quantiles import column_quantiles, exact_quantiles
 from larder.functions.ranking import largest, top_per_group
 from larder.functions.spread import per_column
@@ -211,7 +212,7 @@ def box_stats(df: DataFrame, group: str = "category", value: str = "units_sold")
 
     Everything after the first aggregate works on counts per distinct value.
     """
-    counts = df.select(group, F.col(value).alias("x")).dropna().groupBy(group, "x").agg(F.count("*").alias("n"))
+    counts = known(df.select(group, F.col(value).alias("x")), group, "x").groupBy(group, "x").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(Window.partitionBy(group))
     placed = counts.withColumns({"upto": upto, "total": total})

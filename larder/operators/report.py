@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.columns import forecast_accuracy, supply_gap, supply_status
-from larder.functions.ranking import largest, smallest
-from larder.operators.pricing import elasticity_summary, optimal_discount, optimal_price_position
-from larder.operators.seasonality import mean_by, top_by_season
-from larder.operators.supply import category_supply_metrics
+from larder.functions.columns import (
+    forecast_accuracy, net_revenue, price_bucket_label, price_bucket_no, price_difference_pct, supply_gap, supply_status,
+)
+from larder.operators.pricing import elasticity_summary
 from larder.params import DEFAULTS, Params
 
 
@@ -33,16 +33,33 @@ def key_metrics(df: DataFrame, scores: DataFrame, params: Params = DEFAULTS) ->
 
 
 def key_insights(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """R2: (insight, answer) rows, each the best or worst row of a small result."""
+    """R2: (insight, answer) rows from one pass over the fact.
 
-    def row(name: str, best: DataFrame, answer: Column) -> DataFrame:
-        return best.select(F.lit(name).alias("insight"), answer.cast("string").alias("answer"))
+    Grouping sets give the means of all five questions together; each answer is then the
+    first row of its set, picked by one small aggregate.
+    """
+    keys = ["seasonality", "region", "category", "discount", "bucket_no"]
+    rows = df.select(
+        *keys[:-1], price_bucket_no(price_difference_pct(), params).alias("bucket_no"), "units_sold",
+        forecast_accuracy().alias("accuracy"), net_revenue().alias("revenue"),
+    )
+    sets = [["seasonality"], ["seasonality", "region"], ["category"], ["discount"], ["bucket_no"]]
+    means = rows.groupingSets(sets, *keys).agg(
+        F.avg("units_sold").alias("avg_units"), F.sum("units_sold").alias("units"), F.avg("accuracy").alias("accuracy"),
+        F.avg("revenue").alias("revenue"), *[F.grouping(k).alias(f"_{k}") for k in keys],
+    )
 
-    autumn = top_by_season(df, "region").where(F.col("seasonality") == "Autumn")
-    return reduce(DataFrame.unionByName, [
-        row("peak_season", largest(mean_by(df, "seasonality"), "avg_units", 1, "seasonality"), F.col("seasonality")),
-        row("best_autumn_region", autumn, F.col("region")),
-        row("worst_forecast_category", smallest(category_supply_metrics(df), "avg_accuracy", 1, "category"), F.col("category")),
-        row("optimal_discount", optimal_discount(df), F.col("discount")),
-        row("optimal_price_position", optimal_price_position(df, params), F.col("bucket")),
-    ])
+    def first(order: Column, *used: str, where: Column | None = None) -> Column:
+        """The last used key of the row that comes first; ties go to the smaller key."""
+        rule = [F.col(f"_{k}") == (0 if k in used else 1) for k in keys]
+        rule += [order.isNotNull(), *[F.col(k).isNotNull() for k in used], *([] if where is None else [where])]
+        return F.min(F.when(reduce(and_, rule), F.struct(order.alias("order"), used[-1])))[used[-1]]
+
+    answers = means.agg(
+        first(-F.col("avg_units"), "seasonality").alias("peak_season"),
+        first(-F.col("units"), "seasonality", "region", where=F.col("seasonality") == "Autumn").alias("best_autumn_region"),
+        first(F.col("accuracy"), "category").alias("worst_forecast_category"),
+        first(-F.col("revenue"), "discount").cast("string").alias("optimal_discount"),
+        price_bucket_label(first(-F.col("revenue"), "bucket_no"), params).alias("optimal_price_position"),
+    )
+    return answers.unpivot([], list(answers.columns), "insight", "answer")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.nulls import known
 from larder.functions.ranking import best_per_group, largest, smallest
 from larder.operators.filters import top_keys, topn_semi
 from larder.schema import MONTH_NAMES
@@ -12,13 +16,9 @@ from larder.schema import MONTH_NAMES
 UNITS = "units_sold"
 
 
-def _known(df: DataFrame, *keys: str) -> DataFrame:
-    return df.dropna(subset=list(keys))
-
-
 def mean_by(df: DataFrame, *keys: str) -> DataFrame:
     """Mean units by one or more columns."""
-    return _known(df, *keys).groupBy(*keys).agg(F.avg(UNITS).alias("avg_units"))
+    return known(df, *keys).groupBy(*keys).agg(F.avg(UNITS).alias("avg_units"))
 
 
 def _month_name() -> Column:
@@ -31,7 +31,7 @@ def monthly_by(df: DataFrame, key: str) -> DataFrame:
     The pivot over the twelve fixed months aggregates by (key, month) first, so the wide
     form holds one row per key.
     """
-    dated = _known(df, "date", key).withColumn("month_no", F.month("date"))
+    dated = known(df, "date", key).withColumn("month_no", F.month("date"))
     wide = dated.groupBy(key).pivot("month_no", list(range(1, 13))).agg(F.avg(UNITS))
     months = F.array(*[F.struct(F.lit(m).alias("month_no"), F.col(f"`{m}`").alias("avg_units")) for m in range(1, 13)])
     return wide.select(key, F.inline(months)).select("month_no", _month_name(), key, "avg_units")
@@ -73,7 +73,7 @@ def monthly_overall(df: DataFrame) -> DataFrame:
 
 def yearly_monthly(df: DataFrame) -> DataFrame:
     """Mean units by year and month."""
-    return monthly_by(_known(df, "date").withColumn("year", F.year("date")), "year")
+    return monthly_by(known(df, "date").withColumn("year", F.year("date")), "year")
 
 
 def seasonality_summary(df: DataFrame) -> DataFrame:
@@ -87,8 +87,10 @@ def seasonality_summary(df: DataFrame) -> DataFrame:
     )
 
     def means(*keys: str) -> DataFrame:
-        sums = _known(cube, *keys).groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
-        return sums.select(*keys, (F.col("units") / F.nullif(F.col("n"), F.lit(0))).alias("value"))
+        # A NULL key gets a NULL value instead of a filter, which would be moved below the shared table.
+        sums = cube.groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
+        mean = F.col("units") / F.nullif(F.col("n"), F.lit(0))
+        return sums.select(*keys, F.when(reduce(and_, (F.col(k).isNotNull() for k in keys)), mean).alias("value"))
 
     month = largest(means("month_no"), "value", 1, "month_no").select(F.lit("peak_month").alias("item"), _month_name().alias("label"), "value")
     spread = means("category", "month_no").groupBy("category").agg(
@@ -105,7 +107,7 @@ def seasonality_summary(df: DataFrame) -> DataFrame:
 
 def top_by_season(df: DataFrame, key: str) -> DataFrame:
     """The key with the largest unit sum in each season."""
-    sums = _known(df, "seasonality", key).groupBy("seasonality", key).agg(F.sum(UNITS).alias(UNITS))
+    sums = known(df, "seasonality", key).groupBy("seasonality", key).agg(F.sum(UNITS).alias(UNITS))
     return best_per_group(sums, "seasonality", UNITS, key)
 
 
@@ -116,10 +118,10 @@ def seasonal_by_top_product(df: DataFrame, n: int = 5) -> DataFrame:
 
 def high_variance_products(df: DataFrame, n: int = 5) -> DataFrame:
     """The largest coefficients of variation."""
-    spread = _known(df, "product_id").groupBy("product_id").agg(F.avg(UNITS).alias("mean"), F.stddev_samp(UNITS).alias("std"))
+    spread = known(df, "product_id").groupBy("product_id").agg(F.avg(UNITS).alias("mean"), F.stddev_samp(UNITS).alias("std"))
     return largest(spread.withColumn("cv", F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))), "cv", n, "product_id")
 
 
 def day_of_week_sales(df: DataFrame) -> DataFrame:
     """W20."""
-    return mean_by(_known(df, "date").withColumn("day_name", F.date_format("date", "EEEE")), "day_name")
+    return mean_by(known(df, "date").withColumn("day_name", F.date_format("date", "EEEE")), "day_name")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.columns import forecast_accuracy, inventory_sales_ratio, supply_gap, supply_status
+from larder.functions.nulls import known
 from larder.functions.quantiles import quantile
 from larder.functions.ranking import largest, ranked, smallest
 from larder.params import DEFAULTS, Params
@@ -40,7 +41,7 @@ def status_by(df: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
 
     One hash aggregate holds the counts of all statuses of a key side by side.
     """
-    marked = df.dropna(subset=[key]).withColumn("status", supply_status(params))
+    marked = known(df, key).withColumn("status", supply_status(params))
     wide = marked.groupBy(key).agg(F.count("*").alias("total"), *_mode_of_status())
     cells = F.array(*[F.struct(F.lit(s).alias("supply_status"), F.col(f"_{s}").alias("n")) for s in STATUSES])
     long = wide.select(key, "total", F.inline(cells)).withColumn("pct", F.col("n") * 100.0 / F.col("total"))
@@ -50,14 +51,14 @@ def status_by(df: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
 
 def status_pivot(df: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
     """Y2 as a cross table with one column per status."""
-    marked = df.dropna(subset=[key]).withColumn("status", supply_status(params))
+    marked = known(df, key).withColumn("status", supply_status(params))
     return marked.groupBy(key).pivot("status", list(STATUSES)).count().na.fill(0)
 
 
 def product_supply_metrics(df: DataFrame, *keys: str, params: Params = DEFAULTS) -> DataFrame:
     """Status, gap, units, inventory, accuracy and ratio by product and category (or given keys)."""
     keys = keys or ("product_id", "category")
-    marked = df.dropna(subset=list(keys)).withColumn("status", supply_status(params))
+    marked = known(df, *keys).withColumn("status", supply_status(params))
     grouped = marked.groupBy(*keys).agg(
         F.avg(supply_gap()).alias("avg_gap"),
         F.sum("units_sold").alias("units_sold"),
@@ -101,7 +102,7 @@ def supply_overall(df: DataFrame) -> DataFrame:
 
 def category_gap_extremes(df: DataFrame) -> DataFrame:
     """Categories with the smallest and the largest mean gap."""
-    gaps = df.dropna(subset=["category"]).groupBy("category").agg(F.avg(supply_gap()).alias("avg_gap"))
+    gaps = known(df, "category").groupBy("category").agg(F.avg(supply_gap()).alias("avg_gap"))
     low = smallest(gaps, "avg_gap", 1, "category").withColumn("item", F.lit("most_undersupplied"))
     high = largest(gaps, "avg_gap", 1, "category").withColumn("item", F.lit("most_oversupplied"))
     return low.unionByName(high)
@@ -109,7 +110,7 @@ def category_gap_extremes(df: DataFrame) -> DataFrame:
 
 def category_supply_metrics(df: DataFrame) -> DataFrame:
     """Y10."""
-    return df.dropna(subset=["category"]).groupBy("category").agg(
+    return known(df, "category").groupBy("category").agg(
         F.avg(inventory_sales_ratio()).alias("avg_ratio"),
         F.avg(supply_gap()).alias("avg_gap"),
         F.avg(forecast_accuracy()).alias("avg_accuracy"),
@@ -130,14 +131,14 @@ def product_supply_rankings(df: DataFrame, n: int = 10, params: Params = DEFAULT
 
 def store_sums(df: DataFrame) -> DataFrame:
     """Units and inventory by store."""
-    return df.dropna(subset=["store_id"]).groupBy("store_id").agg(
+    return known(df, "store_id").groupBy("store_id").agg(
         F.sum("units_sold").alias("units_sold"), F.sum("inventory_level").alias("inventory_level")
     )
 
 
 def poor_forecast_products(df: DataFrame, n: int = 5) -> DataFrame:
     """Products and categories with the smallest accuracy."""
-    accuracy = df.dropna(subset=["product_id", "category"]).groupBy("product_id", "category").agg(
+    accuracy = known(df, "product_id", "category").groupBy("product_id", "category").agg(
         F.avg(forecast_accuracy()).alias("avg_accuracy")
     )
     return smallest(accuracy, "avg_accuracy", n, "product_id", "category")
