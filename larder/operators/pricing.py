@@ -1,8 +1,11 @@
-"""Price elasticity, discounts and competitor prices."""
+"""Price elasticity, discounts and competitor prices.
+
+G7-G14 also accept the sums of `price_sums` in place of the fact.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import (
@@ -12,6 +15,7 @@ from larder.functions.columns import (
 from larder.functions.nulls import known
 from larder.functions.quantiles import exact_quantiles
 from larder.functions.ranking import best_per_group, largest, ranked
+from larder.functions.sums import mean, summed
 from larder.params import DEFAULTS, Params
 
 MIN_POINTS = 3
@@ -21,7 +25,7 @@ def _points(df: DataFrame, key: str) -> DataFrame:
     return known(df, key, "price").groupBy(key, "price").agg(F.avg("units_sold").alias("avg_units"))
 
 
-def _usable():
+def _usable() -> Column:
     return (F.col("price") > 0) & (F.col("avg_units") > 0)
 
 
@@ -95,14 +99,24 @@ def elasticity_curve(df: DataFrame, key: str = "product_id", steps: int = 100) -
     )
 
 
+def price_sums(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Sums of units and revenue by category, discount and price bucket."""
+    keys = ["category", "discount", "bucket_no"]
+    return summed(_bucketed(df, params), keys, units_sold=F.col("units_sold"), revenue=net_revenue())
+
+
+def _revenue(df: DataFrame) -> Column:
+    return mean(df, "revenue", net_revenue())
+
+
 def discount_units(df: DataFrame) -> DataFrame:
     """G7."""
-    return known(df, "discount").groupBy("discount").agg(F.avg("units_sold").alias("avg_units"))
+    return known(df, "discount").groupBy("discount").agg(mean(df, "units_sold").alias("avg_units"))
 
 
 def discount_revenue(df: DataFrame) -> DataFrame:
     """G8."""
-    return known(df, "discount").groupBy("discount").agg(F.avg(net_revenue()).alias("avg_revenue"))
+    return known(df, "discount").groupBy("discount").agg(_revenue(df).alias("avg_revenue"))
 
 
 def optimal_discount(df: DataFrame) -> DataFrame:
@@ -112,9 +126,7 @@ def optimal_discount(df: DataFrame) -> DataFrame:
 
 def category_discount_revenue(df: DataFrame) -> DataFrame:
     """Mean revenue by category and discount."""
-    return known(df, "category", "discount").groupBy("category", "discount").agg(
-        F.avg(net_revenue()).alias("avg_revenue")
-    )
+    return known(df, "category", "discount").groupBy("category", "discount").agg(_revenue(df).alias("avg_revenue"))
 
 
 def category_optimal_discount(df: DataFrame) -> DataFrame:
@@ -123,6 +135,8 @@ def category_optimal_discount(df: DataFrame) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, params: Params) -> DataFrame:
+    if "bucket_no" in df.columns:
+        return df
     return df.withColumn("bucket_no", price_bucket_no(price_difference_pct(), params))
 
 
@@ -138,13 +152,13 @@ def _every_bucket(means: DataFrame, value: str, params: Params) -> DataFrame:
 
 def bucket_units(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """G11."""
-    means = known(_bucketed(df, params), "bucket_no").groupBy("bucket_no").agg(F.avg("units_sold").alias("avg_units"))
+    means = known(_bucketed(df, params), "bucket_no").groupBy("bucket_no").agg(mean(df, "units_sold").alias("avg_units"))
     return _every_bucket(means, "avg_units", params)
 
 
 def bucket_revenue(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """G12."""
-    means = known(_bucketed(df, params), "bucket_no").groupBy("bucket_no").agg(F.avg(net_revenue()).alias("avg_revenue"))
+    means = known(_bucketed(df, params), "bucket_no").groupBy("bucket_no").agg(_revenue(df).alias("avg_revenue"))
     return _every_bucket(means, "avg_revenue", params)
 
 
@@ -156,7 +170,7 @@ def optimal_price_position(df: DataFrame, params: Params = DEFAULTS) -> DataFram
 def category_bucket_revenue(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Mean revenue by category and bucket."""
     placed = known(_bucketed(df, params), "category", "bucket_no")
-    means = placed.groupBy("category", "bucket_no").agg(F.avg(net_revenue()).alias("avg_revenue"))
+    means = placed.groupBy("category", "bucket_no").agg(_revenue(df).alias("avg_revenue"))
     return means.withColumn("bucket", price_bucket_label(F.col("bucket_no"), params))
 
 

@@ -1,4 +1,8 @@
-"""Seasonality of sales."""
+"""Seasonality of sales.
+
+Every operator but W17 also accepts the sums of `calendar_sums` or `product_sums` in place
+of the fact, so that a batch of them reads the fact once.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.nulls import known
 from larder.functions.ranking import best_per_group, largest, smallest
+from larder.functions.sums import count, mean, summed
 from larder.operators.filters import top_keys, topn_semi
 from larder.schema import MONTH_NAMES
 
@@ -18,7 +23,7 @@ UNITS = "units_sold"
 
 def mean_by(df: DataFrame, *keys: str) -> DataFrame:
     """Mean units by one or more columns."""
-    return known(df, *keys).groupBy(*keys).agg(F.avg(UNITS).alias("avg_units"))
+    return known(df, *keys).groupBy(*keys).agg(mean(df, UNITS).alias("avg_units"))
 
 
 def _month_name() -> Column:
@@ -32,7 +37,7 @@ def monthly_by(df: DataFrame, key: str) -> DataFrame:
     form holds one row per key.
     """
     dated = known(df, "date", key).withColumn("month_no", F.month("date"))
-    wide = dated.groupBy(key).pivot("month_no", list(range(1, 13))).agg(F.avg(UNITS))
+    wide = dated.groupBy(key).pivot("month_no", list(range(1, 13))).agg(mean(df, UNITS))
     months = F.array(*[F.struct(F.lit(m).alias("month_no"), F.col(f"`{m}`").alias("avg_units")) for m in range(1, 13)])
     return wide.select(key, F.inline(months)).select("month_no", _month_name(), key, "avg_units")
 
@@ -83,14 +88,14 @@ def seasonality_summary(df: DataFrame) -> DataFrame:
     """
     cube = (
         df.withColumn("month_no", F.month("date")).groupBy("category", "weather", "month_no")
-        .agg(F.sum(UNITS).alias("units"), F.count(UNITS).alias("n"))
+        .agg(F.sum(UNITS).alias("units"), count(df, UNITS).alias("n"))
     )
 
     def means(*keys: str) -> DataFrame:
         # A NULL key gets a NULL value instead of a filter, which would be moved below the shared table.
         sums = cube.groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
-        mean = F.col("units") / F.nullif(F.col("n"), F.lit(0))
-        return sums.select(*keys, F.when(reduce(and_, (F.col(k).isNotNull() for k in keys)), mean).alias("value"))
+        ratio = F.col("units") / F.nullif(F.col("n"), F.lit(0))
+        return sums.select(*keys, F.when(reduce(and_, (F.col(k).isNotNull() for k in keys)), ratio).alias("value"))
 
     month = largest(means("month_no"), "value", 1, "month_no").select(F.lit("peak_month").alias("item"), _month_name().alias("label"), "value")
     spread = means("category", "month_no").groupBy("category").agg(
@@ -124,4 +129,19 @@ def high_variance_products(df: DataFrame, n: int = 5) -> DataFrame:
 
 def day_of_week_sales(df: DataFrame) -> DataFrame:
     """W20."""
-    return mean_by(known(df, "date").withColumn("day_name", F.date_format("date", "EEEE")), "day_name")
+    if "day_name" not in df.columns:
+        df = df.withColumn("day_name", F.date_format("date", "EEEE"))
+    return mean_by(df, "day_name")
+
+
+def calendar_sums(df: DataFrame) -> DataFrame:
+    """Sums by month, weekday and the small dimensions; the date of a row is the first of its month."""
+    dated = df.withColumns({"day_name": F.date_format("date", "EEEE"), "date": F.trunc("date", "month")})
+    keys = ["date", "day_name", "category", "region", "weather", "holiday_promotion", "seasonality"]
+    return summed(dated, keys, units_sold=F.col(UNITS))
+
+
+def product_sums(df: DataFrame) -> DataFrame:
+    """Sums by product, month and season."""
+    months = df.withColumn("date", F.trunc("date", "month"))
+    return summed(months, ["product_id", "date", "seasonality"], units_sold=F.col(UNITS))

@@ -380,7 +380,28 @@ SEASONAL_SUMMARY = f"""
   UNION ALL SELECT * FROM (SELECT 'best_weather', weather, avg_units FROM ({mean_by("weather")}) AS c ORDER BY avg_units DESC, weather LIMIT 1) AS r
   UNION ALL SELECT * FROM (SELECT 'worst_weather', weather, avg_units FROM ({mean_by("weather")}) AS d ORDER BY avg_units, weather LIMIT 1) AS s"""
 
+def labelled(name: str, body: str, value: str, *keys: str) -> str:
+    label = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"SELECT '{name}' AS table_name, {label} AS label, {value} AS value FROM ({body}) AS t"
+
+
 ORACLE: dict[str, str] = {
+    "s3_read_results": sql("pct", "SELECT status AS supply_status, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM f GROUP BY status"),
+    "w1_w20_from_sums": sql("value", union([
+        labelled("monthly_by_category", monthly("category"), "avg_units", "month_no", "month_name", "category"),
+        labelled("monthly_by_region", monthly("region"), "avg_units", "month_no", "month_name", "region"),
+        labelled("weather", mean_by("weather"), "avg_units", "weather"),
+        labelled("promotion", mean_by("holiday_promotion"), "avg_units", "holiday_promotion"),
+        labelled("season_category", mean_by("seasonality", "category"), "avg_units", "seasonality", "category"),
+        labelled("day_of_week", "SELECT dayname(date) AS day_name, avg(units_sold) AS avg_units FROM f GROUP BY 1", "avg_units", "day_name")])),
+    "g7_g14_from_sums": sql("value", union([
+        labelled("discount", "SELECT discount, avg(revenue) AS avg_revenue FROM f GROUP BY discount", "avg_revenue", "discount"),
+        labelled("category_discount", "SELECT category, discount, avg(revenue) AS avg_revenue FROM f GROUP BY category, discount", "avg_revenue", "category", "discount"),
+        labelled("optimal_discount", "SELECT discount, avg(revenue) AS avg_revenue FROM f GROUP BY discount ORDER BY avg_revenue DESC, discount LIMIT 1", "avg_revenue", "discount"),
+        labelled("bucket", every_bucket("avg_revenue", "revenue"), "avg_revenue", "bucket_no", "bucket"),
+        labelled("category_bucket", CATEGORY_BUCKETS, "avg_revenue", "category", "bucket_no", "bucket"),
+        labelled("category_position", f"""SELECT category, bucket, avg_revenue FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY avg_revenue DESC, bucket_no) AS rn
+          FROM ({CATEGORY_BUCKETS}) AS c) AS x WHERE rn = 1""", "avg_revenue", "category", "bucket")]), labels()),
     "s1_read_fact": sql("demand_forecast price competitor_pricing", "SELECT * FROM fact"),
     "s2_write_json": sql("pct", "SELECT status AS supply_status, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM f GROUP BY status"),
     "c1_calendar_columns": sql("", """SELECT date, store_id, year(date) AS year, quarter(date) AS quarter, month(date) AS month, weekofyear(date) AS week,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,13 @@ def _json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return comparable(S.read_results(spark, path, result.schema))
 
 
+def _read_results(spark: SparkSession, folder: str) -> DataFrame:
+    """An earlier result together with a missing one, which counts as empty."""
+    found = _json_round_trip(spark, folder)
+    missing = S.read_results(spark, f"{shared_folder(spark)}/results-{spark.sparkContext.applicationId}/none", found.schema)
+    return found.unionByName(missing)
+
+
 def _run_stats(spark: SparkSession, folder: str) -> DataFrame:
     return S.run_stats(retail_view(spark, folder, FACT_COLUMNS))
 
@@ -193,12 +201,48 @@ def _category_advice(df: DataFrame) -> DataFrame:
     return fits.select("category", "elasticity", C.category_price_action(F.col("elasticity")).alias("recommendation"))
 
 
+def _labelled(tables: dict[str, DataFrame], value: str) -> DataFrame:
+    """Tables of different keys in one long form: table, label, value."""
+    parts = [
+        table.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in table.columns if c != value]).alias("label"),
+                     F.col(value).alias("value")) for name, table in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _from_calendar_sums(df: DataFrame) -> DataFrame:
+    """Several seasonality tables of a batch, all from one pass over the fact."""
+    sums = W.calendar_sums(df)
+    return _labelled({
+        "monthly_by_category": W.monthly_by(sums, "category"),
+        "monthly_by_region": W.monthly_by(sums, "region"),
+        "weather": W.mean_by(sums, "weather"),
+        "promotion": W.mean_by(sums, "holiday_promotion"),
+        "season_category": W.mean_by(sums, "seasonality", "category"),
+        "day_of_week": W.day_of_week_sales(sums),
+    }, "avg_units")
+
+
+def _from_price_sums(df: DataFrame) -> DataFrame:
+    """The discount and price-position tables of a batch, all from one pass over the fact."""
+    sums = G.price_sums(df)
+    return _labelled({
+        "discount": G.discount_revenue(sums),
+        "category_discount": G.category_discount_revenue(sums),
+        "optimal_discount": G.optimal_discount(sums),
+        "bucket": G.bucket_revenue(sums),
+        "category_bucket": G.category_bucket_revenue(sums),
+        "category_position": G.category_price_position(sums),
+    }, "avg_revenue")
+
+
 SUPPLY_COLUMNS = "inventory_level units_sold demand_forecast"
 
 QUERIES: dict[str, Query] = {
     # Sources and sinks
     "s1_read_fact": _over((*FACT_COLUMNS, "sku"), lambda df: df),
     "s2_write_json": _json_round_trip,
+    "s3_read_results": _read_results,
     "s4_sample_rows": _over("price units_sold inventory_level category", S.sample_rows),
     "s5_run_stats": _run_stats,
     # Projections
@@ -292,6 +336,7 @@ QUERIES: dict[str, Query] = {
     "w18_best_region_by_season": _over("seasonality region units_sold", lambda df: W.top_by_season(df, "region")),
     "w19_seasonal_overall": _over("seasonality units_sold", lambda df: W.mean_by(df, "seasonality")),
     "w20_day_of_week_sales": _over("date units_sold", W.day_of_week_sales),
+    "w1_w20_from_sums": _over("date category region weather holiday_promotion seasonality units_sold", _from_calendar_sums),
     # Supply
     "y1_supply_status_counts": _over("inventory_level units_sold", Y.supply_status_counts),
     "y2_status_by_category": _over("category inventory_level units_sold", lambda df: Y.status_pivot(df, "category")),
@@ -342,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "g14_category_price_position": _over(POSITION, G.category_price_position),
     "g15_category_price_recommendations": _over(PRICES, G.category_price_recommendations),
     "g16_product_price_recommendations": _over("product_id price units_sold", G.product_price_recommendations),
+    "g7_g14_from_sums": _over(POSITION, _from_price_sums),
     # Forecasting
     "f1_daily_totals": _over("date units_sold", FC.daily_totals),
     "f2_daily_by_category": _over("date category units_sold", lambda df: FC.daily_by(df, "category")),
