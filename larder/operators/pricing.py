@@ -1,6 +1,7 @@
 """Price elasticity, discounts and competitor prices.
 
-G7-G14 also accept the sums of `price_sums` in place of the fact.
+G7-G14 also accept the sums of `price_sums` in place of the fact; G4, G5, G15 and G16 accept
+a table that `product_elasticity` has returned.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ def price_points(df: DataFrame, key: str = "product_id") -> DataFrame:
 
 def _fits(df: DataFrame, key: str) -> DataFrame:
     """Log-log line, price range and number of usable points per product, as one aggregate."""
+    if "elasticity" in df.columns:
+        return df
     points = _points(df, key).where(_usable()).withColumns({"x": F.log("price"), "y": F.log("avg_units")})
     return points.groupBy(key).agg(
         F.count("*").alias("n_points"),
@@ -65,6 +68,8 @@ def product_category(df: DataFrame, key: str = "product_id") -> DataFrame:
 
 def product_elasticity(df: DataFrame, key: str = "product_id", params: Params = DEFAULTS) -> DataFrame:
     """Slope of ln(units) on ln(price) over the price points of each product."""
+    if "elastic_status" in df.columns:
+        return df
     fits = _fits(df, key).select(key, "elasticity", "avg_price", "n_points")
     status = F.when(F.col("elasticity") < params.elasticity_threshold, "Elastic").otherwise("Inelastic")
     return fits.withColumn("elastic_status", status).join(product_category(df, key), key, "left")

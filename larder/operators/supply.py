@@ -1,4 +1,8 @@
-"""Supply analysis."""
+"""Supply analysis.
+
+Y4-Y6 and Y13 also accept a table that `product_supply_metrics` has returned, so that a
+batch of them reads the fact once.
+"""
 
 from __future__ import annotations
 
@@ -57,6 +61,8 @@ def status_pivot(df: DataFrame, key: str, params: Params = DEFAULTS) -> DataFram
 
 def product_supply_metrics(df: DataFrame, *keys: str, params: Params = DEFAULTS) -> DataFrame:
     """Status, gap, units, inventory, accuracy and ratio by product and category (or given keys)."""
+    if "avg_gap" in df.columns:
+        return df
     keys = keys or ("product_id", "category")
     marked = known(df, *keys).withColumn("status", supply_status(params))
     grouped = marked.groupBy(*keys).agg(
@@ -138,7 +144,5 @@ def store_sums(df: DataFrame) -> DataFrame:
 
 def poor_forecast_products(df: DataFrame, n: int = 5) -> DataFrame:
     """Products and categories with the smallest accuracy."""
-    accuracy = known(df, "product_id", "category").groupBy("product_id", "category").agg(
-        F.avg(forecast_accuracy()).alias("avg_accuracy")
-    )
+    accuracy = product_supply_metrics(df).select("product_id", "category", "avg_accuracy")
     return smallest(accuracy, "avg_accuracy", n, "product_id", "category")

@@ -165,6 +165,29 @@ def test_price_points_need_three_usable_prices(fact):
     assert len(curve) == 100 and curve[0]["fitted_units"] == pytest.approx(8) and curve[-1]["price"] == pytest.approx(4)
 
 
+def test_batches_give_the_same_tables(fact):
+    rows = [dict(date=day(7 * i), category="AB"[i % 2], discount=5 * (i % 3), price=10.0 + i % 5, units_sold=i % 4 + 1,
+                 product_id=f"P{i % 3}", inventory_level=i % 4) for i in range(60)]
+    df = fact([*rows, dict(category=None, price=None)])
+
+    def same(operator, shared):
+        names = operator(df).columns
+        left, right = (sorted((tuple(r[c] for c in names) for r in operator(x).collect()), key=repr) for x in (df, shared))
+        assert len(left) == len(right) > 0
+        for a, b in zip(left, right):
+            assert all(x == pytest.approx(y) if isinstance(x, float) else x == y for x, y in zip(a, b))
+
+    calendar = W.calendar_sums(df)
+    for operator in (W.seasonality_summary, W.day_of_week_sales, lambda x: W.peak_month(x, "category")):
+        same(operator, calendar)
+    same(W.product_peak_month, W.product_sums(df))
+    prices = G.price_sums(df)
+    for operator in (G.category_optimal_discount, G.bucket_units, G.bucket_revenue):
+        same(operator, prices)
+    same(Y.critical_undersupply, Y.product_supply_metrics(df))
+    same(G.product_price_recommendations, G.product_elasticity(df))
+
+
 def test_first_category_is_the_earliest(fact):
     df = fact([dict(date=day(1), category="A"), dict(date=day(0), store_id="S2", category="B"), dict(date=day(0), category="C")])
     assert G.product_category(df).first()["category"] == "C"
