@@ -77,7 +77,8 @@ def _forecast(panel: DataFrame, fit: Fit, horizon: int, holdout: Callable[[int],
 
 
 def _last_part(params: Params) -> Callable[[int], int]:
-    return lambda n: n - int(n * params.train_fraction)
+    fraction = params.train_fraction  # a plain number travels to the workers
+    return lambda n: n - int(n * fraction)
 
 
 def seasonal_forecast(panel: DataFrame, params: Params = DEFAULTS) -> DataFrame:

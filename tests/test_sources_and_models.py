@@ -1,7 +1,10 @@
 import math
+import subprocess
+import sys
 from dataclasses import replace
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from larder.operators import forecast as FC
@@ -117,3 +120,11 @@ def test_forest(spark, folder, monkeypatch, limit):
     assert ("store_level" in names) == (limit == 2) and "lag_7" in names
     without = M.forest_features(df, use_lags=False)
     assert "lag_7" not in without.columns
+
+
+def test_fits_travel_without_the_package():
+    """The workers may not have this package, so nothing sent to them may refer to it."""
+    for sent in (M._seasonal(7), M._regression, M._last_part(DEFAULTS)):
+        code = "import pickle, sys; pickle.load(sys.stdin.buffer); print([m for m in sys.modules if m.startswith('larder')])"
+        done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(sent), capture_output=True, cwd="/")
+        assert done.stdout.decode().strip() == "[]", done.stderr.decode()
