@@ -22,7 +22,7 @@ from larder.operators import seasonality as W
 from larder.operators import supply as Y
 from larder.operators import validate as Q
 from larder.schema import CATEGORICAL_COLUMNS, FACT_COLUMNS, NUMERIC_COLUMNS
-from larder.session import shared_folder
+from larder.session import fresh_path
 from larder.sources import results as S
 from larder.sources.fact import retail_view
 
@@ -101,10 +101,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 def _json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Write a result as JSON into the shared folder and read it back."""
     result = Y.supply_status_counts(retail_view(spark, folder, ["inventory_level", "units_sold"]))
-    shared = shared_folder(spark)
-    if shared is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    path = f"{shared}/results-{spark.sparkContext.applicationId}/supply_status"
+    path = fresh_path(spark, "supply_status")
     S.write_json(result, path)
     return comparable(S.read_results(spark, path, result.schema))
 
@@ -112,7 +109,7 @@ def _json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def _read_results(spark: SparkSession, folder: str) -> DataFrame:
     """An earlier result together with a missing one, which counts as empty."""
     found = _json_round_trip(spark, folder)
-    missing = S.read_results(spark, f"{shared_folder(spark)}/results-{spark.sparkContext.applicationId}/none", found.schema)
+    missing = S.read_results(spark, fresh_path(spark, "none"), found.schema)
     return found.unionByName(missing)
 
 

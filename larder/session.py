@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,28 +23,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, or None on a cluster that names none.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors can reach.
 
-    Only a session on one machine may fall back to a folder of that machine.
+    It is the one in spark.checkpoint.dir; a session without that setting uses its warehouse,
+    which is shared as well. The master does not matter.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="larder-")
-    return None
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/larder-{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no earlier call has used."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote through fresh_path, once its results are taken."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_own(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def durable(df: DataFrame, name: str = "durable") -> DataFrame:
     """Cut the lineage of a result that is read many times.
 
     The rows are written once as a table in the shared folder, so a lost executor costs a
-    re-read and not a re-computation. Without such a folder the plan stays lazy.
+    re-read and not a re-computation.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/durable-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
