@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import token_files
+from larder.llm import chunk_bpe, packing, token_files
 from larder.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,5 +27,23 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Query] = {"op1_token_files": op1_token_files}
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, folder), public_tokenizers.path(VOCABULARY), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "padded_length")
+
+
+def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chunk_bpe.encode_and_decode(documents(spark, folder), public_tokenizers.path(VOCABULARY))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_token_files": op1_token_files,
+    "op6_packing": op6_packing,
+    "op10_chunk_bpe": op10_chunk_bpe,
+}
 ORACLE: dict[str, str] = {}
