@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chunk_bpe, packing, token_files
+from larder.llm import chunk_bpe, chunk_recipes, packing, token_files
 from larder.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "sequence_id", "offset", "padded_length")
 
 
+def op9_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_recipes.duplicates(documents(spark, folder))
+
+
 def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = chunk_bpe.encode_and_decode(documents(spark, folder), public_tokenizers.path(VOCABULARY))
     return rows.select(
@@ -44,6 +48,18 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op6_packing": op6_packing,
+    "op9_chunk_recipes": op9_chunk_recipes,
     "op10_chunk_bpe": op10_chunk_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_chunk_recipes": r"""
+        WITH rows AS (
+            SELECT doc_id, length(coalesce(text, '')) AS points,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+            FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+               row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256
+        FROM rows
+        WINDOW best AS (PARTITION BY norm ORDER BY points DESC, doc_id)
+    """,
+}
