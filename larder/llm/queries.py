@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chunk_bpe, chunk_recipes, packing, token_files
+from larder.llm import chunk_bpe, chunk_recipes, packing, simhash, token_files
 from larder.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(documents(spark, folder), public_tokenizers.path(VOCABULARY), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -47,6 +52,7 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_simhash": op2_simhash,
     "op6_packing": op6_packing,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_chunk_bpe": op10_chunk_bpe,
