@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chunk_bpe, chunk_recipes, packing, simhash, token_files
+from larder.llm import chunk_bpe, chunk_recipes, decision_list, packing, simhash, token_files
 from larder.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Write the token files of all documents, read them back, and state each document's place and digest."""
     path = fresh_path(spark, "token_files")
@@ -32,6 +36,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    return decision_list.quality_rules(documents(spark, folder), labels(spark, folder))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(documents(spark, folder), public_tokenizers.path(VOCABULARY), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -53,6 +61,7 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_simhash": op2_simhash,
+    "op5_decision_list": op5_decision_list,
     "op6_packing": op6_packing,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_chunk_bpe": op10_chunk_bpe,
