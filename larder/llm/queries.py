@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chunk_bpe, chunk_recipes, decision_list, packing, simhash, token_files
+from larder.llm import chunk_bpe, chunk_recipes, decision_list, gam, language, packing, simhash, token_files
 from larder.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +37,17 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_gam(spark: SparkSession, folder: str) -> DataFrame:
+    return gam.quality_scores(documents(spark, folder), labels(spark, folder))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder)
+    model = language.learn(rows.where(~language.held_out()), public_tokenizers.path(PIECES))
+    found = language.identify(rows, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     return decision_list.quality_rules(documents(spark, folder), labels(spark, folder))
 
@@ -61,6 +73,8 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_simhash": op2_simhash,
+    "op3_gam": op3_gam,
+    "op4_language": op4_language,
     "op5_decision_list": op5_decision_list,
     "op6_packing": op6_packing,
     "op9_chunk_recipes": op9_chunk_recipes,
