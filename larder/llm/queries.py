@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chunk_bpe, chunk_recipes, decision_list, gam, language, packing, simhash, token_files
+from larder.llm import (
+    chunk_bpe, chunk_recipes, decision_list, gam, language, licenses, packing, pseudonyms, simhash, token_files,
+)
 from larder.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+KEY = "a key for the test tables"  # a user of pseudonyms passes an own one
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +61,15 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "sequence_id", "offset", "padded_length")
 
 
+def op7_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(documents(spark, folder).select("doc_id", "text"), KEY, finds_col="finds")
+    return found.withColumn("n_finds", F.coalesce(F.size("finds"), F.lit(0)))
+
+
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scans(documents(spark, folder))
+
+
 def op9_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_recipes.duplicates(documents(spark, folder))
 
@@ -77,6 +89,8 @@ QUERIES: dict[str, Query] = {
     "op4_language": op4_language,
     "op5_decision_list": op5_decision_list,
     "op6_packing": op6_packing,
+    "op7_pseudonyms": op7_pseudonyms,
+    "op8_licenses": op8_licenses,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_chunk_bpe": op10_chunk_bpe,
 }
