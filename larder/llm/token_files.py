@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm.encoding import PiecewiseEncoder, slices, vocabulary_text, with_end
@@ -39,7 +39,7 @@ SEQUENCE_LENGTH = 2048
 SEQUENCES_A_BATCH = 256
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, path string, docs long, tokens long, sequences long"
-READ = "part int, doc_id long, local_start long, n_tokens long, ids binary"
+READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,29 +174,28 @@ class TokenPart:
 
 
 def read_token_files(spark: SparkSession, folder: str, id_bytes_a_batch: int = 8 << 20) -> DataFrame:
-    """One row per document: part, doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+    """One row per document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # One row per part, so this window holds as many rows as there are files.
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    known = manifest.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = manifest.select("part", "path", F.coalesce(before, F.lit(0)).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, path in zip(batch["part"].to_pylist(), batch["path"].to_pylist()):
+            for path, tokens_before in zip(batch["path"].to_pylist(), batch["before"].to_pylist()):
                 part = TokenPart.open(path)
                 rows, starts, ids, held = [], [], [], 0
 
                 def out():
                     names = pa.array(rows, pa.int64())
                     return pa.RecordBatch.from_pydict({
-                        "part": pa.array([number] * len(rows), pa.int32()),
                         "doc_id": pc.take(part.docs["doc_id"], names).combine_chunks(),
-                        "local_start": pa.array(starts, pa.int64()),
+                        "start": pa.array(starts, pa.int64()),
                         "n_tokens": pc.take(part.docs["n_tokens"], names).combine_chunks(),
                         "ids": pa.array(ids, pa.binary())})
 
                 for row, start, found in part.documents():
-                    rows.append(row), starts.append(start), ids.append(found.tobytes())
+                    rows.append(row), starts.append(tokens_before + start), ids.append(found.tobytes())
                     held += len(ids[-1])
                     if held > id_bytes_a_batch:
                         yield out()
@@ -205,7 +204,4 @@ def read_token_files(spark: SparkSession, folder: str, id_bytes_a_batch: int = 8
                     yield out()
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = manifest.select("part", "path").repartition(tasks, "part")
-    start: Column = F.col("local_start") + F.col("before")
-    return parts.mapInArrow(read, READ).join(known, "part").select(
-        "doc_id", start.alias("start"), "n_tokens", "ids")
+    return placed.repartition(tasks, "part").mapInArrow(read, READ)
