@@ -46,7 +46,7 @@ class Costs:
     sentence_penalty: int = 24
     inner_penalty: int = 160
     grid: int = 64
-    closest: int = 16  # sentence ends nearer than this to the previous cut place are left out
+    closest: int = 16  # of the places in a cell of so many ids the first is used, and all ends of documents
     block: int = 1 << 18
     least_power: int = 64  # shorter powers of two are not aimed at
 
@@ -61,7 +61,7 @@ def cut_places(ends: np.ndarray, sentences: np.ndarray, costs: Costs) -> tuple[n
     penalty = np.full(len(places), costs.inner_penalty, dtype=np.int64)
     penalty[np.searchsorted(places, sentences)] = costs.sentence_penalty
     penalty[np.searchsorted(places, ends)] = 0
-    keep = (np.diff(places, prepend=0) >= costs.closest) | (penalty == 0)
+    keep = (np.diff(places // costs.closest, prepend=-1) > 0) | (penalty == 0)  # the first of each cell
     return places[keep], penalty[keep]
 
 
