@@ -33,7 +33,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.chunk_recipes import free_name
 from larder.llm.encoding import slices
 from larder.session import durable
 
@@ -296,9 +295,18 @@ def held_out(id_col: str = "doc_id", every: int = 5) -> Column:
 
 
 def reject_unknown(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose language could be told, with all columns."""
-    number = free_name(df, "row_number_of_table")
-    numbered = durable(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    unknown = identify(numbered, model, number, text_col).where(F.col("lang_pred") == UNKNOWN)
-    rows = durable(unknown.select(F.col("doc_id").alias(number)), "unknown_language")
-    return numbered.join(rows, number, "left_anti").drop(number)
+    """The rows whose language could be told, with all columns; one pass without a copy or a join."""
+    if not model.languages:
+        return df.limit(0)
+    sent = df.sparkSession.sparkContext.broadcast(model.parts())  # one number for each piece and language
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(Model(*sent.value))
+        for batch in batches:
+            texts = batch.column(place)
+            for a, b in slices(texts):
+                lang, _ = scorer.score(texts[a:b])
+                yield batch.slice(a, b - a).filter(pc.not_equal(lang, UNKNOWN))
+
+    return df.mapInArrow(run, df.schema)
