@@ -5,8 +5,8 @@ longest run that rises in both is kept as anchors, and the gaps between anchors
 same way; a gap without such words is matched from its ends inwards. The coverage is the matched share
 of the template's words.
 
-Only places that can hold a template are aligned. A pair of words that stand side by side in the
-template marks such a place; marks that are nearer than a template's length belong to one place,
+Only places that can hold a template are aligned. A pair of words that stand side by side once in
+the template marks such a place; marks that are nearer than a template's length belong to one place,
 and a place ends where the marks start over, so that each copy is found. Texts without any of a
 template's long words are passed over: they cannot reach the coverage.
 
@@ -122,8 +122,10 @@ class Scanner:
         self.pairs: dict[tuple[str, str], list[tuple[str, int]]] = defaultdict(list)
         self.needed: set[str] = set()
         for name, words in self.words.items():
-            for k, pair in enumerate(zip(words, words[1:])):
-                self.pairs[pair].append((name, k))
+            pairs = list(zip(words, words[1:]))
+            for k, pair in enumerate(pairs):
+                if pairs.count(pair) == 1:
+                    self.pairs[pair].append((name, k))
             long = [w for w in words if len(w) >= LONG_WORD]
             if len(long) <= (1 - least) * len(words):
                 raise ValueError(f"{name} has too few long words to be looked for by them")
