@@ -2,7 +2,8 @@
 
 The built-in exact `percentile` keeps every distinct value of a group in one buffer, and
 `percentile_approx` is not exact. Here the range that holds a wanted rank is narrowed by
-counting: each level cuts the range into equal cells, counts the rows per cell (partial
+counting: each level cuts the range into cells, equal on a logarithmic scale at first and then
+equal within the cell that is left, counts the rows per cell (partial
 counts before the shuffle) and keeps the one cell with the rank. The last level counts the
 distinct values of what is left. Counts, minima and maxima are exact and do not depend on
 the order of rows, so a lost and recomputed task cannot change the result.
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.nulls import known
 
-CELLS = 4096
+CELLS = 1 << 14
+LARGEST_LOG = 800.0  # above the logarithm of any double
 LEVELS = 2
 
 
@@ -48,7 +50,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     )
     for level in range(levels + 1):
         held = rows.join(few(ranges), keys).where(F.col("_v").between(F.col("low"), F.col("high")))
-        cell = F.col("_v") if level == levels else _cell(F.col("_v"), F.col("low"), F.col("high"))
+        cell = F.col("_v") if level == levels else _cell(F.col("_v"), F.col("low"), F.col("high"), level)
         order = Window.partitionBy(*keys, "low").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         cells = held.groupBy(*keys, "low", cell.alias("cell")).agg(
             F.count("*").alias("rows"), F.min("_v").alias("cell_low"), F.max("_v").alias("cell_high"),
@@ -82,8 +84,17 @@ def _within(rank: Column) -> Column:
     return (rank >= F.col("before")) & (rank < F.col("before") + F.col("rows"))
 
 
-def _cell(v: Column, low: Column, high: Column) -> Column:
-    cell = F.least(F.floor((v - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+def _scale(v: Column) -> Column:
+    """Signed logarithm: outliers of any size, or infinities, leave the other values apart."""
+    return F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(LARGEST_LOG))
+
+
+def _cell(v: Column, low: Column, high: Column, level: int) -> Column:
+    """Cells of equal width: on a logarithmic scale first, then within one such cell."""
+    if level == 0:
+        v, low, high = _scale(v), _scale(low), _scale(high)
+    share = F.nanvl((v - low) / (high - low), F.lit(0.0))
+    cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
     return F.when(high > low, cell).otherwise(0).cast("int")
 
 

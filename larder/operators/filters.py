@@ -27,8 +27,10 @@ class Slice:
 
 def filter_slice(df: DataFrame, chosen: Slice) -> DataFrame:
     """Plain predicates, which Spark moves into the scan; dates are inclusive."""
-    if chosen.start and chosen.end:
-        df = df.where(F.col("date").between(F.lit(chosen.start).cast("date"), F.lit(chosen.end).cast("date")))
+    if chosen.start:
+        df = df.where(F.col("date") >= F.lit(chosen.start).cast("date"))
+    if chosen.end:
+        df = df.where(F.col("date") <= F.lit(chosen.end).cast("date"))
     lists = {
         "category": chosen.categories,
         "store_id": chosen.stores,

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import seasonal_ar
@@ -92,11 +92,9 @@ def seasonal_holdout(panel: DataFrame, params: Params = DEFAULTS, last_days: int
     return _forecast(panel, _seasonal(params.season_length), 0, held)
 
 
-def regression_series(panel: DataFrame, n_categories: int = 3) -> DataFrame:
-    """the total and the first categories by name."""
-    names = panel.where(F.col("kind") == "category").select("series_id").distinct().orderBy("series_id").limit(n_categories)
-    categories = panel.where(F.col("kind") == "category").join(F.broadcast(names), "series_id", "left_semi")
-    return panel.where(F.col("kind") == "total").unionByName(categories)
+def regression_series(panel: DataFrame) -> DataFrame:
+    """the total and every category."""
+    return panel.where(F.col("kind").isin("total", "category"))
 
 
 def regression_forecast(panel: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -134,7 +132,7 @@ class ForestFit:
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
 
-MAX_STORE_COLUMNS = 256
+TRAINING_PARTITIONS = 64
 
 
 def forest_features(df: DataFrame, use_lags: bool = True, params: Params = DEFAULTS) -> DataFrame:
@@ -145,37 +143,27 @@ def forest_features(df: DataFrame, use_lags: bool = True, params: Params = DEFAU
     return store_day_split(drop_incomplete(daily), params)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Use all cores for training when the written rows lie in fewer partitions than that."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, "date", "store_id")
+def with_store_level(daily: DataFrame) -> DataFrame:
+    """A store's mean sales over its earlier days: one number for any number of stores, from the past only."""
+    earlier = Window.partitionBy("store_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    return daily.withColumn("store_level", F.coalesce(F.avg("units_sold").over(earlier), F.lit(0.0)))
 
 
-def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: bool = True) -> ForestFit:
+def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: bool = True,
+                           partitions: int = TRAINING_PARTITIONS) -> ForestFit:
     """a forest over store-day features.
 
-    Training reads its rows many times, so they are written once to the shared folder.
-    Stores become one column each while they are few. Beyond that each store enters as
-    its mean sales over the training rows, the order in which a regression tree would
-    arrange the categories anyway.
+    Training reads its rows many times, so they are written once to the shared folder. A store enters
+    as its mean sales of earlier days, whatever the number of stores. The rows lie in a fixed number of
+    partitions by key, because the trees' samples are drawn by partition.
     """
-    features = _spread(durable(forest_features(df, use_lags, params)))
+    rows = durable(with_store_level(forest_features(df, use_lags, params)))
+    features = rows.repartition(partitions, "date", "store_id").sortWithinPartitions("date", "store_id")
     numbers = ["avg_inventory", "avg_price", "avg_discount", "avg_competitor", "holiday_promotion",
-               "month", "year", "day", "weekday", "week"]
+               "month", "year", "day", "weekday", "week", "store_level"]
     if use_lags:
         numbers += [f"lag_{k}" for k in LAGS] + [f"rolling_{w}" for w in WINDOWS]
     texts = ["weather"]
-    few_stores = features.select("store_id").distinct().limit(MAX_STORE_COLUMNS + 1).count() <= MAX_STORE_COLUMNS
-    if few_stores:
-        texts.append("store_id")
-    else:
-        level = features.where(F.col("split") == "train").groupBy("store_id").agg(F.avg("units_sold").alias("store_level"))
-        overall = features.where(F.col("split") == "train").agg(F.avg("units_sold")).scalar()
-        features = features.join(level, "store_id", "left").withColumn("store_level", F.coalesce("store_level", overall))
-        features = _spread(durable(features))
-        numbers.append("store_level")
     train = features.where(F.col("split") == "train")
     stages = [
         StringIndexer(inputCols=texts, outputCols=[f"{t}_no" for t in texts], handleInvalid="keep", stringOrderType="alphabetAsc"),

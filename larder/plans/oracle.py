@@ -50,6 +50,9 @@ damaged AS (
 """
 
 COLUMNS = ", ".join(FACT_COLUMNS)
+DAYS_AND_REGIONS = "date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND region IN ('ASIA', 'EUROPE')"
+CATEGORY_CHOICE = "category IN ('ECONOMY', 'STANDARD')"
+PRODUCT_CHOICE = "product_id IN ('Brand#11', 'Brand#12')"
 
 
 def sql(doubles: str, body: str, ctes: str = "") -> str:
@@ -402,6 +405,8 @@ ORACLE: dict[str, str] = {
         labelled("category_bucket", CATEGORY_BUCKETS, "avg_revenue", "category", "bucket_no", "bucket"),
         labelled("category_position", f"""SELECT category, bucket, avg_revenue FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY avg_revenue DESC, bucket_no) AS rn
           FROM ({CATEGORY_BUCKETS}) AS c) AS x WHERE rn = 1""", "avg_revenue", "category", "bucket")]), labels()),
+    "s1_read_fact_csv": sql("demand_forecast price competitor_pricing", f"SELECT {COLUMNS} FROM fact"),
+    "s1_read_fact_parquet": sql("demand_forecast price competitor_pricing", f"SELECT {COLUMNS} FROM fact"),
     "s1_read_fact": sql("demand_forecast price competitor_pricing", "SELECT * FROM fact"),
     "s2_write_json": sql("pct", "SELECT status AS supply_status, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM f GROUP BY status"),
     "c1_calendar_columns": sql("", """SELECT date, store_id, year(date) AS year, quarter(date) AS quarter, month(date) AS month, weekofyear(date) AS week,
@@ -581,6 +586,11 @@ ORACLE: dict[str, str] = {
         round_even(avg(price), 2) AS avg_price, round_even(avg(discount), 2) AS avg_discount FROM f GROUP BY product_id, category ORDER BY units_sold DESC, product_id, category LIMIT 10"""),
     "d5_inventory_vs_sales": sql("avg_inventory", """SELECT a.date, avg_inventory, units_sold FROM (SELECT date, avg(inventory_level) AS avg_inventory FROM f GROUP BY date) AS a
         JOIN (SELECT date, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f GROUP BY date) AS b ON a.date = b.date"""),
+    "d2_sales_trend_sliced": sql("", f"SELECT date, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f WHERE {DAYS_AND_REGIONS} AND {CATEGORY_CHOICE} AND {PRODUCT_CHOICE} GROUP BY date"),
+    "d3_sales_by_category_sliced": sql("", f"SELECT category, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f WHERE {DAYS_AND_REGIONS} AND {PRODUCT_CHOICE} GROUP BY category"),
+    "d4_top_products_table_sliced": sql("avg_inventory avg_price avg_discount", f"""SELECT product_id, category, CAST(sum(units_sold) AS BIGINT) AS units_sold, round_even(avg(inventory_level), 1) AS avg_inventory,
+        round_even(avg(price), 2) AS avg_price, round_even(avg(discount), 2) AS avg_discount FROM f WHERE {DAYS_AND_REGIONS} AND {CATEGORY_CHOICE} GROUP BY product_id, category ORDER BY units_sold DESC, product_id, category LIMIT 10"""),
+    "d5_inventory_vs_sales_sliced": sql("avg_inventory", f"SELECT date, avg(inventory_level) AS avg_inventory, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f WHERE {DAYS_AND_REGIONS} AND {CATEGORY_CHOICE} AND {PRODUCT_CHOICE} GROUP BY date"),
     "d6_overview_cards": sql("", """SELECT count(DISTINCT product_id) AS n_products, count(DISTINCT store_id) AS n_stores, CAST(sum(units_sold) AS BIGINT) AS units_sold,
         (SELECT CAST(sum(inventory_level) AS BIGINT) FROM f WHERE date = (SELECT max(date) FROM f)) AS current_inventory FROM f"""),
     "d7_data_overview": sql("", union(["SELECT 'period_start' AS item, CAST(min(date) AS VARCHAR) AS value FROM f", "SELECT 'period_end', CAST(max(date) AS VARCHAR) FROM f",

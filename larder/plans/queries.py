@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,10 @@ from larder.operators import report as R
 from larder.operators import seasonality as W
 from larder.operators import supply as Y
 from larder.operators import validate as Q
-from larder.schema import CATEGORICAL_COLUMNS, FACT_COLUMNS, NUMERIC_COLUMNS
+from larder.schema import CATEGORICAL_COLUMNS, FACT_COLUMNS, FACT_FIELDS, NUMERIC_COLUMNS
 from larder.session import fresh_path
 from larder.sources import results as S
-from larder.sources.fact import retail_view
+from larder.sources.fact import read_fact_csv, read_fact_parquet, retail_view, write_fact
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,8 @@ def damaged(df: DataFrame) -> DataFrame:
 # A dashboard selection for the sliced tables.
 CHOSEN = P.Slice(start="1996-01-01", end="1999-12-31", categories=("ECONOMY", "STANDARD"), regions=("ASIA", "EUROPE"))
 
+CHOSEN_PRODUCTS = replace(CHOSEN, products=("Brand#11", "Brand#12"))
+
 SUPPLY = "product_id category inventory_level units_sold demand_forecast"
 STOCK = "date product_id store_id units_sold price"
 PRICES = "date product_id store_id category units_sold price"
@@ -98,6 +101,20 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return A.duplicate_count(documents, free_text=("text",))
 
 
+def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the fact as CSV with its columns turned round, and read it by their names."""
+    path = fresh_path(spark, "fact_csv")
+    view = retail_view(spark, folder, FACT_COLUMNS)
+    view.select(*[F.col(ours).alias(header) for header, ours, _ in reversed(FACT_FIELDS)]).write.csv(path, header=True)
+    return comparable(read_fact_csv(spark, path))
+
+
+def _parquet_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "fact_parquet")
+    write_fact(retail_view(spark, folder, FACT_COLUMNS), path)
+    return comparable(read_fact_parquet(spark, path))
+
+
 def _json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Write a result as JSON into the shared folder and read it back."""
     result = Y.supply_status_counts(retail_view(spark, folder, ["inventory_level", "units_sold"]))
@@ -238,6 +255,8 @@ SUPPLY_COLUMNS = "inventory_level units_sold demand_forecast"
 QUERIES: dict[str, Query] = {
     # Sources and sinks
     "s1_read_fact": _over((*FACT_COLUMNS, "sku"), lambda df: df),
+    "s1_read_fact_csv": _csv_round_trip,
+    "s1_read_fact_parquet": _parquet_round_trip,
     "s2_write_json": _json_round_trip,
     "s3_read_results": _read_results,
     "s4_sample_rows": _over("price units_sold inventory_level category", S.sample_rows),
@@ -304,7 +323,6 @@ QUERIES: dict[str, Query] = {
     "q3_rule_violations_damaged": _over(FACT_COLUMNS, lambda df: Q.rule_violations(damaged(df))),
     "q4_rule_summary": _over(FACT_COLUMNS, Q.rule_summary),
     "q4_rule_summary_damaged": _over(FACT_COLUMNS, lambda df: Q.rule_summary(damaged(df))),
-    "q5_schema_check": _over((*FACT_COLUMNS, "sku"), Q.schema_check),
     "q6_iqr_outliers": _over(Q.OUTLIER_COLUMNS, Q.iqr_outliers),
     "q7_date_continuity": _over("date", Q.date_continuity),
     "q7_missing_days": _over("date", Q.missing_days),
@@ -421,6 +439,11 @@ QUERIES: dict[str, Query] = {
     "d4_top_products_table": _over(
         "product_id category units_sold inventory_level price discount", D.top_products_table),
     "d5_inventory_vs_sales": _over("date inventory_level units_sold", D.inventory_vs_sales),
+    "d2_sales_trend_sliced": _over(KPI, lambda df: D.sales_trend(df, CHOSEN_PRODUCTS)),
+    "d3_sales_by_category_sliced": _over(KPI, lambda df: D.sales_by_category(df, CHOSEN_PRODUCTS)),
+    "d4_top_products_table_sliced": _over(
+        KPI + " price discount", lambda df: D.top_products_table(df, CHOSEN_PRODUCTS)),
+    "d5_inventory_vs_sales_sliced": _over(KPI, lambda df: D.inventory_vs_sales(df, CHOSEN_PRODUCTS)),
     "d6_overview_cards": _over("date product_id store_id units_sold inventory_level", D.overview_cards),
     "d7_data_overview": _over("date store_id product_id category region", D.data_overview),
     "r1_key_metrics": _over("date " + SUPPLY + " price", _key_metrics),

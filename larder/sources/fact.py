@@ -19,10 +19,18 @@ def read_fact_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fact_raw(spark: SparkSession, path: str) -> DataFrame:
-    """The CSV file as text under our column names, for checks on unparsed values."""
-    text = T.StructType([T.StructField(header, T.StringType()) for header, _, _ in FACT_FIELDS])
-    raw = spark.read.csv(path, schema=text, header=True, mode="PERMISSIVE")
-    return raw.toDF(*FACT_COLUMNS)
+    """The CSV file as text under our column names, for checks on unparsed values.
+
+    Columns are found by the names in the header, in any order; further columns are ignored, and a
+    missing one is an error. All files of a folder must have the header of the first.
+    """
+    header = spark.read.csv(path, header=True).columns
+    missing = [name for name, _, _ in FACT_FIELDS if name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    text = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    raw = spark.read.csv(path, schema=text, header=True, enforceSchema=False, mode="PERMISSIVE")
+    return raw.select(*[F.col(f"`{name}`").alias(ours) for name, ours, _ in FACT_FIELDS])
 
 
 def read_fact_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -106,9 +106,7 @@ def test_holdout_scores_the_last_part(spark):
     assert FC.forecast_leaderboard(M.seasonal_holdout(panel(spark, [float(i % 7) for i in range(100)], "product", "P"))).first()["rank"] == 1
 
 
-@pytest.mark.parametrize("limit", [256, 2])
-def test_forest(spark, folder, monkeypatch, limit):
-    monkeypatch.setattr(M, "MAX_STORE_COLUMNS", limit)
+def test_forest(spark, folder):
     df = source.retail_view(spark, folder, STORE_DAY.split())
     fit = M.random_forest_forecast(df, replace(DEFAULTS, trees=3, max_depth=4))
     split = {r["split"]: r["count"] for r in fit.features.groupBy("split").count().collect()}
