@@ -69,21 +69,57 @@ def units(raw: str) -> list[str]:
 
 
 class Lattice:
-    """Forward and backward sums for words of one length at a time; probability has a row for each piece."""
+    """Forward and backward sums for words of one length at a time; probability has a row for each piece.
+
+    Pieces are found by walking a tree of their characters for all the words at once.
+    """
 
     def __init__(self, pieces: Sequence[str], probability: np.ndarray, longest: int):
-        self.place = {p: i for i, p in enumerate(pieces)}
-        self.longest = longest
-        self.characters = {c for p in pieces for c in p if len(p) == 1}
+        self.longest, self.none, self.unknown = longest, len(pieces), len(pieces) + 1
+        self.single = np.full(sys.maxunicode + 1, self.unknown, dtype=np.int32)  # pieces of one character
+        self.class_of = np.zeros(sys.maxunicode + 1, dtype=np.int32)  # 0: in no longer piece
+        for k, piece in enumerate(pieces):
+            if len(piece) == 1:
+                self.single[ord(piece)] = k
+        for k, c in enumerate(sorted({c for p in pieces if len(p) > 1 for c in p}), 1):
+            self.class_of[ord(c)] = k
+        self.width = int(self.class_of.max()) + 1
+        steps: dict[tuple[int, int], int] = {}
+        ends = {}
+        for k, piece in enumerate(pieces):
+            node = 1
+            for c in self.class_of[[ord(c) for c in piece]].tolist() if len(piece) > 1 else ():
+                node = steps.setdefault((node, c), len(steps) + 2)
+            if node > 1:
+                ends[node] = k
+        # Node 0 is where no piece goes on, node 1 the root. Only nodes that go on have a row of next steps.
+        row = {node: r for r, node in enumerate(dict.fromkeys(n for n, _ in steps), 1)}
+        self.row = np.zeros(len(steps) + 2, dtype=np.int64)
+        self.row[list(row)] = list(row.values())
+        self.next = np.zeros((len(row) + 1) * self.width, dtype=np.int32)
+        if steps:
+            self.next[[row[node] * self.width + c for node, c in steps]] = list(steps.values())
+        self.piece = np.full(len(steps) + 2, self.none)
+        if ends:
+            self.piece[list(ends)] = list(ends.values())
         # Two further rows: no such piece, and an unknown character.
         languages = probability.shape[1]
         self.table = np.vstack([probability, np.zeros((1, languages)), np.full((1, languages), UNKNOWN_PIECE)])
 
-    def _found(self, words: list[str], i: int, j: int) -> np.ndarray:
-        none, unknown, get = len(self.place), len(self.place) + 1, self.place.get
-        if j - i > 1:
-            return np.array([get(w[i:j], none) for w in words])
-        return np.array([get(w[i:j], unknown) for w in words])
+    def _pieces(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
+        """For each part (i, j) of the words that some word has as a piece, the piece of each word."""
+        n = len(words[0])
+        points = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(len(words), n)
+        classes = self.class_of[points]
+        found = {}
+        for i in range(n):
+            node = np.ones(len(words), dtype=np.int32)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                node = self.next[self.row[node] * self.width + classes[:, j - 1]]
+                found[i, j] = self.single[points[:, i]] if j == i + 1 else self.piece[node]
+                if not node.any():
+                    break
+        return found
 
     def forward(self, words: list[str], keep: bool = False):
         """Log probability (words x languages); with keep also the sums and the pieces that were found.
@@ -93,14 +129,12 @@ class Lattice:
         n = len(words[0])
         alpha = [np.ones((len(words), self.table.shape[1]))]
         scale = [np.zeros(len(words))]
-        found = {}
+        found = self._pieces(words)
         for j in range(1, n + 1):
             total = np.zeros_like(alpha[0])
             for i in range(max(0, j - self.longest), j):
-                at = self._found(words, i, j)
-                if keep:
-                    found[i, j] = at
-                total += alpha[i] * self.table[at] * np.exp(scale[i] - scale[j - 1])[:, None]
+                if (i, j) in found:
+                    total += alpha[i] * self.table[found[i, j]] * np.exp(scale[i] - scale[j - 1])[:, None]
             most = total.max(axis=1)
             alpha.append(total / most[:, None])
             scale.append(scale[j - 1] + np.log(most))
@@ -115,7 +149,7 @@ class Lattice:
         beta = [None] * n + [np.ones_like(alpha[0])]  # scaled as alpha is: beta[j] * alpha[j] / end
         for j in range(n - 1, -1, -1):
             beta[j] = sum(self.table[found[j, k]] * beta[k] * np.exp(scale[j] - scale[k])[:, None]
-                          for k in range(j + 1, min(n, j + self.longest) + 1))
+                          for k in range(j + 1, min(n, j + self.longest) + 1) if (j, k) in found)
         share = weights / np.maximum(alpha[n], 1e-300)
         for (i, j), at in found.items():
             use = alpha[i] * self.table[at] * beta[j] * np.exp(scale[i] - scale[j])[:, None] * share
