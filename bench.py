@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,7 +23,7 @@ from larder.operators import profile as A  # noqa: E402
 from larder.operators import seasonality as W  # noqa: E402
 from larder.operators import supply as Y  # noqa: E402
 from larder.operators import validate as Q  # noqa: E402
-from larder.session import durable, local_session  # noqa: E402
+from larder.session import durable, fresh_path, local_session
 from larder.sources.fact import read_fact_parquet, retail_view, write_fact  # noqa: E402
 
 ANALYSES = {
@@ -75,7 +74,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
-    scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/fact"
+    scratch = fresh_path(spark, "fact")
     seconds: dict[str, float] = {}
     start = time.perf_counter()
     write_fact(retail_view(spark, folder).drop("sku"), scratch)
