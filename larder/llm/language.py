@@ -6,7 +6,9 @@ probabilities, computed by a forward algorithm; a text's is the product over its
 expectation maximisation: forward and backward sums give the expected use of each piece.
 
 Words are lower-cased runs of letters; the vocabulary marks word beginnings. A character that no
-piece holds counts as an unknown piece, equally likely in every language, so it decides nothing.
+piece holds counts as an unknown piece, equally likely in every language, so it decides nothing. A run of
+letters is cut into parts of `LONGEST_RUN` characters, all of which count, so that the sums of a text
+without spaces need the memory of one part.
 
 Learning reads the texts of a bounded sample of labelled rows (`most_documents`, by a hash of the
 id); their words are counted by language in Spark and the expectations are summed by piece, at most
@@ -42,6 +44,7 @@ UNKNOWN = "und"
 UNKNOWN_PIECE = 1e-7
 BEGIN = "▁"  # the vocabulary's mark of a word's beginning
 LETTERS = re.compile(r"[^\W\d_]+")
+LONGEST_RUN = 512  # characters of one lattice, with the mark
 OUT = "doc_id long, lang_pred string, score double"
 
 
@@ -64,8 +67,9 @@ def pieces_of(vocabulary: str, longest: int) -> list[str]:
 
 
 def units(raw: str) -> list[str]:
-    """Lower-cased runs of letters of a word, each with the mark of a beginning."""
-    return [BEGIN + x for x in LETTERS.findall(raw.lower())]
+    """Lower-cased runs of letters of a word, each with the mark of a beginning; long runs in parts."""
+    marked = [BEGIN + x for x in LETTERS.findall(raw.lower())]
+    return [x[i : i + LONGEST_RUN] for x in marked for i in range(0, len(x), LONGEST_RUN)]
 
 
 class Lattice:

@@ -115,6 +115,15 @@ def test_languages(spark, odd, empty):
     assert language.identify(empty, model).collect() == []
 
 
+def test_a_long_run_of_letters_is_cut_in_parts_that_all_count(make):
+    run = "a" * 100_000 + "b"
+    parts = language.units(f"1{run.upper()}2c")
+    assert "".join(parts) == f"{language.BEGIN}{run}{language.BEGIN}c"
+    assert max(map(len, parts)) == language.LONGEST_RUN
+    model = language.Model(["x", "y"], ["a", "b"], np.array([[0.5, 0.5], [0.1, 0.4]]), 1)
+    assert [(r.lang_pred, round(r.score, 6)) for r in language.identify(make([(1, run)]), model).collect()] == [("y", 0.8)]
+
+
 def test_nothing_to_learn_from(odd, empty):
     model = language.learn(empty, PIECES)
     assert {r.lang_pred for r in language.identify(odd, model).collect()} == {"und"}
