@@ -46,6 +46,7 @@ BEGIN = "▁"  # the vocabulary's mark of a word's beginning
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_RUN = 512  # characters of one lattice, with the mark
 OUT = "doc_id long, lang_pred string, score double"
+SLICE_BYTES = 2 << 20  # of texts that are split into words at once
 
 
 @dataclass(frozen=True)
@@ -161,14 +162,15 @@ class Lattice:
             np.add.at(out, at[used], use[used])
 
 
-def by_length(words: Sequence[str], most: int = 4096) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Words in groups of one length, with their places."""
+def by_length(words: Sequence[str], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words in groups of one length and of about so many characters, with their places."""
     groups = defaultdict(list)
     for k, w in enumerate(words):
         groups[len(w)].append(k)
-    for places in groups.values():
-        for i in range(0, len(places), most):
-            part = places[i : i + most]
+    for length, places in groups.items():
+        step = most // max(length, 1) + 1
+        for i in range(0, len(places), step):
+            part = places[i : i + step]
             yield np.array(part), [words[k] for k in part]
 
 
@@ -202,7 +204,7 @@ def _word_counts(df: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counted: dict[str, Counter] = defaultdict(Counter)
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE_BYTES):
                 words = pc.ascii_split_whitespace(pc.fill_null(batch["text"][a:b], ""))
                 coded = words.flatten().dictionary_encode()
                 langs, codes = batch["lang"][a:b].to_numpy(zero_copy_only=False), coded.indices.to_numpy()
@@ -275,7 +277,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = Model(*sent.value)
         scorer = _Scorer(model)
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE_BYTES):
                 lang, score = scorer.score(batch["text"][a:b])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], lang, score], ["doc_id", "lang_pred", "score"])
 
@@ -285,7 +287,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 class _Scorer:
     """Scores texts; the words of a task are remembered up to a fixed number."""
 
-    def __init__(self, model: Model, most_words: int = 400_000):
+    def __init__(self, model: Model, most_words: int = 100_000):
         self.model, self.most_words = model, most_words
         self.lattice = Lattice(model.pieces, model.probability, model.longest)
         self._forget()
@@ -343,7 +345,7 @@ def reject_unknown(df: DataFrame, model: Model, text_col: str = "text") -> DataF
         scorer = _Scorer(Model(*sent.value))
         for batch in batches:
             texts = batch.column(place)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES):
                 lang, _ = scorer.score(texts[a:b])
                 yield batch.slice(a, b - a).filter(pc.not_equal(lang, UNKNOWN))
 
