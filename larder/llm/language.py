@@ -285,46 +285,51 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 class _Scorer:
-    """Scores texts; the words of a task are remembered up to a fixed number."""
+    """Scores texts; a task remembers words up to a fixed size, then only those of its present slice."""
 
-    def __init__(self, model: Model, most_words: int = 100_000):
-        self.model, self.most_words = model, most_words
+    def __init__(self, model: Model, most_characters: int = 6_000_000):
+        self.languages, self.most_characters = model.languages, most_characters
         self.lattice = Lattice(model.pieces, model.probability, model.longest)
-        self._forget()
-
-    def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.model.languages)))
+        self.size = 0
+        self.logs, self.lettered = np.zeros((0, len(model.languages))), np.zeros(0, dtype=bool)
 
     def _places(self, words: list[str]) -> np.ndarray:
-        if len(self.place) + len(words) > self.most_words:
-            self._forget()
+        """Rows of `logs` and `lettered` for different words."""
         new = [w for w in words if w not in self.place]
+        size = sum(map(len, new)) + 16 * len(new)  # a word takes more than its characters
+        if self.place and self.size + size > self.most_characters:
+            known = [w for w in words if w in self.place]
+            rows = np.array([self.place[w] for w in known], dtype=np.int64)
+            self.logs, self.lettered = self.logs[rows], self.lettered[rows]
+            self.place = dict(zip(known, range(len(known))))
+            self.size = sum(map(len, known)) + 16 * len(known)
         if new:
-            self.place.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.vstack([self.table, log_probabilities(self.lattice, new)])
-        return np.array([self.place[w] for w in words], dtype=np.int64)
+            logs, lettered = self._measure(new)
+            self.place.update(zip(new, range(len(self.logs), len(self.logs) + len(new))))
+            self.logs, self.lettered = np.vstack([self.logs, logs]), np.concatenate([self.lettered, lettered])
+            self.size += size
+        return np.fromiter((self.place[w] for w in words), dtype=np.int64, count=len(words))
+
+    def _measure(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of words by language, and whether they have a letter."""
+        parts = [units(w) for w in words]
+        at = {u: k for k, u in enumerate(dict.fromkeys(u for p in parts for u in p))}
+        rows = np.array([at[u] for p in parts for u in p], dtype=np.int64)
+        counts = np.array([len(p) for p in parts])
+        found, owner = log_probabilities(self.lattice, list(at))[rows], np.repeat(np.arange(len(words)), counts)
+        return np.stack([np.bincount(owner, x, len(words)) for x in found.T], axis=1), counts > 0
 
     def score(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = words.flatten().dictionary_encode()
-        parts = [units(w) for w in coded.dictionary.to_pylist()]
-        distinct = list(dict.fromkeys(u for p in parts for u in p))
-        at = dict(zip(distinct, self._places(distinct).tolist()))
-        logs, lettered = np.zeros((len(parts), len(self.model.languages))), np.zeros(len(parts), dtype=bool)
-        for k, part in enumerate(parts):
-            lettered[k] = bool(part)
-            if len(part) == 1:
-                logs[k] = self.table[at[part[0]]]
-            elif part:
-                logs[k] = self.table[[at[u] for u in part]].sum(axis=0)
-        codes, bounds = coded.indices.to_numpy(), words.offsets.to_numpy().astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        total = np.stack([np.bincount(owner, logs[codes, k], len(texts)) for k in range(logs.shape[1])], axis=1)
-        letters = np.bincount(owner, lettered[codes], len(texts)) > 0
+        codes = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        total = np.stack([np.bincount(owner, x[codes], len(texts)) for x in self.logs.T], axis=1)
+        letters = np.bincount(owner, self.lettered[codes], len(texts)) > 0
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        names = np.array([*self.model.languages, UNKNOWN], dtype=object)
+        names = np.array([*self.languages, UNKNOWN], dtype=object)
         return (pa.array(names[np.where(letters, best, len(names) - 1)], pa.string()),
                 pa.array(np.where(letters, share, 0.0)))
 

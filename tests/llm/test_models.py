@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,16 @@ def test_a_long_run_of_letters_is_cut_in_parts_that_all_count(make):
     assert [(r.lang_pred, round(r.score, 6)) for r in language.identify(make([(1, run)]), model).collect()] == [("y", 0.8)]
 
 
+def test_a_full_memory_changes_no_score():
+    model = language.Model(["x", "y"], ["a", "b", "ab"], np.array([[0.5, 0.2], [0.3, 0.4], [0.2, 0.4]]), 2)
+    slices = [pa.array(t, pa.string()) for t in (["ab a", None, "7 !"], [], ["", "ba-ab ab", "a" * 99], ["ab a", "b7a"])]
+    whole, small = language._Scorer(model), language._Scorer(model, most_characters=20)
+    for texts in slices:
+        lang, score = whole.score(texts)
+        assert (lang, score) == small.score(texts)
+    assert len(small.place) < len(whole.place)
+
+
 def test_nothing_to_learn_from(odd, empty):
     model = language.learn(empty, PIECES)
     assert {r.lang_pred for r in language.identify(odd, model).collect()} == {"und"}
