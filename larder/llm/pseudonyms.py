@@ -16,7 +16,8 @@ between their digits, and different values stay different.
 
 The key is a parameter. Texts without a digit or @ are passed on as they are, and each task needs one
 batch of texts. Defined cases: a null text stays null; null ids and repeated ids stay rows; values
-that fail validation are left alone; overlapping finds go to the first kind in the order above;
+that fail validation are left alone, after shorter ends of an account or card number at borders of groups,
+the other kinds at the same place and all later places have been tried; overlapping finds go to the first kind in the order above;
 further columns stay as they are; an empty table gives no rows.
 """
 
@@ -60,9 +61,9 @@ DATE = (r"(?<![\d./-])(?P<date>(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|"
 CARD = r"(?<![\d.])(?P<card>\d(?:[ -]?\d){12,18})(?![\d])"
 PHONE = (r"(?<![\w.+])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}"
          r"|\+\d{8,15})(?![\d])")
-NUMBERS = re.compile("|".join((IBAN, SSN, IP, DATE, CARD, PHONE)))
-WORDS = re.compile("|".join((EMAIL, SECRET)))
-PHONE_ALONE = re.compile(PHONE)
+NUMBERS = {"iban": IBAN, "ssn": SSN, "ip": IP, "date": DATE, "card": CARD, "phone": PHONE}
+WORDS = {"email": EMAIL, "secret": SECRET}
+PASSES = [(re.compile("|".join(kinds.values())), {k: re.compile(p) for k, p in kinds.items()}) for kinds in (WORDS, NUMBERS)]
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 FINDS = "array<struct<kind: string, start: int, length: int>>"
 
@@ -214,18 +215,38 @@ class Pseudonyms:
         new = self.feistel.permute(int(digits), 10 ** len(digits), b"phone%d" % len(digits))
         return head + put_digits(value[len(head):], f"{new:0{len(digits)}d}")
 
+    def _at(self, text: str, begin: int, kinds: dict[str, re.Pattern]) -> tuple[int, int, str, str] | None:
+        """Start, kind, value and pseudonym of the first kind with a valid value in a match that begins here."""
+        for kind, pattern in kinds.items():
+            match = pattern.match(text, begin)
+            for old in self._ends(kind, match[kind]) if match else ():
+                new = getattr(self, f"_{kind}")(old)
+                if new is not None:
+                    return match.start(kind), KINDS.index(kind), old, new
+        return None
+
+    def _ends(self, kind: str, value: str) -> Iterator[str]:
+        """The value, then its shorter ends at borders of groups that may be valid: what follows may not belong to it."""
+        yield value
+        if kind in ("iban", "card"):
+            borders = [m.start() for m in re.finditer(r"[ -]", value)]
+            for end in reversed(borders):
+                size = sum(c.isalnum() for c in value[:end])
+                if size == IBAN_LENGTHS.get(value[:2]) if kind == "iban" else size >= 13:
+                    yield value[:end]
+
     def replace(self, text: str) -> tuple[str, list[dict]]:
         """The text with pseudonyms, and kind, start and length (in the new text) of each."""
         finds = []
-        for pattern in (WORDS, NUMBERS):
-            for match in pattern.finditer(text):
-                kind = next(k for k in KINDS if match.groupdict().get(k) is not None)
-                start, old = match.start(kind), match[kind]
-                new = getattr(self, f"_{kind}")(old)
-                if new is None and kind == "card" and PHONE_ALONE.fullmatch(old):  # digits in groups may be either
-                    kind, new = "phone", self._phone(old)
-                if new is not None:
-                    finds.append((start, KINDS.index(kind), old, new))
+        for anything, kinds in PASSES:
+            at = 0
+            while match := anything.search(text, at):
+                found = self._at(text, match.start(), kinds)
+                if found:
+                    finds.append(found)
+                    at = found[0] + len(found[2])
+                else:  # nothing valid begins here, but something may begin inside
+                    at = match.start() + 1
         out, places, done, shift = [], [], 0, 0
         for start, kind, old, new in sorted(finds):
             if start < done:

@@ -50,6 +50,20 @@ def test_invalid_values_are_left_alone():
         assert work.replace(text) == (text, [])
 
 
+@pytest.mark.parametrize("kinds, text", [
+    ("iban", "DE89370400440532013000 BIC COBADEFFXXX"), ("iban", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX"),
+    ("card", "4111 1111 1111 1111 12/25"), ("card", "4111111111111111 123"), ("card", "4111-1111-1111-1111 12/25 123"),
+    ("card", "no. 123 4111111111111111"), ("iban card", "DE89370400440532013000 4111 1111 1111 1111 123"),
+    ("card", "v 1.2.300.4 4111111111111111"), ("email", "key=abcdefghijklmnop@example.com"),
+    ("phone", "call 555 010 9999 1234 56"), ("ssn", "1234567890123456 123-45-6789"),
+])
+def test_values_with_neighbours_are_found(kinds, text):
+    new, finds = pseudonyms.Pseudonyms(b"key").replace(text)
+    assert [f["kind"] for f in finds] == kinds.split() and len(new) == len(text)
+    for f in finds:
+        assert new[f["start"] : f["start"] + f["length"]] != text[f["start"] : f["start"] + f["length"]]
+
+
 def test_pseudonymise_rows(odd, empty, make):
     out = pseudonyms.pseudonymise(odd, "k")
     assert out.columns == odd.columns
