@@ -10,8 +10,9 @@ piece holds counts as an unknown piece, equally likely in every language, so it
 letters is cut into parts of `LONGEST_RUN` characters, all of which count, so that the sums of a text
 without spaces need the memory of one part.
 
-Learning reads the texts of a bounded sample of labelled rows (`most_documents`, by a hash of the
-id); their words are counted by language in Spark and the expectations are summed by piece, at most
+Learning takes the languages from all labelled rows that have a letter, and the texts of a bounded sample
+of them (`most_documents`, by a hash of the id within each language: all rows of a language below its
+bound); their words are counted by language in Spark and the expectations are summed by piece, at most
 one row for each piece and language. Scoring reads every whole text; a batch's distinct words are
 scored once.
 
@@ -192,10 +193,35 @@ class Model:
         return self.languages, self.pieces, self.probability, self.longest
 
 
-def _sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About so many rows, chosen by a hash of their id; the share follows from the number of rows."""
-    share = min(1.0, most / max(df.count(), 1))
-    return df.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """The share of rows to learn from of each language: all rows of a language below its bound.
+
+    The bound is the same for all languages, and as high as a sum of `most` allows.
+    """
+    left, bound = most, 0
+    rising = sorted(sizes.values())
+    for k, n in enumerate(rising):
+        bound = max(1, left // (len(rising) - k))
+        left -= min(n, bound)
+        if n > bound:
+            break
+    else:
+        return dict.fromkeys(sizes, 1.0)
+    return {lang: min(1.0, bound / n) for lang, n in sizes.items()}
+
+
+def _sample(df: DataFrame, most: int) -> tuple[list[str], DataFrame]:
+    """All languages of the rows, and rows of each chosen by a hash of their id, at least that of the smallest hash."""
+    hashed = df.withColumn("hashed", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    seen = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("hashed").alias("least")).collect()
+    part = shares({r["lang"]: r["n"] for r in seen}, most)
+    languages = sorted(part)
+    if all(x == 1.0 for x in part.values()):
+        return languages, df
+    limits = [(r["lang"], max(int(part[r["lang"]] * (1 << 30)), r["least"] + 1)) for r in seen]
+    below = df.sparkSession.createDataFrame(limits, "lang string, below long")  # one row for each language
+    chosen = hashed.join(F.broadcast(below), "lang").where(F.col("hashed") < F.col("below"))
+    return languages, chosen.drop("hashed", "below")
 
 
 def _word_counts(df: DataFrame) -> DataFrame:
@@ -255,9 +281,9 @@ def learn(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """From all rows given whose text and language are known; rows to hold out are left out by the caller."""
     known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sample = _sample(known, "doc_id", training.most_documents).select("text", "lang")
-    counts = durable(_word_counts(sample), "word_counts")
-    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    # A text without a letter teaches nothing. These are the classes of LETTERS.
+    languages, sample = _sample(known.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")), training.most_documents)
+    counts = durable(_word_counts(sample.select("text", "lang")), "word_counts")
     pieces = pieces_of(vocabulary, training.longest_piece)
     model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1 / len(pieces)), training.longest_piece)
     for _ in range(training.rounds if languages else 0):

@@ -135,6 +135,23 @@ def test_a_full_memory_changes_no_score():
     assert len(small.place) < len(whole.place)
 
 
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "the house stands by the river and the people walk there", "en") for i in range(4000)]
+    rows += [(5000 + i, "das Haus steht am Fluss und die Leute gehen dort", "de") for i in range(4000)]
+    rows += [(10_000 + i, "la casa queda cerca del agua donde camina gente", "es") for i in range(3)] + [(20_000, "7", "xx")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(frame, PIECES, training=language.Training(most_documents=40))
+    assert model.languages == ["de", "en", "es"]
+    found = language.identify(frame.where("doc_id < 20000"), model).join(frame, "doc_id")
+    assert found.where("lang_pred <> lang").count() == 0
+
+
+def test_shares_are_bounded_by_language():
+    assert language.shares({"a": 10, "b": 1000, "c": 3000}, 500) == {"a": 1.0, "b": 0.245, "c": 245 / 3000}
+    assert language.shares({"a": 10, "b": 20}, 30) == {"a": 1.0, "b": 1.0}
+    assert language.shares({}, 30) == {}
+
+
 def test_nothing_to_learn_from(odd, empty):
     model = language.learn(empty, PIECES)
     assert {r.lang_pred for r in language.identify(odd, model).collect()} == {"und"}
