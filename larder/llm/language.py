@@ -18,7 +18,8 @@ scored once.
 
 Defined cases: `und` with score 0 when the text is null or has no letter, or when nothing could be
 learned; null ids and repeated ids are kept as rows; null languages are not learned from; ties go to
-the first language by name; other columns are ignored by `identify` and kept by `reject_unknown`.
+the first language by name; other columns are ignored by `identify` and kept by `reject_unknown`, which
+drops the rows of null texts and texts without a letter and no others, also when nothing could be learned.
 """
 
 from __future__ import annotations
@@ -365,12 +366,25 @@ def held_out(id_col: str = "doc_id", every: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % every == 0, F.lit(True))
 
 
+def _lettered_rows(place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [LETTERS.search(t.as_py() or "") is not None for t in batch.column(place)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def reject_unknown(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose language could be told, with all columns; one pass without a copy or a join."""
+    """The rows whose text has a letter, with all columns; one pass without a copy or a join.
+
+    What the model has learned rejects nothing else: every text with a letter gets a language. Without
+    a learned language the same rows stay.
+    """
+    place = df.columns.index(text_col)
     if not model.languages:
-        return df.limit(0)
+        return df.mapInArrow(_lettered_rows(place), df.schema)
     sent = df.sparkSession.sparkContext.broadcast(model.parts())  # one number for each piece and language
-    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(Model(*sent.value))

@@ -157,6 +157,13 @@ def test_nothing_to_learn_from(odd, empty):
     assert {r.lang_pred for r in language.identify(odd, model).collect()} == {"und"}
 
 
+def test_without_a_language_texts_with_letters_stay(odd, empty):
+    left = language.reject_unknown(odd, language.learn(empty, PIECES))
+    known = language.reject_unknown(odd, language.learn(odd, PIECES))
+    assert left.columns == odd.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, known.collect())) and left.count() == odd.count() - 4
+
+
 @pytest.mark.parametrize("name", ["op3_gam", "op4_language"])
 def test_label_columns_are_no_inputs(spark, name):
     assert set(QUERIES[name](spark, SMALL).columns) <= {"doc_id", "held_out", "score", "predicted", "lang_pred"}
