@@ -7,10 +7,11 @@ network; the result has the same format and passes the same validation. The perm
 the key and the format only, so equal values stay linked across documents, whatever signs are put
 between their digits, and different values stay different.
 
-    e-mail   letters and digits before the @, each within its alphabet; the domain stays
-    phone    all digits after the country code, or all of a number without one
+    e-mail   letters and digits before the @, each within its alphabet or script; the domain stays
+    phone    all digits after the country code of a + number of 8 to 15 digits in any groups (its first one to
+             three digits up to a sign, else 1 or two digits), or all ten of a number without a +
     card     all digits but the last, which is computed anew
-    iban     digits and letters after the check digits, which are computed anew
+    iban     digits and letters after the check digits, which are computed anew; countries of the registry
     ssn      all valid numbers; ip  all addresses; date  all days of 1900 to 2099
     secret   hexadecimal or alphanumeric values that are assigned to a token, key or password
 
@@ -27,6 +28,8 @@ import datetime
 import hashlib
 import re
 import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,21 +49,25 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
              "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 # Lengths of account numbers by country, from the public IBAN registry.
-IBAN_LENGTHS = dict(AT=20, BE=16, BG=22, CH=21, CY=28, CZ=24, DE=22, DK=18, EE=20, ES=24, FI=18, FR=27, GB=22, GR=27,
-                    HR=21, HU=28, IE=22, IS=26, IT=27, LI=21, LT=20, LU=20, LV=21, MT=31, NL=18, NO=15, PL=28, PT=25,
-                    RO=24, SE=24, SI=19, SK=24)
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22,
+    DJ=27, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FK=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HN=28,
+    HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25,
+    MC=27, MD=24, ME=22, MK=19, MN=20, MR=27, MT=31, MU=30, NI=28, NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29,
+    RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29,
+    VA=22, VG=24, XK=20, YE=30)
 
 EMAIL = r"(?<![\w.%+\-])(?P<email>[\w.%+\-]{1,64})@(?=[A-Za-z0-9\-]+\.[A-Za-z0-9])"
 SECRET = (r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b)[\"']?\s*[=:]\s*[\"']?"
           r"(?P<secret>[A-Za-z0-9_\-/+]{12,})")
-IBAN = r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,27})(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,29})(?![A-Za-z0-9])"
 SSN = r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
 IP = r"(?<![\d.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"
 DATE = (r"(?<![\d./-])(?P<date>(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|"
         r"\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)(?:19|20)\d\d)(?![\d/-]|\.\d)")
 CARD = r"(?<![\d.])(?P<card>\d(?:[ -]?\d){12,18})(?![\d])"
-PHONE = (r"(?<![\w.+])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}"
-         r"|\+\d{8,15})(?![\d])")
+PHONE = (r"(?<![\w.+])(?P<phone>\+[1-9](?:[ ./-]{0,2}\(?\d\)?){7,14}"
+         r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4})(?![\d])")
 NUMBERS = {"iban": IBAN, "ssn": SSN, "ip": IP, "date": DATE, "card": CARD, "phone": PHONE}
 WORDS = {"email": EMAIL, "secret": SECRET}
 PASSES = [(re.compile("|".join(kinds.values())), {k: re.compile(p) for k, p in kinds.items()}) for kinds in (WORDS, NUMBERS)]
@@ -68,6 +75,26 @@ KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 FINDS = "array<struct<kind: string, start: int, length: int>>"
 
 
+SCRIPTS: dict[str, str] = {}  # letters and digits beyond ALPHABETS, by script and kind; filled at first need
+
+
+def script(c: str) -> str:
+    return f"<{unicodedata.name(c, '').split(' ')[0]} {unicodedata.category(c)}>"
+
+
+def alphabet_of(c: str) -> str | None:
+    """The characters that c may give way to; the script is the first word of its name."""
+    if c in ALPHABET_OF or not c.isalnum():
+        return ALPHABET_OF.get(c)
+    if not SCRIPTS:
+        found = defaultdict(list)
+        for other in map(chr, range(sys.maxunicode + 1)):
+            if other.isalnum() and other not in ALPHABET_OF:
+                found[script(other)].append(other)
+        SCRIPTS.update((k, "".join(v)) for k, v in found.items())
+    return SCRIPTS[script(c)]
+
+
 class Feistel:
     """A keyed permutation of 0 .. size - 1 for any size; other tweaks give other permutations."""
 
@@ -100,18 +127,16 @@ class Feistel:
 
     def characters(self, text: str, tweak: bytes) -> str:
         """Letters and digits within their alphabets; other characters stay and are part of the format."""
-        places = [i for i, c in enumerate(text) if c in ALPHABET_OF]
+        alphabets = {i: alphabet for i, c in enumerate(text) if (alphabet := alphabet_of(c))}
         value = 0
         size = 1
-        form = "".join(str(ALPHABETS.index(ALPHABET_OF[c])) if c in ALPHABET_OF else c for c in text)
-        for i in places:
-            alphabet = ALPHABET_OF[text[i]]
+        form = "".join(str(ALPHABETS.index(ALPHABET_OF[c])) if c in ALPHABET_OF else script(c) if c.isalnum() else c for c in text)
+        for i, alphabet in alphabets.items():
             value = value * len(alphabet) + alphabet.index(text[i])
             size *= len(alphabet)
         value = self.permute(value, size, tweak + form.encode())
         out = list(text)
-        for i in reversed(places):
-            alphabet = ALPHABET_OF[text[i]]
+        for i, alphabet in reversed(alphabets.items()):
             value, k = divmod(value, len(alphabet))
             out[i] = alphabet[k]
         return "".join(out)
@@ -141,7 +166,9 @@ class Pseudonyms:
     def __init__(self, key: bytes):
         self.feistel = Feistel(key)
 
-    def _email(self, value: str) -> str:
+    def _email(self, value: str) -> str | None:
+        if not any(alphabet_of(c) for c in value):
+            return None
         return self.feistel.characters(value, b"email")
 
     def _secret(self, value: str) -> str | None:
@@ -210,7 +237,7 @@ class Pseudonyms:
         country = re.match(r"\+\d{1,3}(?=\D)|\+1(?=\d{10}$)|\+\d\d", value)
         head = country[0] if country else ""
         digits = re.sub(r"\D", "", value[len(head):])
-        if not 7 <= len(digits) <= 13 or not (head or len(digits) == 10):
+        if not 7 <= len(digits) <= 13 and not value.startswith("+") or not (head or len(digits) == 10):
             return None
         new = self.feistel.permute(int(digits), 10 ** len(digits), b"phone%d" % len(digits))
         return head + put_digits(value[len(head):], f"{new:0{len(digits)}d}")
@@ -219,14 +246,17 @@ class Pseudonyms:
         """Start, kind, value and pseudonym of the first kind with a valid value in a match that begins here."""
         for kind, pattern in kinds.items():
             match = pattern.match(text, begin)
-            for old in self._ends(kind, match[kind]) if match else ():
+            for old in self._ends(kind, match[kind], text[match.end() : match.end() + 64]) if match else ():
                 new = getattr(self, f"_{kind}")(old)
                 if new is not None:
                     return match.start(kind), KINDS.index(kind), old, new
         return None
 
-    def _ends(self, kind: str, value: str) -> Iterator[str]:
+    def _ends(self, kind: str, value: str, behind: str) -> Iterator[str]:
         """The value, then its shorter ends at borders of groups that may be valid: what follows may not belong to it."""
+        if kind == "phone" and value.startswith("+"):
+            yield from self._phone_ends(value, behind)
+            return
         yield value
         if kind in ("iban", "card"):
             borders = [m.start() for m in re.finditer(r"[ -]", value)]
@@ -235,6 +265,16 @@ class Pseudonyms:
                 if size == IBAN_LENGTHS.get(value[:2]) if kind == "iban" else size >= 13:
                     yield value[:end]
 
+    def _phone_ends(self, value: str, behind: str) -> Iterator[str]:
+        """A + number has no check: it ends before a group where a value of another kind begins, and +1 has ten digits."""
+        for border in re.finditer(r"[ ./-]+(?=\d)", value):
+            size = sum(c.isdigit() for c in value[: border.start()])
+            if size == 11 and value.startswith("+1") or size >= 8 and any(
+                    self._at(value + behind, border.end(), {k: p}) for k, p in PASSES[1][1].items() if k != "phone"):
+                yield value[: border.start()]
+                return
+        yield value
+
     def replace(self, text: str) -> tuple[str, list[dict]]:
         """The text with pseudonyms, and kind, start and length (in the new text) of each."""
         finds = []

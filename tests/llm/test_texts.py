@@ -64,6 +64,24 @@ def test_values_with_neighbours_are_found(kinds, text):
         assert new[f["start"] : f["start"] + f["length"]] != text[f["start"] : f["start"] + f["length"]]
 
 
+@pytest.mark.parametrize("kinds, text", [
+    ("phone", "+44 20 7946 0958"), ("phone", "+33 1 23 45 67 89"), ("phone", "+81 3-1234-5678"), ("phone", "+49 (0)30 1234567"),
+    ("iban", "SA0380000000608010167519"), ("iban", "AE070331234567890123456"), ("iban", "TR330006100519786457841326"),
+    ("iban", "IL620108000000099999999"), ("iban", "UA213223130000026007233566001"), ("iban", "BR1800360305000010009795493C1"),
+    ("phone card", "+1 555 010 9999 4111 1111 1111 1111"), ("phone card", "+44 20 7946 0958 4111 1111 1111 1111"),
+    ("phone date", "+44 20 7946 0958 2024-01-02"), ("email", "почта@example.com"), ("email", "ωμέγα7@example.com"),
+])
+def test_values_of_all_countries_are_found(kinds, text):
+    new, finds = pseudonyms.Pseudonyms(b"key").replace(text)
+    assert [f["kind"] for f in finds] == kinds.split() and len(new) == len(text)
+    assert sum(f["length"] for f in finds) >= len(text.split("@")[0]) - text.count(" ")
+    for f in finds:
+        assert new[f["start"] : f["start"] + f["length"]] != text[f["start"] : f["start"] + f["length"]]
+    if "@" in text:
+        assert all(a != b for a, b in zip(new.split("@")[0][:3], text))
+    assert [f["kind"] for f in pseudonyms.Pseudonyms(b"key").replace(new)[1]] == kinds.split()
+
+
 def test_pseudonymise_rows(odd, empty, make):
     out = pseudonyms.pseudonymise(odd, "k")
     assert out.columns == odd.columns
