@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
-    chunk_bpe, chunk_recipes, decision_list, gam, language, licenses, packing, pseudonyms, simhash, token_files,
+    chunk_bpe, chunk_recipes, decision_list, gam, language, licenses, packing, prefix_trie, pseudonyms, simhash,
+    token_files,
 )
 from larder.session import fresh_path
 
@@ -82,6 +83,10 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_simhash": op2_simhash,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_chunk_bpe": op10_chunk_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
     "op9_chunk_recipes": r"""
@@ -105,4 +111,47 @@ ORACLE: dict[str, str] = {
         FROM rows
         WINDOW best AS (PARTITION BY norm ORDER BY points DESC, doc_id)
     """,
+    "op13_prefix_trie": r"""
+        WITH table_step AS (  -- CRC-32 of each byte value, by eight shifts
+            SELECT v, list_reduce(list_prepend(v, range(8)), lambda c, k:
+                       CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc
+            FROM (SELECT unnest(range(256)) AS v)),
+        crc_table AS (SELECT list(crc ORDER BY v) AS step FROM table_step),
+        rows AS (
+            SELECT conv_id AS c, coalesce(text, '') AS text,
+                   sha256(strlen(coalesce(role, ''))::VARCHAR || ' ' || coalesce(role, '') || coalesce(text, ''))[1:32] AS key, turn
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+            SELECT c, key, strlen(text) AS size,
+                   row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) - 1 AS pos
+            FROM rows),
+        lent AS (
+            SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+                       lambda h, b: xor(h >> 8, step[(xor(h, b) & 255) + 1])), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT c FROM rows), crc_table),
+        turns AS (
+            SELECT l.c, o.pos, o.key, o.size FROM lent l JOIN own o ON o.c = l.c - l.c % 5 AND o.pos < l.h
+            UNION ALL SELECT l.c, o.pos + 1000000, o.key, o.size FROM lent l JOIN own o ON o.c = l.c AND o.pos >= l.h),
+        seq AS (SELECT c, list(key ORDER BY pos) AS path, list(size ORDER BY pos) AS sizes FROM turns GROUP BY c),
+        convs AS (SELECT lent.c, coalesce(path, []) AS path, coalesce(sizes, []) AS sizes FROM lent LEFT JOIN seq ON seq.c = lent.c),
+        prefixes AS (
+            SELECT c, d, coalesce(list_aggregate(path[1:d], 'string_agg', ''), '') AS node,
+                   coalesce(list_aggregate(path[1:d - 1], 'string_agg', ''), '') AS above, sizes[d] AS size, len(path) = d AS at_end
+            FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM convs)),
+        nodes AS (
+            SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                   CASE WHEN d > 0 THEN any_value(above) END AS above,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (at_end), '')) AS ends_sha256
+            FROM prefixes GROUP BY node, d),
+        children AS (SELECT above AS node, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above),
+        below AS (
+            SELECT n.node[1:32 * k] AS node, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves,
+                   sum((n.n_convs - 1) * coalesce(n.size, 0))::BIGINT AS saved
+            FROM (SELECT *, unnest(range(d + 1)) AS k FROM nodes) n LEFT JOIN children c ON c.node = n.node
+            GROUP BY 1)
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+               b.n_leaves, b.saved AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN children c ON c.node = n.node
+        LEFT JOIN nodes p ON p.node = n.above
+    """,
 }
