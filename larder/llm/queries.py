@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
-    chunk_bpe, chunk_recipes, decision_list, gam, language, licenses, packing, prefix_trie, pseudonyms, simhash,
+    chunk_bpe, chunk_recipes, decision_list, gam, language, licenses, merkle, packing, prefix_trie, pseudonyms, simhash,
     token_files,
 )
 from larder.session import fresh_path
@@ -83,6 +83,12 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_fingerprints(documents(spark, folder)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        *[(F.rint(F.col(c) * 1e9) / 1e9).alias(c) for c in ("near_edited", "near_next")])
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_chunk_bpe": op10_chunk_bpe,
+    "op12_merkle": op12_merkle,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
@@ -111,6 +118,47 @@ ORACLE: dict[str, str] = {
         FROM rows
         WINDOW best AS (PARTITION BY norm ORDER BY points DESC, doc_id)
     """,
+    "op12_merkle": r"""
+        WITH plain AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        ordered AS (
+            SELECT *, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, sha256(text)) - 1 AS k, count(*) OVER () AS n FROM plain),
+        pairs AS (
+            SELECT a.k, a.doc_id, a.text, b.text AS after, length(a.text) // 3 AS cut
+            FROM ordered a JOIN ordered b ON b.k = (a.k + 1) % a.n),
+        texts AS (
+            SELECT k, 'text' AS kind, text FROM pairs
+            UNION ALL SELECT k, 'edited', substr(text, 1, length(text) - cut) || substr(after, 1, cut) FROM pairs
+            UNION ALL SELECT k, 'after', after FROM pairs),
+        split AS (SELECT k, kind, string_split(text, chr(10)) AS lines FROM texts),
+        paragraphs AS (
+            SELECT k, kind, i, lines[i] || CASE WHEN i < len(lines) THEN chr(10) ELSE '' END AS p
+            FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM split)),
+        digests AS (
+            SELECT *, sha256(p)[1:32] AS digest,
+                   length(p) <= 1 OR strpos('08', sha256(p)[32]) > 0 AS closes FROM paragraphs),
+        placed AS (
+            SELECT *, count(*) FILTER (closes) OVER (PARTITION BY k, kind ORDER BY i) - closes::INT AS section FROM digests),
+        sections AS (
+            SELECT k, kind, section, sha256(string_agg(digest, '' ORDER BY i))[1:32] AS digest FROM placed GROUP BY ALL),
+        roots AS (SELECT k, kind, sha256(string_agg(digest, '' ORDER BY section)) AS root FROM sections GROUP BY ALL),
+        sentences AS (
+            SELECT k, kind, unnest(regexp_extract_all(p, '[^.!?;。！？；]*[.!?;。！？；]|[^.!?;。！？；]+')) AS s FROM paragraphs),
+        counts AS (SELECT k, kind, s, count(*) AS n FROM sentences GROUP BY ALL),
+        common AS (
+            SELECT a.k, b.kind, sum(least(a.n, b.n) * length(a.s)) AS points
+            FROM counts a JOIN counts b ON a.k = b.k AND a.s = b.s AND a.kind = 'text' AND b.kind <> 'text' GROUP BY ALL),
+        sizes AS (SELECT k, kind, length(text) AS points, text FROM texts),
+        near AS (
+            SELECT a.k, b.kind, CASE WHEN a.text = b.text THEN 1.0::DOUBLE
+                   ELSE round_even(2.0::DOUBLE * coalesce(c.points, 0) / greatest(a.points + b.points, 1) * 1e9, 0) / 1e9 END AS near
+            FROM sizes a JOIN sizes b ON a.k = b.k AND a.kind = 'text' AND b.kind <> 'text'
+            LEFT JOIN common c ON c.k = a.k AND c.kind = b.kind)
+        SELECT p.doc_id, length(p.text) AS n_chars, sha256(e.text) AS edited_sha256, r.root AS fingerprint,
+               q.root AS edited_fingerprint, ne.near AS near_edited, nn.near AS near_next
+        FROM pairs p JOIN sizes e ON e.k = p.k AND e.kind = 'edited'
+        JOIN roots r ON r.k = p.k AND r.kind = 'text' JOIN roots q ON q.k = p.k AND q.kind = 'edited'
+        JOIN near ne ON ne.k = p.k AND ne.kind = 'edited' JOIN near nn ON nn.k = p.k AND nn.kind = 'after'
+    """,
     "op13_prefix_trie": r"""
         WITH table_step AS (  -- CRC-32 of each byte value, by eight shifts
             SELECT v, list_reduce(list_prepend(v, range(8)), lambda c, k:
