@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
-    chunk_bpe, chunk_recipes, decision_list, gam, language, licenses, merkle, packing, prefix_trie, pseudonyms, simhash,
+    alignment, chunk_bpe, chunk_recipes, decision_list, gam, language, licenses, merkle, packing, prefix_trie, pseudonyms, simhash,
     token_files,
 )
 from larder.session import fresh_path
@@ -17,6 +17,7 @@ from larder.session import fresh_path
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 KEY = "a key for the test tables"  # a user of pseudonyms passes an own one
 
 
@@ -83,6 +84,10 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(documents(spark, folder), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.document_fingerprints(documents(spark, folder)).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
@@ -104,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_chunk_bpe": op10_chunk_bpe,
+    "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
     "op13_prefix_trie": op13_prefix_trie,
 }
