@@ -48,7 +48,7 @@ CUT = re.compile(r"(?<=\S)(?= \S)")
 PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)  # a stretch that may stand between others
 LINE = 256  # stretches that are encoded as one text
 BUNDLE_BYTES = 4 << 20
-MOST_UNITS = 300_000
+MOST_UNITS = 800_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 BUNDLES = ("bundle long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
            "n_links array<long>, groups_sha256 array<string>, pairs array<long>, docs array<int>, "
@@ -64,6 +64,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes in a row, and where each part begins and how long it is."""
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    return np.frombuffer(b"".join(parts), dtype=np.uint8), offsets_of(lengths)[:-1], lengths
+
+
 class Aligner:
     """vocabulary: the JSON text of A; model: the bytes of B's file."""
 
@@ -79,123 +85,133 @@ class Aligner:
         self.b = SentencePieceProcessor(model_proto=model)
         names = sorted(self.a.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         letters = byte_alphabet()
-        self.bytes_a = [b""] * (names[-1][1] + 1)
+        bytes_a = [b""] * (names[-1][1] + 1)
         for name, i in names:
-            self.bytes_a[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
+            bytes_a[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode()
-                        for p, byte in zip(pieces, self.is_byte)]
+        bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, self.is_byte)]
+        self.table_a, self.table_b = laid_out(bytes_a), laid_out(bytes_b)
+        self.signs = laid_out([b"%d%c" % (i, sign) for i in range(len(bytes_a)) for sign in b",|"]
+                              + [b"%d%c" % (i, sign) for i in range(len(bytes_b)) for sign in b",;"])
         form = json.loads(vocabulary)
         splits = form["pre_tokenizer"] or {}
         if form["normalizer"] or splits.get("type") != "ByteLevel" or not splits.get("use_regex", True):
             raise ValueError("the first vocabulary must be byte-level with the usual splitting rule")
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("the second vocabulary has pieces that go on after a space")
-        self.lengths_a = np.array([len(b) for b in self.bytes_a])
-        self.lengths_b = np.array([len(b) for b in self.bytes_b])
         self.width = len(pieces)
         self.most_units = most_units
         self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.strings: list[str] = []
-        self.numbers = np.zeros((0, len(NUMBERS)), dtype=np.int64)  # n_a < 0: the bytes differ
-        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.strings: list[bytes] = []  # of each stretch its groups, every one with a semicolon
+        self.numbers = np.zeros((0, len(NUMBERS)), dtype=np.int64)
+        self.bad = np.zeros(0, dtype=bool)  # the bytes differ
+        self.starts = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.int64)  # pairs a * width + b, one per link
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and byte ends of A and B over a text that begins with a space; None if their bytes differ from it."""
-        data = text.encode()
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
         found = self.a.encode(text, add_special_tokens=False)
-        proto = self.b.encode(text[1:], return_type="proto")
+        proto = self.b.encode(text[1:], return_type="proto").pieces
         ids_a = np.array(found.ids, dtype=np.int64)
-        ids_b = np.array([p.id for p in proto.pieces], dtype=np.int64)
-        if b"".join([self.bytes_a[i] for i in found.ids]) != data or b"".join([self.bytes_b[i] for i in ids_b.tolist()]) != data:
-            return None
+        ids_b = np.array([p.id for p in proto], dtype=np.int64)
+        for table, ids in ((self.table_a, ids_a), (self.table_b, ids_b)):
+            joined = ragged(table[0], table[1][ids], table[2][ids])
+            if len(joined) != len(data) or (joined != data).any():
+                return None
         spans = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)
-        place = np.arange(len(text) + 1)  # bytes before each character
-        if len(data) != len(text):
-            place = offsets_of(np.array([len(c.encode()) for c in text]))
         inside = np.append(spans[1:, 0] < spans[:-1, 1], False)  # the next token has a part of its last character
-        ends_a = np.where(inside, np.cumsum(self.lengths_a[ids_a]), place[spans[:, 1]])
-        ends_b = np.array([p.end for p in proto.pieces], dtype=np.int64) + 1  # the space before the text
-        ends_b = np.where(self.is_byte[ids_b], np.cumsum(self.lengths_b[ids_b]), ends_b)
+        ends_a = spans[:, 1]
+        if len(data) != len(text):
+            # Bytes before each character: a character begins at each byte that does not go on with one.
+            ends_a = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[ends_a]
+        ends_a = np.where(inside, np.cumsum(self.table_a[2][ids_a]), ends_a)
+        ends_b = np.array([p.end for p in proto], dtype=np.int64) + 1  # the space before the text
+        ends_b = np.where(self.is_byte[ids_b], np.cumsum(self.table_b[2][ids_b]), ends_b)
         return ids_a, ends_a, ids_b, ends_b
 
-    def _groups(self, ids_a, ends_a, ids_b, ends_b) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of A and of B in each group, and where it ends."""
+    def groups(self, ids_a, ends_a, ids_b, ends_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where groups end, and how many tokens of A and of B have ended by then."""
         cuts = np.intersect1d(ends_a, ends_b)
-        upto_a, upto_b = np.searchsorted(ends_a, cuts, side="right"), np.searchsorted(ends_b, cuts, side="right")
-        a, b = ids_a.tolist(), ids_b.tolist()
-        i = [0, *upto_a.tolist()]
-        j = [0, *upto_b.tolist()]
-        return [a[x:y] for x, y in zip(i, i[1:])], [b[x:y] for x, y in zip(j, j[1:])], cuts
+        return cuts, np.searchsorted(ends_a, cuts, side="right"), np.searchsorted(ends_b, cuts, side="right")
 
     def _learn(self, units: list[str]) -> None:
         """Align new stretches, those that may stand between others in lines."""
-        plain = [u for u in units if PLAIN.fullmatch(u)]
+        fits = [PLAIN.fullmatch(u) is not None for u in units]
+        plain = [u for u, ok in zip(units, fits) if ok]
         lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
-        lines += [[u] for u in units if not PLAIN.fullmatch(u)]
-        numbers, parts, sizes = [], [], []
+        lines += [[u] for u, ok in zip(units, fits) if not ok]
+        numbers, bad, links = [self.numbers], [self.bad], [self.pool]
         while lines:
             line = lines.pop()
             found = self.tokens("".join(line))
             if found is None and len(line) > 1:
                 lines += [[u] for u in line]
                 continue
+            self.slot.update(zip(line, range(len(self.strings), len(self.strings) + len(line))))
+            bad.append(np.full(len(line), found is None))
             if found is None:
-                record = [([], [])]
-                bad = True
-            else:
-                groups_a, groups_b, cuts = self._groups(*found)
-                upto = [0, *np.searchsorted(cuts, np.cumsum([len(u.encode()) for u in line]), side="right").tolist()]
-                record = [(groups_a[x:y], groups_b[x:y]) for x, y in zip(upto, upto[1:])]
-                bad = False
-            for unit, (in_a, in_b) in zip(line, record):
-                links = [x * self.width + y for p, q in zip(in_a, in_b) for x in p for y in q]
-                self.slot[unit] = len(self.strings)
-                self.strings.append(";".join(
-                    ",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in zip(in_a, in_b)))
-                numbers.append((-1, 0, 0, 0) if bad else (
-                    sum(map(len, in_a)), sum(map(len, in_b)), len(in_a), len(links)))
-                parts += links
-                sizes.append(len(links))
-        self.starts = np.concatenate([self.starts, len(self.pool) + offsets_of(np.array(sizes))[:-1]])
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, dtype=np.int64).reshape(-1, len(NUMBERS))])
-        self.pool = np.concatenate([self.pool, np.array(parts, dtype=np.int64)])
+                numbers.append(np.zeros((1, len(NUMBERS)), dtype=np.int64))
+                self.strings.append(b"")
+                continue
+            ids_a, _, ids_b, _ = found
+            cuts, upto_a, upto_b = self.groups(*found)
+            n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+            # Every token of A meets the tokens of B of its group.
+            times = np.repeat(n_b, n_a)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            links.append(np.repeat(ids_a, times) * self.width + ids_b[np.repeat(np.repeat(upto_b - n_b, n_a), times) + nth])
+            # What is written: the ids of a group's A tokens, then of its B tokens, each with the sign after it.
+            last_a, last_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+            last_a[upto_a - 1] = last_b[upto_b - 1] = 1
+            group = np.concatenate([np.repeat(2 * np.arange(len(cuts)), n_a), np.repeat(2 * np.arange(len(cuts)) + 1, n_b)])
+            signs = np.concatenate([2 * ids_a + last_a, 2 * (ids_b + len(self.table_a[1])) + last_b])
+            signs = signs[np.argsort(group, kind="stable")]
+            written = ragged(self.signs[0], self.signs[1][signs], self.signs[2][signs]).tobytes()
+            # Stretches end where groups do.
+            ends = np.searchsorted(cuts, np.cumsum([len(u.encode()) for u in line]), side="right") - 1
+            upto = np.stack([upto_a, upto_b, np.arange(1, len(cuts) + 1), np.cumsum(n_a * n_b)], axis=1)[ends]
+            numbers.append(np.diff(upto, axis=0, prepend=0))
+            places = [0, *np.cumsum(self.signs[2][signs])[upto[:, 0] + upto[:, 1] - 1].tolist()]
+            self.strings += [written[x:y] for x, y in zip(places, places[1:])]
+        self.numbers, self.bad, self.pool = np.concatenate(numbers), np.concatenate(bad), np.concatenate(links)
+        self.starts = offsets_of(self.numbers[:, 3])[:-1]
 
     def bundle(self, texts: list[str | None]) -> dict[str, object]:
         """What a bundle's documents have, and their pairs by document (see `_lookup`)."""
         units = [CUT.split(" " + t) if t else [] for t in texts]
-        new = {u for of in units for u in of if u not in self.slot}
-        if len(new) + len(self.slot) > self.most_units:
+        slot = self.slot
+        new = {u for of in units for u in of if u not in slot}
+        if len(new) + len(slot) > self.most_units:
             self._forget()
+            slot = self.slot
             new = {u for of in units for u in of}
         if new:
             self._learn(list(new))
-        codes = [[self.slot[u] for u in of] for of in units]
-        good = np.ones(len(texts), dtype=bool)
-        for k, of in enumerate(codes):
-            good[k] = not len(of) or self.numbers[of, 0].min() >= 0
-        codes = [of if ok else [] for of, ok in zip(codes, good)]
-        counts = np.array([len(of) for of in codes], dtype=np.int64)
-        flat = np.array([c for of in codes for c in of], dtype=np.int64)
+        counts = np.array([len(of) for of in units], dtype=np.int64)
+        flat = np.array([slot[u] for of in units for u in of], dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        spoilt = np.bincount(owner, weights=self.bad[flat], minlength=len(texts)) > 0
+        flat, counts = flat[~spoilt[owner]], np.where(spoilt, 0, counts)
         bounds = offsets_of(counts)
         sums = np.concatenate([np.zeros((1, len(NUMBERS)), dtype=np.int64), np.cumsum(self.numbers[flat], axis=0)])
         of_document = sums[bounds[1:]] - sums[bounds[:-1]]
-        pairs = ragged(self.pool, self.starts[flat], self.sizes[flat])
+        pairs = ragged(self.pool, self.starts[flat], self.numbers[flat, 3])
         # One sort tells each document's distinct pairs and how often it has them.
         distinct, local = np.unique(pairs, return_inverse=True)
         owner = np.repeat(np.arange(len(texts)), of_document[:, 3])
         own, times = np.unique(owner * max(len(distinct), 1) + local, return_counts=True)
         document, local = np.divmod(own, max(len(distinct), 1))
+        codes, strings = flat.tolist(), self.strings
         return {
             **{c: of_document[:, k] for k, c in enumerate(NUMBERS)},
-            "groups_sha256": [hashlib.sha256(";".join([self.strings[c] for c in of]).encode()).hexdigest() if of else ""
-                              for of in codes],
+            "groups_sha256": [
+                hashlib.sha256(b"".join([strings[c] for c in codes[x:y]])[:-1]).hexdigest() if y > x else ""
+                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())],
             "pairs": distinct, "docs": np.bincount(local, minlength=len(distinct)),
             "sizes": np.bincount(document, minlength=len(texts)),
             "packed": pack(local, times),
