@@ -13,7 +13,7 @@ Neither splitting rule lets anything reach over a single space between two other
 token before such a space (`Aligner` verifies the properties of the vocabularies that this rests on). A task
 therefore aligns each distinct stretch between such spaces once and puts documents together from them.
 
-Counts of a pair over all documents need no row per document and pair: a bundle of documents (4 MB of
+Counts of a pair over all documents need no row per document and pair: a bundle of documents (2 MB of
 text) states its distinct pairs with their numbers of documents, these are summed and joined back per bundle,
 and the documents of a bundle look their pairs up in it. So what is shuffled grows with distinct pairs per
 bundle, and a pair that every document has is one row per bundle.
@@ -47,8 +47,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CUT = re.compile(r"(?<=\S)(?= \S)")
 PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)  # a stretch that may stand between others
 LINE = 256  # stretches that are encoded as one text
-BUNDLE_BYTES = 4 << 20
-MOST_UNITS = 800_000
+BUNDLE_BYTES = 2 << 20
+MOST_UNITS = 400_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 BUNDLES = ("bundle long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
            "n_links array<long>, groups_sha256 array<string>, pairs array<long>, docs array<int>, "
@@ -136,7 +136,7 @@ class Aligner:
 
     def groups(self, ids_a, ends_a, ids_b, ends_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where groups end, and how many tokens of A and of B have ended by then."""
-        cuts = np.intersect1d(ends_a, ends_b)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         return cuts, np.searchsorted(ends_a, cuts, side="right"), np.searchsorted(ends_b, cuts, side="right")
 
     def _learn(self, units: list[str]) -> None:
@@ -168,9 +168,9 @@ class Aligner:
             # What is written: the ids of a group's A tokens, then of its B tokens, each with the sign after it.
             last_a, last_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
             last_a[upto_a - 1] = last_b[upto_b - 1] = 1
-            group = np.concatenate([np.repeat(2 * np.arange(len(cuts)), n_a), np.repeat(2 * np.arange(len(cuts)) + 1, n_b)])
-            signs = np.concatenate([2 * ids_a + last_a, 2 * (ids_b + len(self.table_a[1])) + last_b])
-            signs = signs[np.argsort(group, kind="stable")]
+            signs = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+            signs[np.arange(len(ids_a)) + np.repeat(upto_b - n_b, n_a)] = 2 * ids_a + last_a
+            signs[np.arange(len(ids_b)) + np.repeat(upto_a, n_b)] = 2 * (ids_b + len(self.table_a[1])) + last_b
             written = ragged(self.signs[0], self.signs[1][signs], self.signs[2][signs]).tobytes()
             # Stretches end where groups do.
             ends = np.searchsorted(cuts, np.cumsum([len(u.encode()) for u in line]), side="right") - 1
