@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chunk_recipes, language, near_texts, packing, pseudonyms
+from larder.llm import chunk_recipes, language, packing, pseudonyms, simhash
 from larder.llm.queries import KEY, PIECES, VOCABULARY
 from larder.session import fresh_path
 
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each group of texts stays that share 4/5 of their 5-word shingles."""
-    return near_texts.deduplicate(docs)
+    """Operator 2, with its contract's shingles and distance: one document of each component stays."""
+    return simhash.deduplicate(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
