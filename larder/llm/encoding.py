@@ -3,7 +3,7 @@
 The vocabularies meant here drop white space, so the ids of a text are those of its words in
 order. Each batch is split at ASCII white space, its distinct words go to the library once, and
 their ids are laid out by array operations. `PiecewiseEncoder` keeps what it has learned while a
-task lasts, up to a fixed number of pieces; it then starts anew, which changes no result.
+task lasts, up to a fixed number of words; it then starts anew, which changes no result.
 """
 
 from __future__ import annotations
@@ -55,9 +55,9 @@ class Encoded:
 
 
 class PiecewiseEncoder:
-    """vocabulary: the tokenizers library's JSON text; most_pieces bounds what is remembered."""
+    """vocabulary: the tokenizers library's JSON text; most_pieces bounds the words that are remembered."""
 
-    def __init__(self, vocabulary: str, most_pieces: int = 1_000_000):
+    def __init__(self, vocabulary: str, most_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -83,6 +83,10 @@ class PiecewiseEncoder:
         self.pool = np.zeros(0, dtype=self.kind)
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
+        self.word_slot: dict[str, int] = {}
+        self.word_pool = np.zeros(0, dtype=self.kind)
+        self.word_starts = np.zeros(0, dtype=np.int64)
+        self.word_lengths = np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> Encoded:
         """Null texts count as empty."""
@@ -100,8 +104,29 @@ class PiecewiseEncoder:
         return Encoded(ids, after[bounds - bounds[0]], after[1:][ends[codes]])
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length and pool of the ids of distinct words."""
+        """Start, length and pool of the ids of distinct words; each word is taken apart once as long as it is remembered."""
+        names = words.to_pylist()
+        if len(self.word_slot) + len(names) > self.most_pieces:
+            self._forget()
+        new = [x for x in names if x not in self.word_slot]
+        if new:
+            starts, lengths, pool = self._take_apart(pa.array(new, pa.large_string()))
+            begin = len(self.word_pool)
+            self.word_slot.update(zip(new, range(len(self.word_starts), len(self.word_starts) + len(new))))
+            self.word_pool = np.concatenate([self.word_pool, pool])
+            self.word_starts = np.concatenate([self.word_starts, begin + starts])
+            self.word_lengths = np.concatenate([self.word_lengths, lengths])
+        which = np.fromiter((self.word_slot[x] for x in names), dtype=np.int64, count=len(names))
+        return self.word_starts[which], self.word_lengths[which], self.word_pool
+
+    def _take_apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of words that are not yet remembered.
+
+        Small letters stand for capitals in words of ASCII only: elsewhere the library composes marks with the
+        letter before them first, and a capital may have no composed form where the small letter has one.
+        """
         folded = pc.replace_substring_regex(pc.ascii_lower(words), f"^({LETTERS})({SIGNS})$", r"\1 \2")
+        folded = pc.if_else(pc.string_is_ascii(words), folded, words)
         for token in self.added:  # these are looked for in the unchanged text
             folded = pc.if_else(pc.match_substring(words, token, ignore_case=True), words, folded)
         pieces = pc.split_pattern(folded, " ")
@@ -114,9 +139,7 @@ class PiecewiseEncoder:
 
     def _slots(self, pieces: pa.Array) -> np.ndarray:
         names = pieces.to_pylist()
-        if len(self.slot) + len(names) > self.most_pieces:
-            self._forget()
-        new = [x for x in names if x not in self.slot]
+        new = [x for x in names if x not in self.slot]  # every piece belongs to a word that counts as well
         if new:
             self._learn(new)
         return np.fromiter((self.slot[x] for x in names), dtype=np.int64, count=len(names))

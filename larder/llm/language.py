@@ -45,7 +45,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNKNOWN = "und"
 UNKNOWN_PIECE = 1e-7
 BEGIN = "▁"  # the vocabulary's mark of a word's beginning
-LETTERS = re.compile(r"[^\W\d_]+")
+# Letters are the categories L of Unicode; the numeric signs that a word pattern also takes are left out by rule.
+NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(f"[^\\W\\d_{re.escape(NUMERIC)}]+")
 LONGEST_RUN = 512  # characters of one lattice, with the mark
 OUT = "doc_id long, lang_pred string, score double"
 SLICE_BYTES = 2 << 20  # of texts that are split into words at once
@@ -282,8 +284,8 @@ def learn(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """From all rows given whose text and language are known; rows to hold out are left out by the caller."""
     known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    # A text without a letter teaches nothing. These are the classes of LETTERS.
-    languages, sample = _sample(known.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")), training.most_documents)
+    # A text without a letter teaches nothing.
+    languages, sample = _sample(known.where(F.col("text").rlike(r"\p{L}")), training.most_documents)
     counts = durable(_word_counts(sample.select("text", "lang")), "word_counts")
     pieces = pieces_of(vocabulary, training.longest_piece)
     model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1 / len(pieces)), training.longest_piece)

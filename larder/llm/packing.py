@@ -12,7 +12,8 @@ For lengths that are padded the minimum of best[i] + p[i] over the last `capacit
 monotone queue; for powers of two the one fitting i is looked up.
 
 Each task packs its own range of documents in blocks of `block` ids: the last few sequences of a
-block are opened again together with the next one. Defined cases: a null text is empty and consists
+block are opened again together with the next one. Of sentence ends closer than `closest` ids only one is a
+place to cut, and ends of documents all are: the cuts are the cheapest over these places. Defined cases: a null text is empty and consists
 of the end id; null ids come first; equal ids are separate documents; a document longer than the
 capacity runs over several sequences; an empty table packs to no rows; other columns are ignored.
 Memory: one block, or one document if that is longer.
@@ -71,10 +72,16 @@ def padding(length: int, capacity: int) -> int:
 
 def best_cuts(places: np.ndarray, penalty: np.ndarray, costs: Costs) -> list[int]:
     """Ends of the cheapest sequences over the whole stream."""
-    at = [0, *places.tolist()]
-    extra = [0, *penalty.tolist()]
-    where = {p: i for i, p in enumerate(at)}
+    starts = np.concatenate([[0], places])
+    at, extra = starts.tolist(), [0, *penalty.tolist()]
     powers = [1 << k for k in range(costs.capacity.bit_length()) if costs.least_power <= 1 << k <= costs.capacity]
+    # For each place the places that lie a power of two before it; few places have one.
+    exact: dict[int, list[int]] = {}
+    for length in powers:
+        found = np.searchsorted(starts, starts - length)
+        hits = np.flatnonzero((starts >= length) & (starts[np.minimum(found, len(starts) - 1)] == starts - length))
+        for j, i in zip(hits.tolist(), found[hits].tolist()):
+            exact.setdefault(j, []).append(i)
     best, back = [0] * len(at), [0] * len(at)
     queue = deque([(0, 0)])  # (best[i] + at[i], i), rising
     for j in range(1, len(at)):
@@ -84,9 +91,8 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, costs: Costs) -> list[int
         cost, source = queue[0][0] + costs.capacity - end, queue[0][1]
         if (end - at[source]).bit_count() == 1:
             cost = best[source]
-        for length in powers:
-            i = where.get(end - length)
-            if i is not None and best[i] < cost:
+        for i in exact.get(j, ()):
+            if best[i] < cost:
                 cost, source = best[i], i
         best[j], back[j] = cost + extra[j], source
         key = best[j] + end
@@ -101,45 +107,64 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, costs: Costs) -> list[int
 
 
 class Packer:
-    """Documents in, pieces out; `waiting` holds those that are not fully packed."""
+    """Documents in, pieces out; what is not fully packed waits for the next block."""
 
     def __init__(self, costs: Costs, first_sequence: int, ids_type: type):
-        self.costs, self.sequence, self.done = costs, first_sequence, 0
+        self.costs, self.sequence = costs, first_sequence
         self.ids = np.zeros(0, dtype=ids_type)
         self.sentences = np.zeros(0, dtype=np.int64)
-        self.documents: list[tuple[object, int, int, int]] = []  # id, ids already packed, ids, place of its end
+        self.names: list = []
+        self.packed = np.zeros(0, dtype=np.int64)  # of each document the ids that are in earlier sequences
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.ends = np.zeros(0, dtype=np.int64)  # where each document ends in ids
 
     def add(self, names: list, found) -> None:
         begin = len(self.ids)
         self.ids = np.concatenate([self.ids, found.ids])
         self.sentences = np.concatenate([self.sentences, found.sentence_ends + begin])
-        for name, a, b in zip(names, found.offsets[:-1].tolist(), found.offsets[1:].tolist()):
-            self.documents.append((name, 0, b - a, begin + b))
+        self.names += names
+        self.packed = np.concatenate([self.packed, np.zeros(len(names), dtype=np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.diff(found.offsets)])
+        self.ends = np.concatenate([self.ends, found.offsets[1:] + begin])
 
-    def pack(self, last: bool) -> Iterator[tuple]:
+    def pack(self, last: bool) -> pa.RecordBatch | None:
         """Pieces of the sequences that are settled: all of them if `last`."""
-        if not self.documents:
-            return
-        ends = np.array([d[3] for d in self.documents])
-        cuts = best_cuts(*cut_places(ends, self.sentences, self.costs), self.costs)
+        if not self.names:
+            return None
+        cuts = np.array(best_cuts(*cut_places(self.ends, self.sentences, self.costs), self.costs), dtype=np.int64)
         if not last:
             cuts = cuts[:-REOPENED]
-        begin = k = 0
-        for cut in cuts:
-            length = cut - begin
-            padded = length + padding(length, self.costs.capacity)
-            place = begin
-            while place < cut:
-                name, packed, size, end = self.documents[k]
-                stop = min(end, cut)
-                yield (name, packed, stop - place, self.ids[place:stop], size, self.sequence, place - begin, padded)
-                self.documents[k] = (name, packed + stop - place, size, end)
-                place = stop
-                k += stop == end
-            begin, self.sequence = cut, self.sequence + 1
-        self.ids = self.ids[begin:].copy()
-        self.sentences = self.sentences[self.sentences > begin] - begin
-        self.documents = [(n, p, s, e - begin) for n, p, s, e in self.documents[k:]]
+        if not len(cuts):
+            return None
+        done = int(cuts[-1])
+        stops = np.union1d(self.ends[self.ends <= done], cuts)  # a piece ends with its document or its sequence
+        starts = np.concatenate([[0], stops[:-1]])
+        document = np.searchsorted(self.ends, starts, side="right")
+        sequence = np.searchsorted(cuts, starts, side="right")
+        begins = np.concatenate([[0], cuts])[sequence]
+        lengths = np.diff(np.concatenate([[0], cuts]))
+        whole = np.where((lengths & (lengths - 1)) == 0, lengths, self.costs.capacity)[sequence]
+        first = self.ends - self.sizes + self.packed  # where a document's waiting ids begin
+        data = pa.py_buffer(self.ids[:done].astype("<u4").tobytes())
+        offsets = pa.py_buffer((4 * np.concatenate([[0], stops])).astype("<i4").tobytes())
+        columns = {
+            "doc_id": pa.array([self.names[d] for d in document.tolist()], pa.int64()),
+            "start": pa.array(self.packed[document] + starts - first[document]),
+            "length": pa.array(stops - starts),
+            "ids": pa.Array.from_buffers(pa.binary(), len(stops), [None, offsets, data]),
+            "doc_tokens": pa.array(self.sizes[document]),
+            "sequence_id": pa.array(self.sequence + sequence),
+            "offset": pa.array(starts - begins),
+            "padded_length": pa.array(whole),
+        }
+        self.sequence += len(cuts)
+        left = int(np.searchsorted(self.ends, done, side="right"))
+        self.packed[left:] += np.maximum(done - first[left:], 0)
+        self.ids = self.ids[done:].copy()
+        self.sentences = self.sentences[self.sentences > done] - done
+        self.names, self.packed, self.sizes = self.names[left:], self.packed[left:], self.sizes[left:]
+        self.ends = self.ends[left:] - done
+        return pa.RecordBatch.from_pydict(columns)
 
 
 def pack(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
@@ -161,18 +186,11 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id"
             for a, b in slices(batch["text"], 1 << 20):
                 packer.add(batch["doc_id"][a:b].to_pylist(), with_end(encoder.encode(batch["text"][a:b]), end_id))
                 if len(packer.ids) >= costs.block:
-                    yield rows(list(packer.pack(last=False)))
-        if packer is not None:
-            yield rows(list(packer.pack(last=True)))
+                    found = packer.pack(last=False)
+                    if found is not None:
+                        yield found
+        found = packer.pack(last=True) if packer else None
+        if found is not None:
+            yield found
 
     return in_order(df, id_col, text_col).mapInArrow(run, PIECES)
-
-
-def rows(pieces: list[tuple]) -> pa.RecordBatch:
-    name, start, length, ids, size, sequence, offset, padded = zip(*pieces) if pieces else ((),) * 8
-    whole = {"doc_id": name, "start": start, "length": length, "doc_tokens": size, "sequence_id": sequence,
-             "offset": offset, "padded_length": padded}
-    columns = {c: pa.array(v, pa.int64()) for c, v in whole.items()}
-    columns["ids"] = pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
-    order = [c.split()[0] for c in PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([columns[c] for c in order], order)

@@ -11,6 +11,8 @@ from larder.llm import licenses, pseudonyms
 from larder.llm.queries import QUERIES
 
 ROOT = Path(__file__).resolve().parents[2]
+from larder.session import fresh_path
+from tests.llm.test_copies import norm, plain_components, plain_fingerprint
 
 
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 1000])
@@ -152,3 +154,37 @@ def test_nothing_else_imports_the_package():
     for path in [*ROOT.glob("larder/**/*.py"), *ROOT.glob("tests/*.py"), ROOT / "bench.py"]:
         if "llm" not in path.parts:
             assert "larder.llm" not in path.read_text()
+
+
+@pytest.mark.parametrize("of", ["odd", "empty"])
+def test_pipeline_equals_plain_stages(spark, request, of):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, number signs, personal data, no rows."""
+    texts = [(r.doc_id, r.text) for r in request.getfixturevalue(of).collect()]
+    if texts:
+        texts += [(20, "½ ²"), (21, "12 34 !!"), (22, "Write to anna.smith@example.org or call."), (23, "HELLO there, general reader of this text."),
+                  (24, "Write to anna.smith@example.org  or call. ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    folder = fresh_path(spark, "odd_documents")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    lettered = [(i, t) for i, t in texts if any(c.isalpha() for c in t or "")]
+    exact = {}
+    for i, t in lettered:
+        exact.setdefault(norm(t), []).append((-len(t), i is None, i or 0, i, t))
+    distinct = [min(g)[3:] for g in exact.values()]
+    root = plain_components(sorted({plain_fingerprint(t) for _, t in distinct}))
+    near = {}
+    for i, t in distinct:
+        near.setdefault(root[plain_fingerprint(t)], []).append((i is None, i or 0, str(i)))
+    wanted = sorted(min(g)[2] for g in near.values())
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert sorted({str(r.doc_id) for r in pieces}) == sorted(set(wanted))
+    whole = [r for r in pieces if r.start == 0]
+    assert sorted(str(r.doc_id) for r in whole) == wanted
+    filled = {}
+    for r in pieces:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        assert [a for a, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 4096
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in whole)

@@ -166,3 +166,23 @@ def test_padding_is_small(spark, folder):
 def test_crc_is_unsigned(spark):
     data = np.array([1, 70000], dtype="<u4").tobytes()
     assert spark.range(1).select(F.crc32(F.lit(data))).first()[0] == zlib.crc32(data)
+
+
+CAPITALS_AND_MARKS = [f"{chr(c)}{chr(m)}amza {chr(c)}x{chr(m)}" for c in range(65, 91) for m in range(0x300, 0x370)]
+
+
+def test_marks_after_capitals(spark, make, library):
+    """The library composes a mark with its letter before it takes capitals for small letters."""
+    encoder = PiecewiseEncoder(vocabulary_text(PATH))
+    found = encoder.encode(pa.array(CAPITALS_AND_MARKS))
+    assert [found.ids[a:b].tolist() for a, b in zip(found.offsets, found.offsets[1:])] == [ids(library, t) for t in CAPITALS_AND_MARKS]
+    rows = make(list(enumerate(CAPITALS_AND_MARKS)))
+    for r in chunk_bpe.encode_and_decode(rows, PATH).collect():
+        assert r.ids == ids(library, CAPITALS_AND_MARKS[r.doc_id])
+        assert r.decoded == library.decode(r.ids, skip_special_tokens=False)
+    for r in packing.pack(rows, PATH, 2).where("length = doc_tokens").collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids(library, CAPITALS_AND_MARKS[r.doc_id]) + [2]
+    path = fresh_path(spark, "test_marks")
+    token_files.write_token_files(rows, path, PATH, end_id=1, length=64)
+    for r in token_files.read_token_files(spark, path).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids(library, CAPITALS_AND_MARKS[r.doc_id]) + [1]
