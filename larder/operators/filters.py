@@ -26,7 +26,15 @@ class Slice:
 
 
 def filter_slice(df: DataFrame, chosen: Slice) -> DataFrame:
-    """Plain predicates, which Spark moves into the scan; dates are inclusive."""
+    """Plain predicates, which Spark moves into the scan; dates are inclusive.
+
+    Of a table that keeps its `month_start`, only the folders of the months in question are listed and read.
+    """
+    if "month_start" in df.columns:
+        for day, name in ((chosen.start, "start"), (chosen.end, "end")):
+            if day:
+                month = F.trunc(F.lit(day).cast("date"), "month")
+                df = df.where(F.col("month_start") >= month if name == "start" else F.col("month_start") <= month)
     if chosen.start:
         df = df.where(F.col("date") >= F.lit(chosen.start).cast("date"))
     if chosen.end:
@@ -55,14 +63,20 @@ def topn_semi(df: DataFrame, key: str = "product_id", n: int = 10) -> DataFrame:
 
 
 def latest_day(df: DataFrame) -> DataFrame:
-    """Rows of the last day; the day is a scalar subquery that reaches the scan."""
+    """Rows of the last day; the day is a scalar subquery that reaches the scan.
+
+    Of a table that keeps its `month_start`, both the day and its rows are looked for in the last month's folder.
+    """
+    if "month_start" in df.columns:
+        df = df.where(F.col("month_start") == df.agg(F.max("month_start")).scalar())
     return df.where(F.col("date") == df.agg(F.max("date")).scalar())
 
 
 def poor_forecast_rows(df: DataFrame, p: float = 0.1) -> DataFrame:
-    """Rows whose forecast accuracy is below its p quantile."""
+    """Rows whose forecast accuracy is below its p quantile, which is a number in the plan."""
     scored = df.withColumn("forecast_accuracy", forecast_accuracy())
-    return scored.where(F.col("forecast_accuracy") < quantile(scored, "forecast_accuracy", p).scalar())
+    limit = quantile(scored, "forecast_accuracy", p)
+    return scored.where(F.col("forecast_accuracy") < F.lit(limit).cast("double"))
 
 
 def poor_forecast_head(df: DataFrame, limit: float = 0.5, n: int = 10) -> DataFrame:

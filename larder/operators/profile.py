@@ -36,14 +36,20 @@ def null_counts(df: DataFrame) -> DataFrame:
     return per_column(df, df.columns, n_missing=lambda c: F.count_if(F.col(c).isNull()))
 
 
-def duplicate_count(df: DataFrame, free_text: Sequence[str] = ()) -> DataFrame:
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit digests of a row, which together tell rows apart; NULLs have a mark of their own."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    columns = [F.col(c) for c in df.columns]
+    return [F.xxhash64(nulls, *columns).alias("digest_a"), F.xxhash64(*reversed(columns), nulls, F.lit(1)).alias("digest_b")]
+
+
+def duplicate_count(df: DataFrame) -> DataFrame:
     """A3: repeats after the first, NULLs being equal.
 
-    Columns named as free text are grouped by a 256-bit digest of the whole text, so long
-    texts are not shuffled; copies merge before the shuffle.
+    Rows are compared by a digest of 128 bits, so 16 bytes a row are shuffled however wide or long
+    the columns are; copies merge before the shuffle.
     """
-    keys = [F.sha2(F.col(c), 256).alias(c) if c in free_text else F.col(c) for c in df.columns]
-    copies = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    copies = df.select(*row_digest(df)).groupBy("digest_a", "digest_b").agg(F.count("*").alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
@@ -162,44 +168,44 @@ def mean_forecast_accuracy(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(forecast_accuracy()).alias("avg_forecast_accuracy"))
 
 
+MOST_BINS = 10_000
+
+
 def histogram(df: DataFrame, value: str | Column, bins: int | None = None) -> DataFrame:
     """Equal bins over the range, the last one closed, empty bins kept.
 
-    Without a number of bins the width is the smaller of the Sturges and the
-    Freedman-Diaconis width, and at least 1 for whole numbers. Range and width are one
-    row, used as a scalar subquery.
+    Without a number of bins the width is the smaller of the Sturges and the Freedman-Diaconis width, and
+    at least 1 for whole numbers; if that makes more than MOST_BINS, neighbours are joined evenly, so no
+    row is left out. Range and width are found first and stand as numbers in the plan, which is one
+    scan with partial counts.
     """
     column = F.col(value) if isinstance(value, str) else value
     rows = df.select(column.alias("x")).where(F.col("x").isNotNull())
     whole = isinstance(rows.schema["x"].dataType, T.IntegralType)
-    low, high = F.min("x").cast("double"), F.max("x").cast("double")
+    ends = rows.agg(F.count("*").alias("n"), F.min("x").cast("double").alias("low"), F.max("x").cast("double").alias("high")).first()
+    if not ends.n:
+        return df.sparkSession.createDataFrame([], "bin_no long, bin_low double, bin_high double, n long")
+    low, high, n = F.lit(ends.low), F.lit(ends.high), F.lit(float(ends.n))
     if bins:
-        shape = rows.agg(low.alias("low"), high.alias("high"), F.lit(bins).cast("long").alias("bins"))
+        count = F.lit(bins)
     else:
-        ends = rows.agg(F.struct(F.count("*").alias("n"), low.alias("low"), high.alias("high")))
-        quartiles = exact_quantiles(rows, "x", [0.25, 0.75]).select("quantiles")
-        both = df.sparkSession.range(1).select(ends.scalar().alias("e"), quartiles.scalar().alias("q"))
-        spread = F.col("e.high") - F.col("e.low")
-        sturges = spread / (F.log2(F.col("e.n").cast("double")) + 1)
-        iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
-        diaconis = 2 * iqr / F.pow(F.col("e.n").cast("double"), F.lit(1 / 3))
+        quartiles = exact_quantiles(rows, "x", [0.25, 0.75]).first().quantiles
+        sturges = (high - low) / (F.log2(n) + 1)
+        diaconis = 2 * (F.lit(quartiles[1]) - F.lit(quartiles[0])) / F.pow(n, F.lit(1 / 3))
         width = F.when(diaconis > 0, F.least(sturges, diaconis)).otherwise(sturges)
         width = F.greatest(width, F.lit(1.0)) if whole else width
-        count = F.when(width > 0, F.ceil(spread / F.nullif(width, F.lit(0.0)))).otherwise(1)
-        shape = both.select("e.low", "e.high", F.greatest(count, F.lit(1)).cast("long").alias("bins"))
-    widen = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)  # a single value gets a range of one
-    shape = shape.select((F.col("low") - widen).alias("low"), (F.col("high") + widen).alias("high"), "bins")
-    one = shape.select(F.struct(*shape.columns)).scalar()
-    position = (F.col("x") - F.col("_s.low")) / (F.col("_s.high") - F.col("_s.low")) * F.col("_s.bins")
-    bin_no = F.least(F.floor(position), F.col("_s.bins") - 1).cast("long")
-    counts = rows.withColumn("_s", one).groupBy(bin_no.alias("bin_no")).agg(F.count("*").alias("n"))
-    width = (F.col("high") - F.col("low")) / F.col("bins")
-    spine = shape.select("low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin_no"))
-    return spine.join(counts, "bin_no", "left").select(
-        "bin_no", (F.col("low") + F.col("bin_no") * F.col("width")).alias("bin_low"),
-        (F.col("low") + (F.col("bin_no") + 1) * F.col("width")).alias("bin_high"),
-        F.coalesce("n", F.lit(0)).alias("n"),
-    )
+        count = F.greatest(F.when(width > 0, F.ceil((high - low) / F.nullif(width, F.lit(0.0)))).otherwise(1), F.lit(1))
+    widen = F.when(low == high, 0.5).otherwise(0.0)  # a single value gets a range of one
+    joined = F.ceil(count / F.ceil(count / MOST_BINS))
+    shape = df.sparkSession.range(1).select((low - widen).alias("low"), (high + widen).alias("high"), joined.cast("long").alias("bins"))
+    one = shape.first()
+    low, high, number = F.lit(one.low), F.lit(one.high), F.lit(one.bins)
+    bin_no = F.least(F.floor((F.col("x") - low) / (high - low) * number), number - 1).cast("long")
+    counts = rows.groupBy(bin_no.alias("bin_no")).agg(F.count("*").alias("n"))
+    width = (high - low) / number
+    return df.sparkSession.range(one.bins).select(F.col("id").alias("bin_no")).join(counts, "bin_no", "left").select(
+        "bin_no", (low + F.col("bin_no") * width).alias("bin_low"),
+        (low + (F.col("bin_no") + 1) * width).alias("bin_high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def ratio_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
@@ -210,29 +216,16 @@ def ratio_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
 def box_stats(df: DataFrame, group: str = "category", value: str = "units_sold") -> DataFrame:
     """Quartiles and whiskers, the outermost values within 1.5 IQR of the box.
 
-    Everything after the first aggregate works on counts per distinct value.
+    The quartiles of all groups come from shared splitters, the whiskers from conditional extremes, so only
+    partial aggregates meet, however large a group is.
     """
-    counts = known(df.select(group, F.col(value).alias("x")), group, "x").groupBy(group, "x").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy(group))
-    placed = counts.withColumns({"upto": upto, "total": total})
-    ends = []
-    for i, p in enumerate((0.25, 0.5, 0.75)):
-        place = (F.col("total") - 1) * F.lit(p)
-        for side, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
-            hit = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
-            ends.append(F.max(F.when(hit, F.col("x").cast("double"))).alias(f"{side}{i}"))
-    boxes = placed.groupBy(group).agg(F.max("total").alias("total"), *ends)
-    for i, p in enumerate((0.25, 0.5, 0.75)):
-        place = (F.col("total") - 1) * F.lit(p)
-        between = F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place - F.floor(place))
-        boxes = boxes.withColumn(("q1", "median", "q3")[i], between)
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fenced = boxes.select(group, "q1", "median", "q3", (F.col("q1") - reach).alias("f1"), (F.col("q3") + reach).alias("f2"))
-    inside = counts.join(fenced, group).where(F.col("x").between(F.col("f1"), F.col("f2")))
-    return inside.groupBy(group, "q1", "median", "q3").agg(
-        F.min("x").cast("double").alias("low_whisker"), F.max("x").cast("double").alias("high_whisker")
-    )
+    rows = known(df.select(group, F.col(value).cast("double").alias("x")), group, "x")
+    q1, median, q3 = (F.get("quantiles", F.lit(i)) for i in range(3))
+    boxes = exact_quantiles(rows, "x", [0.25, 0.5, 0.75], [group]).select(
+        group, q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q1 - 1.5 * (q3 - q1)).alias("f1"), (q3 + 1.5 * (q3 - q1)).alias("f2"))
+    inside = F.when(F.col("x").between(F.col("f1"), F.col("f2")), F.col("x"))
+    return rows.join(boxes, group).groupBy(group, "q1", "median", "q3").agg(
+        F.min(inside).alias("low_whisker"), F.max(inside).alias("high_whisker"))
 
 
 def monthly_totals(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from larder.functions.nulls import known
 from larder.functions.quantiles import quantile
 from larder.functions.ranking import largest, ranked, smallest
 from larder.params import DEFAULTS, Params
+from larder.session import durable
 from larder.schema import STATUSES
 
 
@@ -78,15 +79,15 @@ def product_supply_metrics(df: DataFrame, *keys: str, params: Params = DEFAULTS)
 
 def critical_undersupply(df: DataFrame, n: int = 10, params: Params = DEFAULTS) -> DataFrame:
     """Undersupplied products that sell above their median, smallest gaps first."""
-    under = product_supply_metrics(df, params=params).where(F.col("supply_status") == "Undersupplied").drop("avg_ratio")
-    busy = under.where(F.col("units_sold") > quantile(under, "units_sold", 0.5).scalar())
+    under = durable(product_supply_metrics(df, params=params).where(F.col("supply_status") == "Undersupplied").drop("avg_ratio"))
+    busy = under.where(F.col("units_sold") > F.lit(quantile(under, "units_sold", 0.5)).cast("double"))
     return smallest(busy, "avg_gap", n, "product_id", "category")
 
 
 def excessive_oversupply(df: DataFrame, n: int = 10, params: Params = DEFAULTS) -> DataFrame:
     """Oversupplied products with a gap above their 90 % quantile, largest first."""
-    over = product_supply_metrics(df, params=params).where(F.col("supply_status") == "Oversupplied").drop("avg_ratio")
-    wide = over.where(F.col("avg_gap") > quantile(over, "avg_gap", 0.9).scalar())
+    over = durable(product_supply_metrics(df, params=params).where(F.col("supply_status") == "Oversupplied").drop("avg_ratio"))
+    wide = over.where(F.col("avg_gap") > F.lit(quantile(over, "avg_gap", 0.9)).cast("double"))
     return largest(wide, "avg_gap", n, "product_id", "category")
 
 

@@ -65,11 +65,11 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("levels", [0, 1, 2])
-def test_quantiles_equal_numpy(spark, name, levels):
+@pytest.mark.parametrize("most_values", [100, 1 << 20])
+def test_quantiles_equal_numpy(spark, name, most_values):
     data, probs = CASES[name], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     df = spark.createDataFrame([(float(x),) for x in data] + [(None,)], "x double")
-    row = exact_quantiles(df, "x", probs, levels=levels).first()
+    row = exact_quantiles(df, "x", probs, most_values=most_values, accuracy=200).first()
     assert row["n"] == len(data)
     assert row["quantiles"] == pytest.approx(list(np.quantile(data, probs)), rel=1e-12, abs=1e-300)
 
@@ -84,5 +84,4 @@ def test_quantiles_per_group(spark):
 
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([], "x double")
-    assert quantile(df, "x", 0.5).collect() == []
-    assert spark.range(1).select(quantile(df, "x", 0.5).scalar().alias("q")).first()["q"] is None
+    assert quantile(df, "x", 0.5) is None
