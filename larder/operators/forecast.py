@@ -200,8 +200,8 @@ def model_comparison(predictions: DataFrame) -> DataFrame:
 
 
 def forecast_leaderboard(predictions: DataFrame) -> DataFrame:
-    """categories and products by increasing error."""
-    scores = forecast_metrics(predictions, *SERIES).where(F.col("kind").isin("category", "product"))
+    """the total, categories and products by increasing error, ranked within their kind."""
+    scores = forecast_metrics(predictions, *SERIES)
     order = Window.partitionBy("kind").orderBy("rmse", "series_id")  # one row per series
     return scores.withColumn("rank", F.row_number().over(order))
 
@@ -209,3 +209,14 @@ def forecast_leaderboard(predictions: DataFrame) -> DataFrame:
 def seasonal_naive(panel: DataFrame, keys: Sequence[str] = SERIES, season: int = 7) -> DataFrame:
     """the value one season earlier."""
     return panel.withColumn("predicted", F.lag("y", season).over(_by_series(keys)))
+
+
+def naive_holdout(panel: DataFrame, last_days: int = 30, keys: Sequence[str] = SERIES, season: int = 7) -> DataFrame:
+    """the last season before one cut, repeated over the last days; no held-out value takes part."""
+    from_end = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ds")))
+    placed = panel.withColumn("from_end", from_end)
+    # The first held-out day is last_days from the end; day h takes the value of season - (h - 1) % season days before it.
+    source = last_days + season - (last_days - F.col("from_end")) % season
+    held = placed.where(F.col("from_end") <= last_days).withColumn("source", source)
+    known_days = placed.select(*keys, F.col("from_end").alias("source"), F.col("y").alias("predicted"))
+    return held.join(known_days.where(F.col("source") > last_days), [*keys, "source"]).select(*keys, "ds", "y", "predicted")

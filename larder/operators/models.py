@@ -7,14 +7,15 @@ calendar day, however large the fact is. The forest is trained by MLlib.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def regression_holdout(panel: DataFrame, params: Params = DEFAULTS, last_days: i
 
 @dataclass(frozen=True)
 class ForestFit:
-    model: PipelineModel
+    model: Forest
     features: DataFrame
 
     def predictions(self) -> DataFrame:
@@ -122,58 +123,145 @@ class ForestFit:
 
     def importance(self, n: int = 20) -> DataFrame:
         """the n most important features; the model holds one number per feature."""
-        forest = self.model.stages[-1]
-        schema = self.model.transform(self.features.limit(1)).schema
-        groups = schema["raw_features"].metadata["ml_attr"]["attrs"].values()
+        schema = self.model.inputs.transform(self.features.limit(1)).schema
+        groups = schema["features"].metadata["ml_attr"]["attrs"].values()
         names = {a["idx"]: a["name"] for group in groups for a in group}
-        weights = forest.featureImportances.toArray()
+        weights = self.model.importances()
         rows = [(names.get(i, str(i)), float(w)) for i, w in enumerate(weights)]
         spark = self.features.sparkSession
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
 
-TRAINING_PARTITIONS = 64
+ROWS_PER_PARTITION = 100_000
+
+
+def training_partitions(rows: int) -> int:
+    """Partitions of a training table, by its rows alone.
+
+    A tree's bootstrap sample is drawn by partition, so their number follows from the data and never from the
+    cluster or its settings. Every partition holds and sends the sums of all nodes that are split together
+    (maxMemoryInMB), so more of them than the rows need cost time and memory.
+    """
+    return max(-(-rows // ROWS_PER_PARTITION), 1)
 
 
 def forest_features(df: DataFrame, use_lags: bool = True, params: Params = DEFAULTS) -> DataFrame:
     """store-day rows with lags, without incomplete rows, split in time order."""
-    daily = store_day_features(df)
+    daily = with_store_level(store_day_features(df))
     if use_lags:
         daily = rolling_features(lag_features(daily))
     return store_day_split(drop_incomplete(daily), params)
 
 
 def with_store_level(daily: DataFrame) -> DataFrame:
-    """A store's mean sales over its earlier days: one number for any number of stores, from the past only."""
+    """A store's mean sales over all its earlier days: one number for any number of stores, from the past only."""
     earlier = Window.partitionBy("store_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return daily.withColumn("store_level", F.coalesce(F.avg("units_sold").over(earlier), F.lit(0.0)))
 
 
-def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: bool = True,
-                           partitions: int = TRAINING_PARTITIONS) -> ForestFit:
+@dataclass(frozen=True)
+class Forest:
+    """A forest in parts, which are trained side by side: `inputs` makes the features, `parts` are MLlib forests."""
+
+    inputs: PipelineModel
+    parts: tuple
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows with `prediction`, the mean over all trees."""
+        rows = self.inputs.transform(df)
+        for k, part in enumerate(self.parts):
+            rows = part.setPredictionCol(f"_part{k}").transform(rows)
+        trees = sum(part.getNumTrees for part in self.parts)
+        total = sum((F.col(f"_part{k}") * part.getNumTrees for k, part in enumerate(self.parts)), F.lit(0.0))
+        return rows.withColumn("prediction", total / trees).drop(*[f"_part{k}" for k in range(len(self.parts))])
+
+    def importances(self) -> np.ndarray:
+        """The mean over all trees, one number per feature."""
+        whole = sum(part.featureImportances.toArray() * part.getNumTrees for part in self.parts)
+        return whole / max(whole.sum(), 1e-300)
+
+
+FOREST_PARTS = 10
+
+
+def fit_forest(train: DataFrame, label: str, numbers: Sequence[str], texts: Sequence[str], params: Params) -> Forest:
+    """All trees over all features, as a fixed number of MLlib forests whose jobs run at the same time.
+
+    A level of a forest is a chain of jobs, each with a short tail on few rows; side by side they fill a cluster that
+    one chain would leave idle. Node ids are kept with the rows, so a level costs one step down and not a walk
+    through all trees. Each part has its own seed, and as many trees as the others or one more.
+    """
+    inputs = Pipeline(stages=[
+        StringIndexer(inputCol=t, outputCol=f"{t}_no", handleInvalid="keep", stringOrderType="alphabetAsc") for t in texts
+    ] + [OneHotEncoder(inputCol=f"{t}_no", outputCol=f"{t}_is", dropLast=False) for t in texts] + [
+        VectorAssembler(inputCols=[*numbers, *[f"{t}_is" for t in texts]], outputCol="features")]).fit(train)
+    rows = inputs.transform(train).select(label, "features")
+    parts = min(FOREST_PARTS, params.trees)
+    sizes = [params.trees // parts + (k < params.trees % parts) for k in range(parts)]
+
+    def fit(k: int):
+        return RandomForestRegressor(
+            labelCol=label, numTrees=sizes[k], maxDepth=params.max_depth,
+            minInstancesPerNode=(params.min_samples_split + 1) // 2, featureSubsetStrategy="all",
+            seed=params.seed + k, cacheNodeIds=True, maxMemoryInMB=64,
+        ).fit(rows)
+
+    with ThreadPool(parts) as pool:
+        return Forest(inputs, tuple(pool.map(inheritable_thread_target(fit), range(parts))))
+
+
+def random_forest_forecast(df: DataFrame, params: Params = DEFAULTS, use_lags: bool = True) -> ForestFit:
     """a forest over store-day features.
 
-    Training reads its rows many times, so they are written once to the shared folder. A store enters
-    as its mean sales of earlier days, whatever the number of stores. The rows lie in a fixed number of
-    partitions by key, because the trees' samples are drawn by partition.
+    Training reads its rows many times, so they are written once to the shared folder, hashed and sorted by
+    (date, store) into `training_partitions`: the same rows give the same forest on any cluster. A store
+    enters as its mean sales of earlier days.
     """
-    rows = durable(with_store_level(forest_features(df, use_lags, params)))
-    features = rows.repartition(partitions, "date", "store_id").sortWithinPartitions("date", "store_id")
+    found = durable(forest_features(df, use_lags, params), "forest_features")
+    parts = training_partitions(found.count())
+    features = durable(found.repartition(parts, "date", "store_id").sortWithinPartitions("date", "store_id"), "forest_rows")
     numbers = ["avg_inventory", "avg_price", "avg_discount", "avg_competitor", "holiday_promotion",
                "month", "year", "day", "weekday", "week", "store_level"]
     if use_lags:
         numbers += [f"lag_{k}" for k in LAGS] + [f"rolling_{w}" for w in WINDOWS]
-    texts = ["weather"]
-    train = features.where(F.col("split") == "train")
-    stages = [
-        StringIndexer(inputCols=texts, outputCols=[f"{t}_no" for t in texts], handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=[f"{t}_no" for t in texts], outputCols=[f"{t}_is" for t in texts], dropLast=False),
-        VectorAssembler(inputCols=[*numbers, *[f"{t}_is" for t in texts]], outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=False),
-        RandomForestRegressor(
-            labelCol="units_sold", numTrees=params.trees, maxDepth=params.max_depth,
-            minInstancesPerNode=(params.min_samples_split + 1) // 2, featureSubsetStrategy="all",
-            seed=params.seed,
-        ),
-    ]
-    return ForestFit(Pipeline(stages=stages).fit(train), features)
+    train = found.where(F.col("split") == "train").repartition(parts, "date", "store_id").sortWithinPartitions("date", "store_id")
+    return ForestFit(fit_forest(train, "units_sold", numbers, ["weather"], params), features)
+
+
+CALENDAR = {"month": F.month, "year": F.year, "day": F.dayofmonth, "weekday": F.weekday, "week": F.weekofyear}
+
+
+def forest_holdout(panel: DataFrame, params: Params = DEFAULTS, last_days: int = 30) -> DataFrame:
+    """a forest over lags and calendar of each series, fitted before one cut, and every day after it predicted from
+    earlier predictions. kind, series_id, ds, y, predicted of the last days; their y take part in nothing.
+
+    The state of a series is its last 28 values, so a step is a projection; lineage is cut every six steps.
+    """
+    place = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("ds")))
+    rows = durable(panel.withColumn("from_end", place), "forest_panel")
+    past = rows.where(F.col("from_end") > last_days).withColumn("key", F.struct(*SERIES))
+    renamed = past.select("key", F.col("ds").alias("date"), F.col("y").alias("units_sold"))
+    numbers = [*CALENDAR, *[f"lag_{k}" for k in LAGS], *[f"rolling_{w}" for w in WINDOWS]]
+    train = rolling_features(lag_features(renamed, "key"), "key").withColumns({c: make("date") for c, make in CALENDAR.items()})
+    complete = durable(drop_incomplete(train.select("date", "units_sold", "key", *numbers)), "forest_days")
+    parts = training_partitions(complete.count())
+    model = fit_forest(complete.repartition(parts, "date", "key").sortWithinPartitions("date", "key"), "units_sold", numbers, [], params)
+
+    longest = max(*LAGS, *WINDOWS)
+    recent = past.where(F.col("from_end") <= last_days + longest).groupBy(*SERIES).agg(
+        F.sort_array(F.collect_list(F.struct("ds", "y")))["y"].alias("recent"))  # that many days
+    future = rows.where(F.col("from_end") <= last_days).groupBy(*SERIES).agg(F.sort_array(F.collect_list("ds")).alias("days"))
+    empty = F.array().cast("array<double>")
+    state = durable(recent.where(F.size("recent") == longest).join(future, [*SERIES]).withColumn("path", empty), "forest_state")
+    for step in range(last_days):
+        values = {c: make(F.get("days", F.lit(step))) for c, make in CALENDAR.items()}
+        values |= {f"lag_{k}": F.element_at("recent", -k) for k in LAGS}
+        values |= {f"rolling_{w}": F.aggregate(F.slice("recent", -w, w), F.lit(0.0), lambda n, x: n + x) / w for w in WINDOWS}
+        scored = model.transform(state.withColumns(values))
+        state = scored.select(
+            *SERIES, "days", F.concat("path", F.array("prediction")).alias("path"),
+            F.concat(F.slice("recent", 2, longest - 1), F.array("prediction")).alias("recent"))
+        if step % 6 == 5:
+            state = durable(state, "forest_state")
+    predicted = state.select(*SERIES, F.inline(F.arrays_zip(F.col("days").alias("ds"), F.col("path").alias("predicted"))))
+    return rows.where(F.col("from_end") <= last_days).join(predicted, [*SERIES, "ds"]).select(*SERIES, "ds", "y", "predicted")

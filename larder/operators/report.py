@@ -15,20 +15,20 @@ from larder.operators.pricing import elasticity_summary
 from larder.params import DEFAULTS, Params
 
 
-def key_metrics(df: DataFrame, scores: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """(metric, value) rows; scores is a one-row result with the forecast model's r2."""
+def key_metrics(df: DataFrame, scores: DataFrame, params: Params = DEFAULTS, model: str = "forecast_model_r2") -> DataFrame:
+    """(metric, value) rows; scores is a one-row result with the r2 of what `model` names."""
     supply = df.agg(
         (F.avg((supply_status(params) == "Optimal").cast("double")) * 100).alias("optimal_inventory_pct"),
         F.avg(supply_gap()).alias("avg_supply_gap"),
         F.avg(forecast_accuracy()).alias("avg_forecast_accuracy"),
     )
-    model = scores.select(F.col("r2").alias("forecast_model_r2"))
+    fitted = scores.select(F.col("r2").alias(model))
     prices = elasticity_summary(df, params=params).select(
         F.col("n_products").cast("double").alias("products_analyzed"),
         F.col("n_inelastic").cast("double").alias("inelastic_products"),
     )
     return reduce(DataFrame.unionByName, [
-        part.unpivot([], list(part.columns), "metric", "value") for part in (supply, model, prices)
+        part.unpivot([], list(part.columns), "metric", "value") for part in (supply, fitted, prices)
     ])
 
 

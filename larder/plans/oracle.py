@@ -576,7 +576,7 @@ ORACLE: dict[str, str] = {
     "f11_rolling_features_same_day": sql("rolling_7 rolling_14 rolling_28", f"SELECT *, {rolling(0)} FROM daily", DAILY_STORE),
     "f12_standardise": sql(" ".join(SCALED), STANDARDISED, f"{STORE_DAY}, marked AS ({split_rows('store_day')})"),
     "f16_history_tail": sql("", "SELECT date, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f GROUP BY date ORDER BY date DESC LIMIT 90"),
-    "f19_naive_leaderboard": sql("mae rmse r2 mape", f"SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY rmse, series_id) AS INTEGER) AS rank FROM ({SCORES}) AS s WHERE kind <> 'total'", PANEL),
+    "f19_naive_leaderboard": sql("mae rmse r2 mape", f"SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY rmse, series_id) AS INTEGER) AS rank FROM ({SCORES}) AS s", PANEL),
     "f20_seasonal_naive": sql("y predicted", "SELECT kind, series_id, ds, y, predicted FROM split", PANEL),
     "d1_kpis": sql("avg_inventory forecast_accuracy_pct inventory_turn", kpis("true")),
     "d1_kpis_sliced": sql("avg_inventory forecast_accuracy_pct inventory_turn", kpis(SLICE)),
@@ -596,10 +596,10 @@ ORACLE: dict[str, str] = {
     "d7_data_overview": sql("", union(["SELECT 'period_start' AS item, CAST(min(date) AS VARCHAR) AS value FROM f", "SELECT 'period_end', CAST(max(date) AS VARCHAR) FROM f",
         "SELECT 'n_stores', CAST(count(DISTINCT store_id) AS VARCHAR) FROM f", "SELECT 'n_products', CAST(count(DISTINCT product_id) AS VARCHAR) FROM f",
         "SELECT DISTINCT 'category', category FROM f", "SELECT DISTINCT 'region', region FROM f"])),
-    "r1_key_metrics": sql("value", union([
+    "r1_naive_metrics": sql("value", union([
         "SELECT 'optimal_inventory_pct' AS metric, avg(CASE WHEN status = 'Optimal' THEN 1.0::DOUBLE ELSE 0 END) * 100 AS value FROM f",
         "SELECT 'avg_supply_gap', avg(gap) FROM f", "SELECT 'avg_forecast_accuracy', avg(accuracy) FROM f",
-        f"SELECT 'forecast_model_r2', r2 FROM ({scores('kind', chr(39).join(['split = ', 'test', ' AND kind = ', 'total', '']))}) AS s",
+        f"SELECT 'naive_forecast_r2', r2 FROM ({scores('kind', chr(39).join(['split = ', 'test', ' AND kind = ', 'total', '']))}) AS s",
         "SELECT 'products_analyzed', CAST(count(*) AS DOUBLE) FROM fits", "SELECT 'inelastic_products', CAST(count(*) FILTER (WHERE elasticity >= -1) AS DOUBLE) FROM fits"]),
         f"{PANEL}, {fits('product_id')}"),
     "r2_key_insights": sql("", f"""SELECT 'peak_season' AS insight, (SELECT seasonality FROM ({mean_by('seasonality')}) AS a ORDER BY avg_units DESC, seasonality LIMIT 1) AS answer
@@ -608,3 +608,16 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'optimal_discount', (SELECT CAST(discount AS VARCHAR) FROM f GROUP BY discount ORDER BY avg(revenue) DESC, discount LIMIT 1)
         UNION ALL SELECT 'optimal_price_position', (SELECT bucket FROM ({every_bucket('avg_revenue', 'revenue')}) AS c ORDER BY avg_revenue DESC NULLS LAST, bucket_no LIMIT 1)""", labels()),
 }
+
+ORACLE["f18_naive_from_cut"] = sql("y predicted", """SELECT h.kind, h.series_id, h.ds, h.y, k.y AS predicted
+    FROM (SELECT *, row_number() OVER (ORDER BY ds DESC) AS r FROM panel WHERE kind = 'total') AS h
+    JOIN (SELECT y, row_number() OVER (ORDER BY ds DESC) AS r FROM panel WHERE kind = 'total') AS k
+      ON h.r <= 30 AND k.r = 30 + 7 - (30 - h.r) % 7""", PANEL)
+ORACLE["p1_filter_slice_pruned"] = sql("demand_forecast price competitor_pricing", f"SELECT {COLUMNS} FROM f WHERE {DAYS_AND_REGIONS} AND {CATEGORY_CHOICE}")
+ORACLE["p3_latest_day_pruned"] = sql("demand_forecast price competitor_pricing", f"SELECT {COLUMNS} FROM f WHERE date = (SELECT max(date) FROM f)")
+ORACLE["s4_sample_rows"] = sql("price", """SELECT price, units_sold, inventory_level, category FROM f
+    ORDER BY md5('42|' || coalesce(round_even(price * 1000000.0::DOUBLE, 0)::BIGINT::VARCHAR, 'null') || '|' || coalesce(units_sold::VARCHAR, 'null')
+        || '|' || coalesce(inventory_level::VARCHAR, 'null') || '|' || coalesce(category, 'null')) LIMIT 5000""")
+ORACLE["s5_run_stats"] = sql("", f"""SELECT count(*) AS n_rows, {len(FACT_COLUMNS)} AS n_columns, CAST(sum({' + '.join(
+    f"CASE WHEN {f.name} IS NULL THEN 0 ELSE {dict(string=f'strlen({f.name})', date='4', int='4').get(f.dataType.simpleString(), '8')} END"
+    for f in FACT_SCHEMA)}) AS BIGINT) AS data_bytes FROM f""")

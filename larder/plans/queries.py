@@ -23,7 +23,7 @@ from larder.operators import seasonality as W
 from larder.operators import supply as Y
 from larder.operators import validate as Q
 from larder.schema import CATEGORICAL_COLUMNS, FACT_COLUMNS, FACT_FIELDS, NUMERIC_COLUMNS
-from larder.session import fresh_path
+from larder.session import durable, fresh_path
 from larder.sources import results as S
 from larder.sources.fact import read_fact_csv, read_fact_parquet, retail_view, write_fact
 
@@ -89,16 +89,26 @@ _fits: dict[tuple, M.ForestFit] = {}
 
 
 def forest(spark: SparkSession, folder: str) -> M.ForestFit:
-    """The fitted forest of a folder; F13-F15 and F18 share one training run per session."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The fitted forest of a folder; F13-F15 and R1 share one training run per session and state of the data."""
+    rows = retail_view(spark, folder, STORE_DAY.split())
+    seen = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, folder, *seen)
     if key not in _fits:
-        _fits[key] = M.random_forest_forecast(retail_view(spark, folder, STORE_DAY.split()))
+        _fits[key] = M.random_forest_forecast(rows)
     return _fits[key]
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select("text", "lang")
-    return A.duplicate_count(documents, free_text=("text",))
+    return A.duplicate_count(spark.read.parquet(f"{folder}/documents.parquet").select("text", "lang"))
+
+
+def _pruned(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """An operator over the fact written by month and read with its months."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = fresh_path(spark, "fact_by_month")
+        write_fact(retail_view(spark, folder, FACT_COLUMNS), path)
+        return comparable(operator(read_fact_parquet(spark, path, months=True)))
+    return run
 
 
 def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,23 +148,23 @@ def _forest_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return FC.forecast_metrics(forest(spark, folder).predictions())
 
 
-def _comparison(spark: SparkSession, folder: str, days: int = 30) -> DataFrame:
-    """All forecasters on the last days of the total; the forest's store-days are summed per day."""
-    panel = FC.series_panel(retail_view(spark, folder, PANEL.split())).where(F.col("kind") == "total")
-    last = panel.orderBy(F.desc("ds")).limit(days).select("ds")
+def _total(spark: SparkSession, folder: str) -> DataFrame:
+    return FC.series_panel(retail_view(spark, folder, PANEL.split())).where(F.col("kind") == "total")
 
-    def named(model: str, scored: DataFrame) -> DataFrame:
-        return scored.select(F.lit(model).alias("model"), "ds", "y", "predicted")
 
-    held = F.broadcast(last)  # 30 rows
-    naive = named("seasonal_naive", FC.seasonal_naive(panel)).join(held, "ds", "left_semi").select("model", "ds", "y", "predicted")
-    seasonal = named("seasonal_ar", M.seasonal_holdout(panel, last_days=days))
-    regression = named("regression", M.regression_holdout(panel, last_days=days))
-    summed = forest(spark, folder).predictions().groupBy(F.col("date").alias("ds")).agg(
-        F.sum("y").alias("y"), F.sum("predicted").alias("predicted")
-    ).join(held, "ds", "left_semi")
-    trees = named("random_forest", summed)
-    return FC.model_comparison(naive.unionByName(seasonal).unionByName(regression).unionByName(trees))
+def _naive_from_cut(spark: SparkSession, folder: str) -> DataFrame:
+    return comparable(FC.naive_holdout(_total(spark, folder)))
+
+
+def _comparison(spark: SparkSession, folder: str, days: int = 30) -> DataFrame:
+    """All forecasters on the last days of the total, each fitted before the same cut and run over the same horizon."""
+    panel = durable(_total(spark, folder), "total_series")
+    models = {
+        "seasonal_naive": FC.naive_holdout(panel, days), "seasonal_ar": M.seasonal_holdout(panel, last_days=days),
+        "regression": M.regression_holdout(panel, last_days=days), "random_forest": M.forest_holdout(panel, last_days=days),
+    }
+    named = [scored.select(F.lit(name).alias("model"), "ds", "y", "predicted") for name, scored in models.items()]
+    return FC.model_comparison(reduce(DataFrame.unionByName, named))
 
 
 def _naive_scores(df: DataFrame) -> DataFrame:
@@ -162,12 +172,17 @@ def _naive_scores(df: DataFrame) -> DataFrame:
     return panel.where(F.col("split") == "test")
 
 
-def _key_metrics(df: DataFrame) -> DataFrame:
+def _naive_report(df: DataFrame) -> DataFrame:
     total = FC.seasonal_naive(FC.daily_totals(df).select(
         F.lit("total").alias("kind"), F.lit("all").alias("series_id"), F.col("date").alias("ds"),
         F.col("units_sold").cast("double").alias("y")))
     scores = FC.forecast_metrics(FC.chrono_split(total).where(F.col("split") == "test"))
-    return R.key_metrics(df, scores)
+    return R.key_metrics(df, scores, model="naive_forecast_r2")
+
+
+def _forest_report(spark: SparkSession, folder: str) -> DataFrame:
+    df = retail_view(spark, folder, ("date " + SUPPLY + " price").split())
+    return comparable(R.key_metrics(df, _forest_metrics(spark, folder)))
 
 
 def _standardised(df: DataFrame) -> DataFrame:
@@ -279,6 +294,8 @@ QUERIES: dict[str, Query] = {
     "c15_category_price_action": _over(PRICES, _category_advice),
     "c16_product_price_action": _over(PRICES, _product_advice),
     # Filters
+    "p1_filter_slice_pruned": _pruned(lambda df: P.filter_slice(df, CHOSEN).drop("month_start")),
+    "p3_latest_day_pruned": _pruned(lambda df: P.latest_day(df).drop("month_start")),
     "p1_filter_slice": _over(KPI, lambda df: P.filter_slice(df, CHOSEN)),
     "p2_topn_semi": _over("date product_id store_id units_sold", lambda df: P.topn_semi(df, "product_id", 10)),
     "p2_topn_semi_sku": _over("date sku store_id units_sold", lambda df: P.topn_semi(df, "sku", 10)),
@@ -427,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "f17_regression_forecast": _over(
         PANEL, lambda df: M.regression_forecast(M.regression_series(FC.series_panel(df)))),
     "f18_model_comparison": _comparison,
+    "f18_naive_from_cut": _naive_from_cut,
     "f19_forecast_leaderboard": _over(
         PANEL, lambda df: FC.forecast_leaderboard(M.seasonal_holdout(FC.series_panel(df)))),
     "f19_naive_leaderboard": _over(PANEL, lambda df: FC.forecast_leaderboard(_naive_scores(df))),
@@ -446,7 +464,8 @@ QUERIES: dict[str, Query] = {
     "d5_inventory_vs_sales_sliced": _over(KPI, lambda df: D.inventory_vs_sales(df, CHOSEN_PRODUCTS)),
     "d6_overview_cards": _over("date product_id store_id units_sold inventory_level", D.overview_cards),
     "d7_data_overview": _over("date store_id product_id category region", D.data_overview),
-    "r1_key_metrics": _over("date " + SUPPLY + " price", _key_metrics),
+    "r1_key_metrics": _forest_report,
+    "r1_naive_metrics": _over("date " + SUPPLY + " price", _naive_report),
     "r2_key_insights": _over(
         "seasonality region category inventory_level units_sold demand_forecast price discount competitor_pricing",
         R.key_insights),

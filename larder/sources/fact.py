@@ -33,16 +33,21 @@ def read_fact_raw(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{name}`").alias(ours) for name, ours, _ in FACT_FIELDS])
 
 
-def read_fact_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Fact table from Parquet; filters and column lists of later steps reach this scan."""
-    return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
+def read_fact_parquet(spark: SparkSession, path: str, months: bool = False) -> DataFrame:
+    """Fact table from Parquet; filters and column lists of later steps reach this scan.
+
+    months keeps `month_start`, the folder of a table of write_fact, by which slices and the last day leave out folders.
+    """
+    if not months:
+        return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
+    schema = T.StructType([*FACT_SCHEMA.fields, T.StructField("month_start", T.DateType())])
+    return spark.read.schema(schema).parquet(path).select(*FACT_COLUMNS, "month_start")
 
 
 def write_fact(df: DataFrame, path: str) -> None:
     """Persist the fact table by month, for a batch of analyses.
 
-    A file holds days of one month, so a date filter skips files by their statistics. The
-    rebalance splits a month that holds most rows and merges small ones.
+    A folder holds the days of one month (see read_fact_parquet). The rebalance splits a month that holds most rows and merges small ones.
     """
     by_month = df.withColumn("month_start", F.trunc("date", "month"))
     by_month.hint("rebalance", "month_start").write.mode("overwrite").partitionBy("month_start").parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import forecast as FC
 from larder.operators import models as M
+from larder.operators.filters import Slice, filter_slice, latest_day
 from larder.params import DEFAULTS
 from larder.plans.queries import PANEL, STORE_DAY
 from larder.schema import FACT_FIELDS, FACT_SCHEMA
@@ -39,6 +40,14 @@ def test_month_folders_prune(spark, folder, tmp_path):
     path = str(tmp_path / "fact")
     source.write_fact(df, path)
     assert source.read_fact_parquet(spark, path).count() == df.count()
+    rows = source.read_fact_parquet(spark, path, months=True)
+    chosen = Slice(start="1996-02-10", end="1996-03-05")
+    for part, folders in ((filter_slice(rows, chosen), 2), (latest_day(rows), 1)):
+        scan = part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert "month_start" in scan
+        assert part.select(F.split(F.input_file_name(), "month_start=")[1][0:10]).distinct().count() <= folders
+    assert filter_slice(rows, chosen).count() == filter_slice(df, chosen).count()
+    assert latest_day(rows).count() == latest_day(df).count()
 
 
 def test_unused_dimensions_are_not_joined(spark, folder):
@@ -61,7 +70,45 @@ def test_sample_and_stats(spark):
     assert results.sample_rows(df, 100).distinct().count() == 100
     assert results.sample_rows(df, 5000).count() == 1000
     stats = results.run_stats(df).first()
-    assert (stats["n_rows"], stats["n_columns"]) == (1000, 1) and stats["text_bytes"] == 2890
+    assert (stats["n_rows"], stats["n_columns"], stats["data_bytes"]) == (1000, 1, 8000)
+    first = sorted(r.id for r in results.sample_rows(df, 100).collect())
+    assert first == sorted(r.id for r in results.sample_rows(df.repartition(7), 100).collect())
+    assert first != sorted(r.id for r in results.sample_rows(df, 100, seed=1).collect())
+
+
+def test_figures_of_a_load(spark):
+    load = results.Load(spark.createDataFrame([("ab", 1), (None, 2), ("é", None)], "t string, n int"))
+    load.rows.write.format("noop").mode("overwrite").save()
+    stats = load.stats()
+    assert (stats["n_rows"], stats["n_columns"], stats["data_bytes"]) == (3, 2, 2 + 2 + 8) and stats["seconds"] > 0
+
+
+def test_training_does_not_depend_on_partitions(spark, folder):
+    df = source.retail_view(spark, folder, STORE_DAY.split())
+    few = replace(DEFAULTS, trees=3, max_depth=5)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = M.random_forest_forecast(df, few).predictions().collect()
+        found.append(sorted((r.date, r.store_id, r.predicted) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) > 0
+    assert [M.training_partitions(n) for n in (0, 10, 100_001, 10_000_000)] == [1, 1, 2, 100]
+
+
+def test_held_out_values_change_no_prediction(spark):
+    values = [100 + 10 * (i % 7) + i % 13 for i in range(150)]
+    few = replace(DEFAULTS, trees=5, max_depth=5)
+
+    def predicted(make, series):
+        return [r.predicted for r in make(panel(spark, series)).orderBy("ds").collect()]
+
+    for make in (FC.naive_holdout, lambda p: M.seasonal_holdout(p, last_days=30), lambda p: M.regression_holdout(p, last_days=30),
+                 lambda p: M.forest_holdout(p, few)):
+        first, second = predicted(make, values), predicted(make, values[:-30] + [0.0] * 30)
+        assert len(first) == 30 and first == second
+    naive = predicted(FC.naive_holdout, values)
+    assert naive == [values[120 - 7 + h % 7] for h in range(30)]
 
 
 def panel(spark, values, kind="total", name="all"):
