@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # rule. The apostrophe is left out, because it can begin a contraction.
 LETTERS = "[a-zß-öø-ÿ]+"
 SIGNS = r"[!-&(-/:-@\[-`{-~]+"
+FOLDED = "^[!-~À-ÖØ-öø-ÿ]+$"
 SENTENCE_END = r"[.!?][)\"'\]]*$"
 
 
@@ -39,6 +40,16 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
+def places(wanted: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where distinct values stand in `known`, and those missing there, which get the places after it in their order."""
+    found = pc.index_in(wanted, value_set=known)
+    missing = pc.is_null(found)
+    which = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    new = wanted.filter(missing)
+    which[which < 0] = len(known) + np.arange(len(new))
+    return which, new
+
+
 def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes; a longer text is a range of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -79,11 +90,10 @@ class PiecewiseEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.words, self.pieces = (pa.array([], pa.large_string()) for _ in range(2))
         self.pool = np.zeros(0, dtype=self.kind)
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
-        self.word_slot: dict[str, int] = {}
         self.word_pool = np.zeros(0, dtype=self.kind)
         self.word_starts = np.zeros(0, dtype=np.int64)
         self.word_lengths = np.zeros(0, dtype=np.int64)
@@ -105,28 +115,27 @@ class PiecewiseEncoder:
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and pool of the ids of distinct words; each word is taken apart once as long as it is remembered."""
-        names = words.to_pylist()
-        if len(self.word_slot) + len(names) > self.most_pieces:
+        if len(self.words) + len(words) > self.most_pieces:
             self._forget()
-        new = [x for x in names if x not in self.word_slot]
-        if new:
-            starts, lengths, pool = self._take_apart(pa.array(new, pa.large_string()))
+        which, new = places(words, self.words)
+        if len(new):
+            starts, lengths, pool = self._take_apart(new)
             begin = len(self.word_pool)
-            self.word_slot.update(zip(new, range(len(self.word_starts), len(self.word_starts) + len(new))))
+            self.words = pa.concat_arrays([self.words, new])
             self.word_pool = np.concatenate([self.word_pool, pool])
             self.word_starts = np.concatenate([self.word_starts, begin + starts])
             self.word_lengths = np.concatenate([self.word_lengths, lengths])
-        which = np.fromiter((self.word_slot[x] for x in names), dtype=np.int64, count=len(names))
         return self.word_starts[which], self.word_lengths[which], self.word_pool
 
     def _take_apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same of words that are not yet remembered.
 
-        Small letters stand for capitals in words of ASCII only: elsewhere the library composes marks with the
-        letter before them first, and a capital may have no composed form where the small letter has one.
+        Small letters stand for capitals in words of ASCII and composed Latin letters only: elsewhere the library
+        composes marks with the letter before them first, and a capital may have no composed form where the small
+        letter has one.
         """
-        folded = pc.replace_substring_regex(pc.ascii_lower(words), f"^({LETTERS})({SIGNS})$", r"\1 \2")
-        folded = pc.if_else(pc.string_is_ascii(words), folded, words)
+        folded = pc.replace_substring_regex(pc.utf8_lower(words), f"^({LETTERS})({SIGNS})$", r"\1 \2")
+        folded = pc.if_else(pc.match_substring_regex(words, FOLDED), folded, words)
         for token in self.added:  # these are looked for in the unchanged text
             folded = pc.if_else(pc.match_substring(words, token, ignore_case=True), words, folded)
         pieces = pc.split_pattern(folded, " ")
@@ -138,11 +147,13 @@ class PiecewiseEncoder:
         return starts, after[bounds[1:]] - starts, pool
 
     def _slots(self, pieces: pa.Array) -> np.ndarray:
-        names = pieces.to_pylist()
-        new = [x for x in names if x not in self.slot]  # every piece belongs to a word that counts as well
-        if new:
-            self._learn(new)
-        return np.fromiter((self.slot[x] for x in names), dtype=np.int64, count=len(names))
+        which, new = places(pieces, self.pieces)  # every piece belongs to a word that counts as well
+        if len(new):
+            before = len(self.pieces)
+            self._learn(new.to_pylist())
+            learned = pc.index_in(new, value_set=self.pieces[before:]).to_numpy()
+            which[which >= before] = before + learned
+        return which
 
     def _learn(self, pieces: list[str]) -> None:
         """Ask the library for the ids of new pieces.
@@ -171,7 +182,7 @@ class PiecewiseEncoder:
         names += single
         added = np.concatenate(lengths)
         begin = len(self.pool)
-        self.slot.update(zip(names, range(len(self.starts), len(self.starts) + len(names))))
+        self.pieces = pa.concat_arrays([self.pieces, pa.array(names, pa.large_string())])
         self.pool = np.concatenate([self.pool, *parts])
         self.starts = np.concatenate([self.starts, begin + offsets_of(added)[:-1]])
         self.lengths = np.concatenate([self.lengths, added])

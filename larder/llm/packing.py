@@ -11,7 +11,7 @@ cheapest cuts are found by
 For lengths that are padded the minimum of best[i] + p[i] over the last `capacity` ids is kept in a
 monotone queue; for powers of two the one fitting i is looked up.
 
-Each task packs its own range of documents in blocks of `block` ids: the last few sequences of a
+Each task packs its own range of documents in blocks of at least `block` ids, about 4 MB of text: the last few sequences of a
 block are opened again together with the next one. Of sentence ends closer than `closest` ids only one is a
 place to cut, and ends of documents all are: the cuts are the cheapest over these places. Defined cases: a null text is empty and consists
 of the end id; null ids come first; equal ids are separate documents; a document longer than the
@@ -183,7 +183,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id"
             if packer is None:
                 encoder = PiecewiseEncoder(sent.value)
                 packer = Packer(costs, TaskContext.get().partitionId() << 32, encoder.kind)
-            for a, b in slices(batch["text"], 1 << 20):
+            for a, b in slices(batch["text"], 4 << 20):
                 packer.add(batch["doc_id"][a:b].to_pylist(), with_end(encoder.encode(batch["text"][a:b]), end_id))
                 if len(packer.ids) >= costs.block:
                     found = packer.pack(last=False)

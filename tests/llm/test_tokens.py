@@ -43,6 +43,17 @@ def test_piecewise_equals_library(library, texts, kind):
         assert [found.ids[a:b].tolist() for a, b in zip(found.offsets, found.offsets[1:])] == [ids(library, t) for t in part]
 
 
+def test_latin_capitals_marks_and_signs_equal_library(library):
+    pick = random.Random(8)
+    signs = "ÀÉÖØÞÝàéöøþÿß×÷µªaZjJ'.,!-\u0301\u030c\u0331\u0308İŸ"
+    words = ["".join(pick.choice(signs) for _ in range(pick.randint(1, 7))) for _ in range(6000)]
+    texts = [" ".join(words[i : i + 12]) for i in range(0, len(words), 6)]
+    encoder = PiecewiseEncoder(vocabulary_text(PATH))
+    for part in (texts[:300], texts[300:]):
+        found = encoder.encode(pa.array(part))
+        assert [found.ids[a:b].tolist() for a, b in zip(found.offsets, found.offsets[1:])] == [ids(library, t) for t in part]
+
+
 def test_sentence_ends_follow_end_ids():
     found = with_end(PiecewiseEncoder(vocabulary_text(PATH)).encode(pa.array(["One. Two", "", "Three."])), 2)
     assert found.ids[found.offsets[1:] - 1].tolist() == [2, 2, 2] and found.offsets[-1] == len(found.ids)
