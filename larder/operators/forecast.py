@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from larder.functions.nulls import known
@@ -23,26 +23,59 @@ def daily_totals(df: DataFrame) -> DataFrame:
     return known(df, "date").groupBy("date").agg(F.sum("units_sold").alias("units_sold"))
 
 
-def _dense(daily: DataFrame, key: str) -> DataFrame:
-    """Every key on every day that occurs; missing sums are zero.
+def _numbered_days(daily: DataFrame) -> DataFrame:
+    """The days that occur, numbered from 1: one row per calendar day."""
+    order = Window.orderBy("date")  # one row per calendar day
+    return daily.select("date").distinct().withColumn("day_no", F.row_number().over(order))
+
 
-    The list of days is one scalar value, bounded by the calendar; each key is repeated
-    for it, which is the size of the result.
+def with_gaps(daily: DataFrame, key: str, numbered: DataFrame) -> DataFrame:
+    """Run lengths in place of days without sales: one row per key and day with sales.
+
+    n_days counts the days that occur from this one up to the key's next one, n_before those before the
+    key's first one (0 on its other rows). They add up to the number of days for each key.
     """
-    days = daily.agg(F.collect_set("date")).scalar()
-    grid = daily.select(key).distinct().withColumn("_days", days).select(key, F.explode("_days").alias("date"))
-    return grid.join(daily, [key, "date"], "left").na.fill(0, ["units_sold"])
+    by_day = Window.partitionBy(key).orderBy("day_no")  # one row per calendar day
+    last = numbered.agg(F.max("day_no")).scalar()
+    placed = daily.join(numbered, "date")
+    return placed.withColumns({
+        "n_days": F.coalesce(F.lead("day_no").over(by_day), last + 1) - F.col("day_no"),
+        "n_before": F.when(F.lag("day_no").over(by_day).isNull(), F.col("day_no") - 1).otherwise(0),
+    })
+
+
+def daily_gaps(df: DataFrame, key: str) -> DataFrame:
+    """F3, sparse: units by day and key with the lengths of the gaps, as many rows as there are sales days."""
+    daily = _daily(df, key)
+    return with_gaps(daily, key, _numbered_days(daily)).drop("day_no")
+
+
+def fill_gaps(gaps: DataFrame, numbered: DataFrame, key: str) -> DataFrame:
+    """Every key of `with_gaps` rows on every day that occurs; days without sales are zero."""
+    day = F.col("day_no")
+    covered = F.sequence(day - F.col("n_before"), day + F.col("n_days") - 1)
+    rows = gaps.select(key, F.col("day_no").alias("_own"), "units_sold", F.explode(covered).alias("day_no"))
+    units = F.when(F.col("day_no") == F.col("_own"), F.coalesce("units_sold", F.lit(0))).otherwise(0)
+    return rows.join(numbered, "day_no").select(key, "date", units.cast("long").alias("units_sold"))
+
+
+def _daily(df: DataFrame, key: str) -> DataFrame:
+    return known(df, "date", key).groupBy(key, "date").agg(F.sum("units_sold").alias("units_sold"))
+
+
+def _dense(daily: DataFrame, key: str) -> DataFrame:
+    numbered = _numbered_days(daily)
+    return fill_gaps(with_gaps(daily, key, numbered), numbered, key)
 
 
 def daily_by(df: DataFrame, key: str) -> DataFrame:
     """units by day and key, days without sales as zero."""
-    daily = known(df, "date", key).groupBy(key, "date").agg(F.sum("units_sold").alias("units_sold"))
-    return _dense(daily, key)
+    return _dense(_daily(df, key), key)
 
 
 def daily_by_top_product(df: DataFrame, n: int = 5) -> DataFrame:
     """from one daily table per product, which also ranks the products."""
-    daily = known(df, "date", "product_id").groupBy("product_id", "date").agg(F.sum("units_sold").alias("units_sold"))
+    daily = _daily(df, "product_id")
     best = F.broadcast(top_keys(daily, "product_id", n).select("product_id"))  # n rows
     return _dense(daily.join(best, "product_id", "left_semi"), "product_id")
 
@@ -82,24 +115,34 @@ def chrono_split(panel: DataFrame, keys: Sequence[str] = SERIES, params: Params
 def store_day_split(features: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """F5 for a table of store-days: the first part in (date, store) order is for training.
 
-    Rows are counted per day; only the one day that the cut falls into is ranked. The cut
-    is a single (date, store) pair, so the split is a comparison and needs no sort.
+    The features are written once. Rows are counted per day; the day that the cut falls into is dealt into
+    ranges of stores, which are counted, and only the one range with the cut is ranked. The cut is a single
+    (date, store) pair, so the split is a comparison and needs no sort. Its passes run when the function is called.
     """
-    per_day = features.groupBy("date").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cut = F.floor(F.col("total") * F.lit(params.train_fraction))
-    last = (
-        per_day.withColumns({"upto": upto, "total": total})  # one row per calendar day
-        .where((cut > F.col("upto") - F.col("n")) & (cut <= F.col("upto")))
-        .select(F.struct("date", (cut - F.col("upto") + F.col("n")).alias("rank")).alias("cut"))
-    )
-    on_day = features.select("date", "store_id").withColumn("_cut", last.scalar()).where(F.col("date") == F.col("_cut.date"))
-    order = Window.partitionBy("date").orderBy("store_id")
-    final = on_day.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == F.col("_cut.rank"))
-    edge = final.select(F.struct("date", "store_id"))
-    train = F.struct("date", "store_id") <= edge.scalar()
-    return features.withColumn("split", F.when(train, "train").otherwise("test"))
+    rows = durable(features, "store_days")
+    cut = _nth(rows.groupBy("date").agg(F.count("*").alias("n")), "date", params.train_fraction)
+    if cut is None:  # no row is for training
+        return rows.withColumn("split", F.lit("test"))
+    stores = rows.where(F.col("date") == F.lit(cut["date"])).select("store_id").repartitionByRange("store_id")
+    ranged = durable(stores.withColumn("part", F.spark_partition_id()), "store_ranges")
+    upto = F.sum("n").over(Window.orderBy("part"))  # one row per partition
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    part = parts.where(F.col("upto") >= cut["rank"]).orderBy("part").first()
+    place = F.row_number().over(Window.partitionBy("part").orderBy("store_id"))  # one range
+    within = ranged.where(F.col("part") == part["part"]).withColumn("place", place)
+    edge = within.where(F.col("place") == cut["rank"] - part["upto"] + part["n"]).first()["store_id"]
+    train = F.struct("date", "store_id") <= F.struct(F.lit(cut["date"]).alias("date"), F.lit(edge).alias("store_id"))
+    return rows.withColumn("split", F.when(train, "train").otherwise("test"))
+
+
+def _nth(counts: DataFrame, key: str, fraction: float) -> Row | None:
+    """The key (one row each, with its count n) that the given share of all rows ends in, and the rank in it."""
+    upto = F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cut = F.floor(F.col("total") * F.lit(fraction))
+    placed = counts.withColumns({"upto": upto, "total": total})  # one row per calendar day
+    found = placed.where((cut > F.col("upto") - F.col("n")) & (cut <= F.col("upto")))
+    return found.select(key, (cut - F.col("upto") + F.col("n")).alias("rank")).first()
 
 
 def seasonal_difference(panel: DataFrame, keys: Sequence[str] = SERIES, season: int = 7) -> DataFrame:

@@ -563,6 +563,11 @@ ORACLE: dict[str, str] = {
     "f1_daily_totals": sql("", "SELECT date, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f GROUP BY date"),
     "f2_daily_by_category": sql("", dense("category")),
     "f3_daily_by_store": sql("", dense("store_id")),
+    "f3_daily_gaps": sql("", """SELECT date, store_id, units_sold,
+        CAST(coalesce(lead(day_no) OVER w, (SELECT max(day_no) FROM days) + 1) - day_no AS INTEGER) AS n_days,
+        CAST(CASE WHEN lag(day_no) OVER w IS NULL THEN day_no - 1 ELSE 0 END AS INTEGER) AS n_before
+        FROM daily JOIN days USING (date) WINDOW w AS (PARTITION BY store_id ORDER BY day_no)""", f"""{DAILY_STORE},
+        days AS (SELECT date, row_number() OVER (ORDER BY date) AS day_no FROM (SELECT DISTINCT date FROM daily) AS d)"""),
     "f4_daily_by_top_product": sql("", dense("product_id", "top_rows"), top_rows("product_id", 5)),
     "f5_chrono_split": sql("y", "SELECT kind, series_id, ds, y, split FROM split", PANEL),
     "f5_store_day_split": sql("", split_rows("daily"), DAILY_STORE),

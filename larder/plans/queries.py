@@ -424,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "f1_daily_totals": _over("date units_sold", FC.daily_totals),
     "f2_daily_by_category": _over("date category units_sold", lambda df: FC.daily_by(df, "category")),
     "f3_daily_by_store": _over("date store_id units_sold", lambda df: FC.daily_by(df, "store_id")),
+    "f3_daily_gaps": _over("date store_id units_sold", lambda df: FC.daily_gaps(df, "store_id")),
     "f4_daily_by_top_product": _over("date product_id units_sold", FC.daily_by_top_product),
     "f5_chrono_split": _over(PANEL, lambda df: FC.chrono_split(FC.series_panel(df))),
     "f5_store_day_split": _over("date store_id units_sold", lambda df: FC.store_day_split(

@@ -211,6 +211,34 @@ def test_dense_days(fact):
     assert got == {("A", day(0)): 5, ("A", day(2)): 0, ("B", day(0)): 0, ("B", day(2)): 5}
 
 
+def test_gaps_stand_for_days_without_sales(fact):
+    df = fact([dict(date=day(i), store_id=s, units_sold=i) for s, i in [("a", 2), ("a", 5), ("b", 0), ("b", 9), ("c", 3)]]
+              + [dict(date=None, store_id="a"), dict(date=day(2), store_id=None)])
+    got = {(r["store_id"], r["date"]): (r["units_sold"], r["n_days"], r["n_before"]) for r in FC.daily_gaps(df, "store_id").collect()}
+    days = sorted({d for _, d in got})
+    assert [got["a", days[k]] for k in (1, 3)] == [(2, 2, 1), (5, 2, 0)]
+    assert [got["b", days[k]] for k in (0, 4)] == [(0, 4, 0), (9, 1, 0)] and got["c", days[2]] == (3, 3, 2) and len(got) == 5
+    filled = FC.daily_by(df, "store_id").collect()
+    assert len(filled) == len({(r["store_id"], r["date"]) for r in filled}) == 15
+    assert {(r["store_id"], r["date"]): r["units_sold"] for r in filled if r["units_sold"]} == {k: v[0] for k, v in got.items() if v[0]}
+    assert FC.daily_by(df.limit(0), "store_id").count() == FC.daily_gaps(df.limit(0), "store_id").count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_split_of_one_day_with_many_stores(spark, fact, partitions):
+    rows = fact([dict(date=day(1), store_id=f"S{k}", units_sold=k) for k in range(60)] + [dict(date=day(0), store_id="S1")])
+    rows = rows.select("date", "store_id", "units_sold")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        split = FC.store_day_split(rows).orderBy("date", "store_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r["split"] for r in split] == ["train"] * int(61 * 0.8) + ["test"] * (61 - int(61 * 0.8))
+    assert [r["split"] for r in FC.store_day_split(rows.limit(1)).collect()] == ["test"]
+    assert FC.store_day_split(rows.limit(0)).count() == 0
+
+
 def test_store_day_split_is_the_first_part(fact):
     df = fact([dict(date=day(i // 3), store_id=f"S{i % 3}") for i in range(11)]).select("date", "store_id")
     split = FC.store_day_split(df).orderBy("date", "store_id").collect()
