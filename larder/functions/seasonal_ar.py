@@ -92,26 +92,3 @@ def forecast_seasonal_ar(y: np.ndarray, steps: int, season: int = 7) -> tuple[np
         psi[h] = weights[:k] @ psi[h - k: h][::-1] + (c if h == 1 else 0.0)
     spread = Z95 * np.std(errors[1:]) * np.sqrt(np.cumsum(psi**2))
     return path[len(y):], spread
-
-
-def _calendar_terms(days: np.ndarray, origin: int, span: int) -> np.ndarray:
-    """Trend, weekday and yearly terms of days counted from 1970-01-01."""
-    angle = 2 * np.pi * days / 365.25
-    weekday = (days + 3) % 7
-    columns = [np.ones(len(days)), (days - origin) / max(span, 1)]
-    columns += [(weekday == k).astype(float) for k in range(1, 7)]
-    for k in range(1, 6):
-        columns += [np.sin(k * angle), np.cos(k * angle)]
-    return np.column_stack(columns)
-
-
-def forecast_regression(days: np.ndarray, y: np.ndarray, future: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplicative trend and seasons: least squares on ln(y + 1), with 95 % bounds as factors."""
-    if len(y) < MIN_ROWS:
-        raise ValueError(f"only {len(y)} days")
-    origin, span = int(days[0]), int(days[-1] - days[0])
-    known = _calendar_terms(days, origin, span)
-    target = np.log(y + 1)
-    weights = _solve(known, target)
-    deviation = np.std(target - known @ weights)
-    return _calendar_terms(future, origin, span) @ weights, np.full(len(future), Z95 * deviation)

@@ -1,7 +1,7 @@
 """Fitted forecasts.
 
-Per-series fits run as grouped tasks over daily sums: a group holds at most one row per
-calendar day, however large the fact is. The forest is trained by MLlib.
+The seasonal fit runs as grouped tasks over daily sums: a group holds at most one row per calendar
+day, however large the fact is. The regression needs sums of products only. The forest is trained by MLlib.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions import seasonal_ar
-from larder.functions.seasonal_ar import forecast_regression, forecast_seasonal_ar
+from larder.functions import regression, seasonal_ar
+from larder.functions.seasonal_ar import MIN_ROWS, forecast_seasonal_ar
 from larder.operators.filters import drop_incomplete
 from larder.operators.forecast import (
     LAGS, SERIES, WINDOWS, lag_features, rolling_features, store_day_features, store_day_split,
@@ -46,11 +46,6 @@ def _seasonal(season: int) -> Fit:
     return fit
 
 
-def _regression(days, y, future):
-    level, spread = forecast_regression(days, y, future)
-    return tuple(np.exp(level + sign * spread) - 1 for sign in (0, -1, 1))
-
-
 def _forecast(panel: DataFrame, fit: Fit, horizon: int, holdout: Callable[[int], int] | None) -> DataFrame:
     """Forecast each series; with a holdout, its last rows are predicted instead of the future."""
 
@@ -98,15 +93,39 @@ def regression_series(panel: DataFrame) -> DataFrame:
     return panel.where(F.col("kind").isin("total", "category"))
 
 
+def regression_weights(train: DataFrame) -> DataFrame:
+    """per series n days and the weights of its terms, by least squares on ln(y + 1)."""
+    return regression.with_weights(regression.sums_of_products(train, SERIES))
+
+
+def _regressed(days: DataFrame, weights: DataFrame) -> DataFrame:
+    """The named days (kind, series_id, ds, y) with their predictions; a series with few days becomes one row with an error."""
+    few = F.col("n") < MIN_ROWS
+    columns = regression.predictions(F.col("ds"), F.col("weights"))
+    scored = days.join(weights.where(~few), [*SERIES]).withColumns({**columns, "error": F.lit(None).cast("string")})
+    none = {c: F.lit(None).cast(t) for c, t in (("ds", "date"), ("y", "double"), ("predicted", "double"),
+                                                ("lower", "double"), ("upper", "double"))}
+    problem = F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" days"))
+    failed = weights.where(few).withColumns({**none, "error": problem})
+    names = [*SERIES, "ds", "y", "predicted", "lower", "upper", "error"]
+    return scored.select(names).unionByName(failed.select(names))
+
+
 def regression_forecast(panel: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """the next days from trend, weekday and yearly terms."""
-    return _forecast(panel, _regression, params.forecast_horizon_days, None).drop("y")
+    """the next days from trend, weekday and yearly terms. A series without any y above -1 has no row."""
+    last = panel.groupBy(*SERIES).agg(F.max("ds").alias("last"))
+    ahead = F.sequence(F.date_add("last", 1), F.date_add("last", params.forecast_horizon_days))
+    future = last.select(*SERIES, F.explode(ahead).alias("ds"), F.lit(None).cast("double").alias("y"))
+    return _regressed(future, regression_weights(panel)).drop("y")
 
 
 def regression_holdout(panel: DataFrame, params: Params = DEFAULTS, last_days: int | None = None) -> DataFrame:
     """predictions for the last part of each series, fitted on the first."""
-    held = (lambda n: last_days) if last_days else _last_part(params)
-    return _forecast(panel, _regression, 0, held)
+    place = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ds"))  # one row per calendar day
+    size = F.count("*").over(Window.partitionBy(*SERIES))
+    trained = size - last_days if last_days else F.floor(size * F.lit(params.train_fraction))
+    rows = panel.select(*SERIES, "ds", "y", (place <= trained).alias("known"))
+    return _regressed(rows.where(~F.col("known")).drop("known"), regression_weights(rows.where("known")))
 
 
 @dataclass(frozen=True)

@@ -338,6 +338,17 @@ def scores(keys: str, where: str) -> str:
 
 SCORES = scores("kind, series_id", "split = 'test'")
 
+# A constant, decades since 2000, the days from Tuesday to Sunday, five yearly waves, and the logarithm.
+DAY_NUMBER = "date_diff('day', DATE '1970-01-01', ds)"
+MEASURES = ["1.0::DOUBLE", f"({DAY_NUMBER} - 10957) / 3652.5::DOUBLE"]
+MEASURES += [f"CAST(isodow(ds) = {k} AS INTEGER)::DOUBLE" for k in range(2, 8)]
+MEASURES += [f"{wave}({k} * {DAY_NUMBER} * 2 * pi() / 365.25::DOUBLE)" for k in range(1, 6) for wave in ("sin", "cos")]
+MEASURES += ["ln(y + 1)"]
+NORMAL_SUMS = f"""SELECT kind, series_id, CAST(row_number() OVER (PARTITION BY kind, series_id ORDER BY i, j) - 1 AS INTEGER) AS pair, total
+    FROM (SELECT kind, series_id, i, j, sum(m[i] * m[j]) AS total
+          FROM (SELECT kind, series_id, [{", ".join(MEASURES)}] AS m FROM panel WHERE kind IN ('total', 'category')) AS a,
+               range(1, {len(MEASURES) + 1}) AS r(i), range(1, {len(MEASURES) + 1}) AS s(j)
+          WHERE i <= j GROUP BY kind, series_id, i, j) AS b"""
 DAILY_STORE = "daily AS (SELECT date, store_id, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f GROUP BY date, store_id)"
 LAGS = ", ".join(f"CAST(lag(units_sold, {k}) OVER (PARTITION BY store_id ORDER BY date) AS DOUBLE) AS lag_{k}" for k in (1, 7, 14, 28))
 
@@ -580,6 +591,7 @@ ORACLE: dict[str, str] = {
     "f11_rolling_features": sql("rolling_7 rolling_14 rolling_28", f"SELECT *, {rolling(1)} FROM daily", DAILY_STORE),
     "f11_rolling_features_same_day": sql("rolling_7 rolling_14 rolling_28", f"SELECT *, {rolling(0)} FROM daily", DAILY_STORE),
     "f12_standardise": sql(" ".join(SCALED), STANDARDISED, f"{STORE_DAY}, marked AS ({split_rows('store_day')})"),
+    "f17_normal_sums": sql("total", NORMAL_SUMS, PANEL),
     "f16_history_tail": sql("", "SELECT date, CAST(sum(units_sold) AS BIGINT) AS units_sold FROM f GROUP BY date ORDER BY date DESC LIMIT 90"),
     "f19_naive_leaderboard": sql("mae rmse r2 mape", f"SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY rmse, series_id) AS INTEGER) AS rank FROM ({SCORES}) AS s", PANEL),
     "f20_seasonal_naive": sql("y predicted", "SELECT kind, series_id, ds, y, predicted FROM split", PANEL),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions import columns as C
+from larder.functions import regression
 from larder.operators import dashboard as D
 from larder.operators import filters as P
 from larder.operators import forecast as FC
@@ -167,6 +168,12 @@ def _comparison(spark: SparkSession, folder: str, days: int = 30) -> DataFrame:
     return FC.model_comparison(reduce(DataFrame.unionByName, named))
 
 
+def _normal_sums(df: DataFrame) -> DataFrame:
+    """All sums of products that the regression of F17 is solved from, one row each."""
+    sums = regression.sums_of_products(M.regression_series(FC.series_panel(df)), FC.SERIES)
+    return sums.select(*FC.SERIES, F.posexplode("sums").alias("pair", "total"))
+
+
 def _naive_scores(df: DataFrame) -> DataFrame:
     panel = FC.chrono_split(FC.seasonal_naive(FC.series_panel(df)))
     return panel.where(F.col("split") == "test")
@@ -444,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "f16_history_tail": _over("date units_sold", lambda df: FC.history_tail(FC.daily_totals(df))),
     "f17_regression_forecast": _over(
         PANEL, lambda df: M.regression_forecast(M.regression_series(FC.series_panel(df)))),
+    "f17_normal_sums": _over(PANEL, _normal_sums),
     "f18_model_comparison": _comparison,
     "f18_naive_from_cut": _naive_from_cut,
     "f19_forecast_leaderboard": _over(

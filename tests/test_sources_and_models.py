@@ -3,10 +3,12 @@ import subprocess
 import sys
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from larder.functions import regression
 from larder.operators import forecast as FC
 from larder.operators import models as M
 from larder.operators.filters import Slice, filter_slice, latest_day
@@ -138,6 +140,34 @@ def test_weekly_pattern_is_continued(spark):
     assert [r["predicted"] for r in exact] == pytest.approx([100 + 10 * (i % 7) + i for i in range(200, 230)], rel=1e-3)
 
 
+def test_regression_equals_least_squares(spark):
+    def plain(i):  # factors, as the model has them
+        return math.exp(5 + 0.1 * (i % 7) + 0.0003 * i) - 1
+
+    values = [plain(i) * (1 + 0.02 * (i * 7919 % 13 - 6) / 6) for i in range(800)]
+    both = panel(spark, values).unionByName(panel(spark, values[:400], "category", "A")).unionByName(
+        panel(spark, [-1.0, -5.0], "category", "none"))
+    table = both.where("kind = 'total'").orderBy("ds").select("y", *[
+        t.cast("double").alias(f"t{i}") for i, t in enumerate(regression.terms(F.col("ds")))]).collect()
+    x, y = np.array([r[1:] for r in table]), np.log(np.array([r[0] for r in table]) + 1)
+    weights, *_ = np.linalg.lstsq(x, y, rcond=None)
+    found = {r["kind"]: r for r in M.regression_weights(both).collect()}
+    assert found["total"]["n"] == 800 and found["category"]["n"] == 400 and len(found) == 2
+    assert x @ np.array(found["total"]["weights"][:-1]) == pytest.approx(x @ weights, abs=1e-5)
+    assert found["total"]["weights"][-1] == pytest.approx(np.std(y - x @ weights), rel=1e-3)
+    ahead = M.regression_forecast(both).where("kind = 'total'").orderBy("ds").collect()
+    assert [r["predicted"] for r in ahead] == pytest.approx([plain(i) for i in range(800, 830)], rel=0.02)
+    assert all(r["lower"] <= r["predicted"] <= r["upper"] for r in ahead)
+    assert M.regression_forecast(both.limit(0)).count() == M.regression_holdout(both.limit(0)).count() == 0
+
+
+def test_sums_of_products_add_up(spark):
+    days = panel(spark, range(90))
+    whole, *parts = (np.array(regression.sums_of_products(rows, FC.SERIES).first()["sums"]) for rows in (
+        days, days.where("y < 31"), days.where("y >= 31")))
+    assert whole == pytest.approx(sum(parts)) and len(whole) == len(regression.pairs()) and whole[0] == 90
+
+
 def test_short_and_constant_series(spark):
     both = panel(spark, range(10), "product", "short").unionByName(panel(spark, [5.0] * 100, "product", "flat"))
     rows = M.seasonal_forecast(both).collect()
@@ -169,7 +199,7 @@ def test_forest(spark, folder):
 
 def test_fits_travel_without_the_package():
     """The workers may not have this package, so nothing sent to them may refer to it."""
-    for sent in (M._seasonal(7), M._regression, M._last_part(DEFAULTS)):
+    for sent in (M._seasonal(7), regression.solve, M._last_part(DEFAULTS)):
         code = "import pickle, sys; pickle.load(sys.stdin.buffer); print([m for m in sys.modules if m.startswith('larder')])"
         done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(sent), capture_output=True, cwd="/")
         assert done.stdout.decode().strip() == "[]", done.stderr.decode()
