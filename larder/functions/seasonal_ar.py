@@ -1,94 +1,181 @@
-"""Small per-series fits on daily sums, run inside grouped tasks (numpy only).
+"""Seasonal autoregressions with moving averages, fitted per series inside grouped tasks (numpy only).
 
-Both functions see one series of at most one row per calendar day.
+(1 - a(L)) (1 - A(L^s)) (1 - L)^d (1 - L^s)^D y = (1 + c(L)) (1 + C(L^s)) e, by conditional least squares. The
+functions see one series of at most one row per calendar day.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 
 Z95 = 1.959964
-MIN_ROWS = 30
-BOUND = 0.999
-MAX_STEPS = 25
+BOUND = 0.999  # largest inverse root of a factor
+SMALL_GAIN = 1e-8  # share of the sum of squares
 
 
-def _lagged(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
-    return np.column_stack([x[start - k: len(x) - k] for k in lags])
+@dataclass(frozen=True)
+class Orders:
+    """(p, d, q) (P, D, Q, s). Own and seasonal lags must not meet, so p and q stay below s."""
 
+    order: tuple[int, int, int] = (1, 1, 1)
+    seasonal_order: tuple[int, int, int, int] = (1, 1, 0, 7)
 
-def _solve(a: np.ndarray, b: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
-    return np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
+    def __post_init__(self):
+        if len(self.order) != 3 or len(self.seasonal_order) != 4:
+            raise ValueError("order needs 3 numbers, seasonal_order 4")
+        if any(not isinstance(k, int) or isinstance(k, bool) or k < 0 for k in (*self.order, *self.seasonal_order)):
+            raise ValueError(f"orders must be whole numbers from 0: {self.order} {self.seasonal_order}")
+        *seasonal, season = self.seasonal_order
+        if any(seasonal) and (season < 2 or season <= max(self.order[0], self.order[2])):
+            raise ValueError(f"season {season} must be above 1, p and q")
+
+    @property
+    def season(self) -> int:
+        """0 without a seasonal part."""
+        return self.seasonal_order[3] if any(self.seasonal_order[:3]) else 0
+
+    def factors(self) -> list[tuple[int, int, int]]:
+        """Per factor its number of coefficients, the lag between them and the sign before them."""
+        (p, _, q), (sp, _, sq, _) = self.order, self.seasonal_order
+        return [(p, 1, -1), (sp, self.season, -1), (q, 1, 1), (sq, self.season, 1)]
+
+    def differences(self) -> np.ndarray:
+        step = np.array([1.0, -1.0])
+        return _product([step] * self.order[1] + [_spread(step, self.season or 1)] * self.seasonal_order[1])
 
 
-def _polynomial(a: float, b: float, season: int) -> np.ndarray:
-    return np.convolve([1.0, -a], np.r_[1.0, np.zeros(season - 1), -b])
+@dataclass(frozen=True)
+class Fit:
+    levels: np.ndarray  # polynomial of y, differences included
+    shocks: np.ndarray  # polynomial of the errors
+    errors: np.ndarray
+    converged: bool
 
 
-def _errors(z: np.ndarray, a: float, b: float, c: float, season: int) -> np.ndarray:
-    """One-step errors of (1 - aL)(1 - bL^s) z = (1 + cL) e, starting from zero."""
-    level = _polynomial(a, b, season)
-    filtered = np.convolve(z, level)[len(level) - 1: len(z)]
-    errors = np.zeros(len(filtered))
-    last = 0.0
-    for t, value in enumerate(filtered):
-        last = errors[t] = value - c * last
-    return errors
+def _product(polynomials: Sequence[np.ndarray]) -> np.ndarray:
+    return reduce(np.convolve, polynomials, np.ones(1))
 
 
-def _start(z: np.ndarray, season: int) -> np.ndarray:
-    """Two-stage regression: a long autoregression gives errors, whose lag joins the lags of z."""
-    past = 2 * season
-    own = _lagged(z, list(range(1, past + 1)), past)
-    shocks = np.r_[np.zeros(past), z[past:] - own @ _solve(own, z[past:])]
-    start = past + season + 1
-    terms = np.column_stack([_lagged(z, [1, season, season + 1], start), shocks[start - 1: -1]])
-    return _solve(terms, z[start:])[[0, 1, 3]]
+def _spread(polynomial: np.ndarray, lag: int) -> np.ndarray:
+    """The polynomial of L**lag."""
+    out = np.zeros((len(polynomial) - 1) * lag + 1)
+    out[::lag or 1] = polynomial
+    return out
 
 
-def fit_seasonal_ar(y: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Conditional least squares for (1 - aL)(1 - bL^s)(1 - L)(1 - L^s) y = (1 + cL) e.
+def _solve(a: np.ndarray, b: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
+    return np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
+
 
-    Returns the autoregressive polynomial of y, the errors and c.
+def _polynomials(point: np.ndarray, orders: Orders) -> tuple[np.ndarray, np.ndarray]:
+    """Of z and of the errors, from the coefficients of all factors."""
+    made, at = [], 0
+    for count, lag, sign in orders.factors():
+        made.append(_spread(np.r_[1.0, sign * point[at: at + count]], lag))
+        at += count
+    return np.convolve(*made[:2]), np.convolve(*made[2:])
+
+
+def _inside(point: np.ndarray, orders: Orders) -> np.ndarray:
+    """Each factor with its inverse roots drawn inside the bound; a single coefficient is clipped."""
+    point, at = point.copy(), 0
+    for count, _, sign in orders.factors():
+        part = point[at: at + count]
+        radius = max(np.abs(np.roots(np.r_[1.0, sign * part])), default=0.0)
+        if radius > BOUND:
+            point[at: at + count] = part * (BOUND / radius) ** np.arange(1, count + 1)
+        at += count
+    return point
+
+
+def one_step_errors(z: np.ndarray, levels: np.ndarray, shocks: np.ndarray) -> np.ndarray:
+    """The errors e of levels(L) z = shocks(L) e from the first z with all its lags; errors before are zero."""
+    filtered = np.convolve(z, levels)[len(levels) - 1: len(z)]
+    lags = np.flatnonzero(shocks)[1:].tolist()
+    weights, longest = shocks[lags].tolist(), len(shocks) - 1
+    errors = [0.0] * longest
+    for t, value in enumerate(filtered.tolist(), longest):
+        for lag, weight in zip(lags, weights):
+            value -= weight * errors[t - lag]
+        errors.append(value)
+    return np.array(errors[longest:])
+
+
+def _start(z: np.ndarray, orders: Orders, past: int) -> np.ndarray:
+    """Two-stage regression: a long autoregression gives errors, whose lags join the lags of z."""
+    def lagged(x, lags, start):
+        return np.column_stack([x[start - k: len(x) - k] for k in lags])
+
+    levels, shocks = (np.flatnonzero(p)[1:].tolist() for p in _polynomials(np.full(_size(orders), 0.1), orders))
+    own = lagged(z, range(1, past + 1), past)
+    noise = np.r_[np.zeros(past), z[past:] - own @ _solve(own, z[past:])]
+    start = past + max(levels + shocks)
+    columns = [lagged(x, lags, start) for x, lags in ((z, levels), (noise, shocks)) if lags]
+    found = _solve(np.hstack(columns), z[start:])
+    of_level, of_shock = dict(zip(levels, found)), dict(zip(shocks, found[len(levels):]))
+    return np.array([(of_level if sign < 0 else of_shock)[k * lag]
+                     for count, lag, sign in orders.factors() for k in range(1, count + 1)])
+
+
+def _size(orders: Orders) -> int:
+    return sum(count for count, _, _ in orders.factors())
+
+
+def fit_seasonal_ar(y: np.ndarray, orders: Orders, min_rows: int, max_steps: int) -> Fit:
+    """Damped Gauss-Newton steps. Converged: the last step, or the best one left, gains less than SMALL_GAIN.
+
+    ValueError if fewer than `min_rows` differences remain beside the lags of the start.
     """
-    differences = np.convolve([1.0, -1.0], np.r_[1.0, np.zeros(season - 1), -1.0])
-    z = np.convolve(y, differences)[season + 1: len(y)]
-    if len(z) < MIN_ROWS + 2 * season:
+    differences = orders.differences()
+    z = np.convolve(y, differences)[len(differences) - 1: len(y)]
+    past = 2 * max(orders.season, orders.order[0] + orders.order[2])
+    longest = max(len(p) - 1 for p in _polynomials(np.zeros(_size(orders)), orders))
+    if len(z) < min_rows + max(past, longest) or len(z) - past - longest <= _size(orders):
         raise ValueError(f"only {len(y)} days")
-    point = np.clip(_start(z, season), -BOUND, BOUND)
-    errors = _errors(z, *point, season)
-    for _ in range(MAX_STEPS):
-        slopes = np.column_stack([
-            (_errors(z, *(point + shift), season) - errors) / 1e-5 for shift in 1e-5 * np.eye(3)
-        ])
-        step = -_solve(slopes, errors)
+
+    def errors_at(point):
+        return one_step_errors(z, *_polynomials(point, orders))
+
+    point = _inside(_start(z, orders, past), orders) if _size(orders) else np.zeros(0)
+    errors, converged = errors_at(point), not _size(orders)
+    for _ in range(max_steps if len(point) else 0):
+        slopes = np.column_stack([(errors_at(point + shift) - errors) / 1e-5 for shift in 1e-5 * np.eye(len(point))])
+        step, before = -_solve(slopes, errors), errors @ errors
         for share in (1.0, 0.5, 0.25, 0.125):
-            nearby = np.clip(point + share * step, -BOUND, BOUND)
-            tried = _errors(z, *nearby, season)
-            if tried @ tried < errors @ errors:
+            nearby = _inside(point + share * step, orders)
+            tried = errors_at(nearby)
+            if tried @ tried < before:
                 break
         else:
+            hoped = errors + slopes @ step
+            converged = bool(before - hoped @ hoped <= SMALL_GAIN * before)
             break
-        gain = 1 - (tried @ tried) / (errors @ errors)
         point, errors = nearby, tried
-        if gain < 1e-8:
+        if before - errors @ errors < SMALL_GAIN * before:
+            converged = True
             break
-    a, b, c = point
-    return np.convolve(_polynomial(a, b, season), differences), errors, c
+    levels, shocks = _polynomials(point, orders)
+    return Fit(np.convolve(levels, differences), shocks, errors, converged)
 
 
-def forecast_seasonal_ar(y: np.ndarray, steps: int, season: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def forecast(y: np.ndarray, fit: Fit, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Means and half-widths of the 95 % bounds for the next steps."""
-    polynomial, errors, c = fit_seasonal_ar(y, season)
-    weights = -polynomial[1:]
+    weights, shocks = -fit.levels[1:], np.r_[fit.shocks, np.zeros(steps)]
     path = np.r_[y, np.zeros(steps)]
+    known = np.r_[np.zeros(len(fit.shocks)), fit.errors]
     for h in range(steps):
         t = len(y) + h
-        path[t] = weights @ path[t - 1: t - 1 - len(weights): -1] + (c * errors[-1] if h == 0 else 0.0)
+        past = path[t - len(weights): t][::-1]
+        # The errors of the days known, from the newest on: lags h + 1 and above.
+        left = fit.shocks[h + 1:]
+        path[t] = weights @ past + left @ known[len(known) - len(left):][::-1]
     psi = np.zeros(steps)
-    psi[0] = 1.0
-    for h in range(1, steps):
+    for h in range(steps):
         k = min(h, len(weights))
-        psi[h] = weights[:k] @ psi[h - k: h][::-1] + (c if h == 1 else 0.0)
-    spread = Z95 * np.std(errors[1:]) * np.sqrt(np.cumsum(psi**2))
+        psi[h] = shocks[h] + weights[:k] @ psi[h - k: h][::-1]
+    spread = Z95 * np.std(fit.errors[len(fit.shocks) - 1:]) * np.sqrt(np.cumsum(psi**2))
     return path[len(y):], spread

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import regression, seasonal_ar
-from larder.functions.seasonal_ar import MIN_ROWS, forecast_seasonal_ar
+from larder.functions.seasonal_ar import Orders, fit_seasonal_ar
 from larder.operators.filters import drop_incomplete
 from larder.operators.forecast import (
     LAGS, SERIES, WINDOWS, lag_features, rolling_features, store_day_features, store_day_split,
@@ -34,15 +34,20 @@ cloudpickle.register_pickle_by_value(seasonal_ar)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORECAST_SCHEMA = (
-    "kind string, series_id string, ds date, y double, predicted double, lower double, upper double, error string"
+    "kind string, series_id string, ds date, y double, predicted double, lower double, upper double, error string, "
+    "converged boolean"
 )
-Fit = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Fit = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, bool]]
 
 
-def _seasonal(season: int) -> Fit:
+def _seasonal(params: Params) -> Fit:
+    orders = Orders(tuple(params.order), tuple(params.seasonal_order))  # raises here, before any job, if unsupported
+    min_rows, max_steps = params.min_fit_days, params.max_fit_steps
+
     def fit(days, y, future):
-        mean, spread = forecast_seasonal_ar(y, len(future), season)
-        return mean, mean - spread, mean + spread
+        found = fit_seasonal_ar(y, orders, min_rows, max_steps)
+        mean, spread = seasonal_ar.forecast(y, found, len(future))
+        return mean, mean - spread, mean + spread, found.converged
     return fit
 
 
@@ -61,12 +66,14 @@ def _forecast(panel: DataFrame, fit: Fit, horizon: int, holdout: Callable[[int],
                 days, y = days[:train], y[:train]
             else:
                 future, actual = days[-1] + 1 + np.arange(horizon), np.full(horizon, np.nan)
-            mean, lower, upper = fit(days, y, future)
+            mean, lower, upper, converged = fit(days, y, future)
         except (ValueError, IndexError, np.linalg.LinAlgError) as problem:
-            failed = dict(base, ds=None, y=None, predicted=None, lower=None, upper=None, error=str(problem))
+            failed = dict(base, ds=None, y=None, predicted=None, lower=None, upper=None, error=str(problem),
+                          converged=None)
             return pd.DataFrame([failed])
         dates = pd.Series(future.astype("datetime64[D]")).dt.date
-        return pd.DataFrame(dict(base, ds=dates, y=actual, predicted=mean, lower=lower, upper=upper, error=None))
+        return pd.DataFrame(dict(base, ds=dates, y=actual, predicted=mean, lower=lower, upper=upper, error=None,
+                                 converged=converged))
 
     result = panel.groupBy(*SERIES).applyInPandas(one_series, FORECAST_SCHEMA)
     return result.withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
@@ -78,14 +85,18 @@ def _last_part(params: Params) -> Callable[[int], int]:
 
 
 def seasonal_forecast(panel: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """the next days of each series with 95 % bounds, fitted on all of it."""
-    return _forecast(panel, _seasonal(params.season_length), params.forecast_horizon_days, None).drop("y")
+    """the next days of each series with 95 % bounds, fitted on all of it, by the orders of `params`.
+
+    A series too short for them, or that the fit fails for, becomes one row with an error; `converged` tells of the others
+    whether the fit came to rest within `max_fit_steps`.
+    """
+    return _forecast(panel, _seasonal(params), params.forecast_horizon_days, None).drop("y")
 
 
 def seasonal_holdout(panel: DataFrame, params: Params = DEFAULTS, last_days: int | None = None) -> DataFrame:
     """predictions for the last part of each series, fitted on the first."""
     held = (lambda n: last_days) if last_days else _last_part(params)
-    return _forecast(panel, _seasonal(params.season_length), 0, held)
+    return _forecast(panel, _seasonal(params), 0, held)
 
 
 def regression_series(panel: DataFrame) -> DataFrame:
@@ -98,9 +109,9 @@ def regression_weights(train: DataFrame) -> DataFrame:
     return regression.with_weights(regression.sums_of_products(train, SERIES))
 
 
-def _regressed(days: DataFrame, weights: DataFrame) -> DataFrame:
+def _regressed(days: DataFrame, weights: DataFrame, params: Params) -> DataFrame:
     """The named days (kind, series_id, ds, y) with their predictions; a series with few days becomes one row with an error."""
-    few = F.col("n") < MIN_ROWS
+    few = F.col("n") < params.min_fit_days
     columns = regression.predictions(F.col("ds"), F.col("weights"))
     scored = days.join(weights.where(~few), [*SERIES]).withColumns({**columns, "error": F.lit(None).cast("string")})
     none = {c: F.lit(None).cast(t) for c, t in (("ds", "date"), ("y", "double"), ("predicted", "double"),
@@ -116,7 +127,7 @@ def regression_forecast(panel: DataFrame, params: Params = DEFAULTS) -> DataFram
     last = panel.groupBy(*SERIES).agg(F.max("ds").alias("last"))
     ahead = F.sequence(F.date_add("last", 1), F.date_add("last", params.forecast_horizon_days))
     future = last.select(*SERIES, F.explode(ahead).alias("ds"), F.lit(None).cast("double").alias("y"))
-    return _regressed(future, regression_weights(panel)).drop("y")
+    return _regressed(future, regression_weights(panel), params).drop("y")
 
 
 def regression_holdout(panel: DataFrame, params: Params = DEFAULTS, last_days: int | None = None) -> DataFrame:
@@ -125,7 +136,7 @@ def regression_holdout(panel: DataFrame, params: Params = DEFAULTS, last_days: i
     size = F.count("*").over(Window.partitionBy(*SERIES))
     trained = size - last_days if last_days else F.floor(size * F.lit(params.train_fraction))
     rows = panel.select(*SERIES, "ds", "y", (place <= trained).alias("known"))
-    return _regressed(rows.where(~F.col("known")).drop("known"), regression_weights(rows.where("known")))
+    return _regressed(rows.where(~F.col("known")).drop("known"), regression_weights(rows.where("known")), params)
 
 
 @dataclass(frozen=True)

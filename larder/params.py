@@ -13,6 +13,10 @@ class Params:
     optimal_inventory_factor: float = 1.5
     forecast_horizon_days: int = 30
     season_length: int = 7
+    order: tuple[int, ...] = (1, 1, 1)
+    seasonal_order: tuple[int, ...] = (1, 1, 0, 7)
+    min_fit_days: int = 30
+    max_fit_steps: int = 50
     trees: int = 100
     max_depth: int = 15
     min_samples_split: int = 5
@@ -33,6 +37,8 @@ class Params:
             "train_fraction": ("data", "train_test_split"),
             "optimal_inventory_factor": ("eda", "supply_analysis", "optimal_inventory_factor"),
             "forecast_horizon_days": ("forecasting", "forecast_horizon_days"),
+            "order": ("forecasting", "sarima_params", "order"),
+            "seasonal_order": ("forecasting", "sarima_params", "seasonal_order"),
             "trees": ("forecasting", "ml_model", "n_estimators"),
             "max_depth": ("forecasting", "ml_model", "max_depth"),
             "min_samples_split": ("forecasting", "ml_model", "min_samples_split"),

@@ -399,6 +399,28 @@ def labelled(name: str, body: str, value: str, *keys: str) -> str:
     return f"SELECT '{name}' AS table_name, {label} AS label, {value} AS value FROM ({body}) AS t"
 
 
+# Without coefficients the series grows by its last difference of a week; error j days ahead weighs 1 + j // 7.
+SEASONAL_WALK = """
+  WITH days AS (
+    SELECT *, y - lag(y, 1) OVER w - lag(y, 7) OVER w + lag(y, 8) OVER w AS z, y - lag(y, 7) OVER w AS growth,
+           row_number() OVER (PARTITION BY kind, series_id ORDER BY ds DESC) AS back
+    FROM panel WINDOW w AS (PARTITION BY kind, series_id ORDER BY ds)
+  ), series AS (
+    SELECT kind, series_id, max(ds) AS last, stddev_pop(z) AS noise, count(*) AS n, max(growth) FILTER (back = 1) AS growth
+    FROM days GROUP BY kind, series_id
+  ), ahead AS (
+    SELECT CAST(h AS INTEGER) AS h, 1 + (h - 1) // 7 AS weeks, sqrt(sum((1 + (h - 1) // 7) ** 2) OVER (ORDER BY h)) AS width
+    FROM generate_series(1, 30) AS g(h)
+  ), path AS (
+    SELECT kind, series_id, last + h AS ds, days.y + series.growth * weeks AS predicted, 1.959964 * noise * width AS spread
+    FROM series JOIN ahead ON n >= 8 + 30 + 14 JOIN days USING (kind, series_id) WHERE back = 7 - (h - 1) % 7
+  )
+  SELECT kind, series_id, ds, predicted, predicted - spread AS lower, predicted + spread AS upper,
+         CAST(NULL AS VARCHAR) AS error, true AS converged FROM path
+  UNION ALL
+  SELECT kind, series_id, NULL, NULL, NULL, NULL, 'only ' || n || ' days', NULL FROM series WHERE n < 8 + 30 + 14
+"""
+
 ORACLE: dict[str, str] = {
     "s3_read_results": sql("pct", "SELECT status AS supply_status, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM f GROUP BY status"),
     "w1_w20_from_sums": sql("value", union([
@@ -584,6 +606,7 @@ ORACLE: dict[str, str] = {
     "f5_store_day_split": sql("", split_rows("daily"), DAILY_STORE),
     "f6_seasonal_difference": sql("y z", """SELECT kind, series_id, ds, y, y - lag(y, 1) OVER w - lag(y, 7) OVER w + lag(y, 8) OVER w AS z FROM panel
         WINDOW w AS (PARTITION BY kind, series_id ORDER BY ds)""", PANEL),
+    "f6_seasonal_walk": sql("predicted lower upper", SEASONAL_WALK, PANEL),
     "f7_future_dates": sql("", "SELECT CAST(unnest(generate_series(max(date) + INTERVAL 1 DAY, max(date) + INTERVAL 30 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM f"),
     "f8_forecast_metrics": sql("mae rmse r2 mape", SCORES, PANEL),
     "f9_store_day_features": sql("avg_inventory avg_price avg_discount avg_competitor", "SELECT * FROM store_day", STORE_DAY),

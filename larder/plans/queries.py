@@ -23,6 +23,7 @@ from larder.operators import report as R
 from larder.operators import seasonality as W
 from larder.operators import supply as Y
 from larder.operators import validate as Q
+from larder.params import DEFAULTS
 from larder.schema import CATEGORICAL_COLUMNS, FACT_COLUMNS, FACT_FIELDS, NUMERIC_COLUMNS
 from larder.session import durable, fresh_path
 from larder.sources import results as S
@@ -84,6 +85,8 @@ REVENUE = "units_sold price discount"
 POSITION = "category units_sold price discount competitor_pricing"
 STORE_DAY = "date store_id product_id units_sold inventory_level price discount competitor_pricing weather holiday_promotion"
 PANEL = "date product_id category units_sold"
+SEASONAL_WALK = replace(DEFAULTS, order=(0, 1, 0), seasonal_order=(0, 1, 0, 7))  # no coefficients, so SQL can state it
+AIRLINE = replace(DEFAULTS, order=(0, 1, 1), seasonal_order=(0, 1, 1, 7))
 KPI = "date category store_id region product_id units_sold inventory_level demand_forecast"
 
 _fits: dict[tuple, M.ForestFit] = {}
@@ -438,6 +441,8 @@ QUERIES: dict[str, Query] = {
         df.groupBy("date", "store_id").agg(F.sum("units_sold").alias("units_sold")))),
     "f6_seasonal_difference": _over(PANEL, lambda df: FC.seasonal_difference(FC.series_panel(df))),
     "f6_seasonal_forecast": _over(PANEL, lambda df: M.seasonal_forecast(FC.series_panel(df))),
+    "f6_seasonal_walk": _over(PANEL, lambda df: M.seasonal_forecast(FC.series_panel(df), SEASONAL_WALK)),
+    "f6_seasonal_moving_average": _over(PANEL, lambda df: M.seasonal_forecast(FC.series_panel(df), AIRLINE)),
     "f7_future_dates": _over("date", FC.future_dates),
     "f8_forecast_metrics": _over(PANEL, lambda df: FC.forecast_metrics(_naive_scores(df), *FC.SERIES)),
     "f9_store_day_features": _over(STORE_DAY, FC.store_day_features),

@@ -27,7 +27,7 @@ def test_names():
     assert set(ORACLE) <= set(QUERIES)
     rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only == {
-        "r1_key_metrics", "f6_seasonal_forecast", "f13_random_forest_forecast",
+        "r1_key_metrics", "f6_seasonal_forecast", "f6_seasonal_moving_average", "f13_random_forest_forecast",
         "f14_feature_importance", "f15_actual_vs_predicted", "f17_regression_forecast", "f18_model_comparison",
         "f19_forecast_leaderboard",
     }

@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from larder.functions import regression
+from larder.functions import regression, seasonal_ar
 from larder.operators import forecast as FC
 from larder.operators import models as M
 from larder.operators.filters import Slice, filter_slice, latest_day
@@ -168,6 +168,68 @@ def test_sums_of_products_add_up(spark):
     assert whole == pytest.approx(sum(parts)) and len(whole) == len(regression.pairs()) and whole[0] == 90
 
 
+def simulated(orders, point, n, seed=3):
+    """A series by the model's own recursion, term by term, and its errors."""
+    levels, shocks = seasonal_ar._polynomials(np.array(point), orders)
+    levels = np.convolve(levels, orders.differences())
+    e, y = np.random.default_rng(seed).normal(size=n), []
+    for t in range(n):
+        y.append(sum(w * e[t - k] for k, w in enumerate(shocks) if k <= t)
+                 - sum(w * y[t - k] for k, w in enumerate(levels) if 0 < k <= t))
+    return np.array(y), e, levels, shocks
+
+
+ORDERS = [((1, 1, 1), (1, 1, 0, 7), [0.5, -0.4, -0.3]), ((2, 0, 1), (0, 1, 1, 7), [0.5, -0.3, 0.4, -0.5]),
+          ((0, 1, 1), (0, 1, 1, 12), [-0.4, -0.6]), ((2, 1, 0), (0, 0, 0, 0), [0.4, 0.3]), ((0, 1, 0), (0, 1, 0, 7), [])]
+
+
+@pytest.mark.parametrize("order, seasonal_order, point", ORDERS)
+def test_orders_recursion_from_given_coefficients(order, seasonal_order, point):
+    orders = seasonal_ar.Orders(order, seasonal_order)
+    y, e, levels, shocks = simulated(orders, point, 400)
+    z = np.convolve(y, orders.differences(), "valid")
+    own = seasonal_ar._polynomials(np.array(point), orders)[0]
+    found = seasonal_ar.one_step_errors(z, own, shocks)
+    assert found[-200:] == pytest.approx(e[-200:], abs=1e-3)
+    mean, spread = seasonal_ar.forecast(y, seasonal_ar.Fit(levels, shocks, found, True), 40)
+    path, padded = list(y), np.r_[e[: 400 - len(found)], found, np.zeros(40)]
+    for t in range(400, 440):  # the model's equation with all later errors zero
+        path.append(sum(w * padded[t - k] for k, w in enumerate(shocks)) - sum(
+            w * path[t - k] for k, w in enumerate(levels) if k))
+    assert mean == pytest.approx(path[400:]) and (np.diff(spread) >= -1e-9).all()
+
+
+@pytest.mark.parametrize("order, seasonal_order, point", ORDERS)
+def test_orders_are_recovered(order, seasonal_order, point):
+    orders = seasonal_ar.Orders(order, seasonal_order)
+    y, _, levels, shocks = simulated(orders, point, 3000)
+    fit = seasonal_ar.fit_seasonal_ar(y, orders, 30, 50)
+    assert fit.converged and len(fit.levels) == len(levels) and len(fit.shocks) == len(shocks)
+    assert fit.levels == pytest.approx(levels, abs=0.12) and fit.shocks == pytest.approx(shocks, abs=0.12)
+    if point:
+        assert not seasonal_ar.fit_seasonal_ar(y, orders, 30, 0).converged
+
+
+def test_unsupported_orders_are_an_error(spark):
+    for order, seasonal_order in (((1, 1), (1, 1, 0, 7)), ((1, -1, 1), (1, 1, 0, 7)), ((1, 1.5, 1), (1, 1, 0, 7)),
+                                  ((7, 1, 1), (1, 1, 0, 7)), ((1, 1, 1), (1, 1, 0, 1)), ((1, 1, 1), (1, 1, 0))):
+        with pytest.raises(ValueError):
+            M.seasonal_forecast(panel(spark, range(9)), replace(DEFAULTS, order=order, seasonal_order=seasonal_order))
+
+
+def test_orders_reach_the_forecast(spark):
+    values = [100 + 10 * (i % 7) + i for i in range(120)]
+    params = replace(DEFAULTS, order=(0, 1, 0), seasonal_order=(0, 1, 0, 7))
+    rows = M.seasonal_forecast(panel(spark, values), params).orderBy("ds").collect()
+    assert [r["predicted"] for r in rows] == pytest.approx([100 + 10 * (i % 7) + i for i in range(120, 150)])
+    assert all(r["converged"] for r in rows)
+    asked = replace(DEFAULTS, min_fit_days=200)
+    failed = M.seasonal_forecast(panel(spark, values), asked).collect()
+    assert [(r["error"], r["converged"]) for r in failed] == [("only 120 days", None)]
+    assert M.regression_forecast(panel(spark, values), asked).first()["error"] == "only 120 days"
+    assert M.seasonal_forecast(panel(spark, values).limit(0)).count() == 0
+
+
 def test_short_and_constant_series(spark):
     both = panel(spark, range(10), "product", "short").unionByName(panel(spark, [5.0] * 100, "product", "flat"))
     rows = M.seasonal_forecast(both).collect()
@@ -199,7 +261,7 @@ def test_forest(spark, folder):
 
 def test_fits_travel_without_the_package():
     """The workers may not have this package, so nothing sent to them may refer to it."""
-    for sent in (M._seasonal(7), regression.solve, M._last_part(DEFAULTS)):
+    for sent in (M._seasonal(DEFAULTS), regression.solve, M._last_part(DEFAULTS)):
         code = "import pickle, sys; pickle.load(sys.stdin.buffer); print([m for m in sys.modules if m.startswith('larder')])"
         done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(sent), capture_output=True, cwd="/")
         assert done.stdout.decode().strip() == "[]", done.stderr.decode()

@@ -267,6 +267,8 @@ def test_constant_columns_scale_to_zero(spark):
 
 def test_params_from_json(tmp_path):
     path = tmp_path / "config.json"
-    path.write_text('{"inventory_optimization": {"lead_time_days": 3}, "pricing_strategy": {"price_diff_bins": [-1, 0, 1]}}')
+    path.write_text('{"inventory_optimization": {"lead_time_days": 3}, "pricing_strategy": {"price_diff_bins": [-1, 0, 1]}, '
+                    '"forecasting": {"sarima_params": {"order": [2, 1, 0], "seasonal_order": [0, 1, 1, 14]}}}')
     params = Params.from_json(str(path))
     assert params.lead_time_days == 3 and params.price_diff_bins == (-1, 0, 1) and params.service_level == 0.95
+    assert params.order == (2, 1, 0) and params.seasonal_order == (0, 1, 1, 14)
