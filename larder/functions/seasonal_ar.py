@@ -80,16 +80,17 @@ def _polynomials(point: np.ndarray, orders: Orders) -> tuple[np.ndarray, np.ndar
     return np.convolve(*made[:2]), np.convolve(*made[2:])
 
 
-def _inside(point: np.ndarray, orders: Orders) -> np.ndarray:
-    """Each factor with its inverse roots drawn inside the bound; a single coefficient is clipped."""
-    point, at = point.copy(), 0
+def _inside(point: np.ndarray, orders: Orders) -> tuple[np.ndarray, np.ndarray]:
+    """Each factor with its inverse roots drawn inside the bound (a single coefficient is clipped), and which are free of it."""
+    point, free, at = point.copy(), np.ones(len(point), dtype=bool), 0
     for count, _, sign in orders.factors():
         part = point[at: at + count]
         radius = max(np.abs(np.roots(np.r_[1.0, sign * part])), default=0.0)
         if radius > BOUND:
             point[at: at + count] = part * (BOUND / radius) ** np.arange(1, count + 1)
+            free[at: at + count] = False
         at += count
-    return point
+    return point, free
 
 
 def one_step_errors(z: np.ndarray, levels: np.ndarray, shocks: np.ndarray) -> np.ndarray:
@@ -126,9 +127,10 @@ def _size(orders: Orders) -> int:
 
 
 def fit_seasonal_ar(y: np.ndarray, orders: Orders, min_rows: int, max_steps: int) -> Fit:
-    """Damped Gauss-Newton steps. Converged: the last step, or the best one left, gains less than SMALL_GAIN.
+    """Damped Gauss-Newton steps; where none helps, factors that it moves beyond the bound are held and the others go on.
 
-    ValueError if fewer than `min_rows` differences remain beside the lags of the start.
+    Converged: the last step, or the best one left, gains less than SMALL_GAIN. ValueError if fewer than `min_rows`
+    differences remain beside the lags of the start.
     """
     differences = orders.differences()
     z = np.convolve(y, differences)[len(differences) - 1: len(y)]
@@ -140,23 +142,31 @@ def fit_seasonal_ar(y: np.ndarray, orders: Orders, min_rows: int, max_steps: int
     def errors_at(point):
         return one_step_errors(z, *_polynomials(point, orders))
 
-    point = _inside(_start(z, orders, past), orders) if _size(orders) else np.zeros(0)
+    point = _inside(_start(z, orders, past), orders)[0] if _size(orders) else np.zeros(0)
     errors, converged = errors_at(point), not _size(orders)
     for _ in range(max_steps if len(point) else 0):
         slopes = np.column_stack([(errors_at(point + shift) - errors) / 1e-5 for shift in 1e-5 * np.eye(len(point))])
-        step, before = -_solve(slopes, errors), errors @ errors
-        for share in (1.0, 0.5, 0.25, 0.125):
-            nearby = _inside(point + share * step, orders)
-            tried = errors_at(nearby)
-            if tried @ tried < before:
+        before = errors @ errors
+        free = np.ones(len(point), dtype=bool)
+        while True:
+            step = np.zeros(len(point))
+            step[free] = -_solve(slopes[:, free], errors)
+            for share in (1.0, 0.5, 0.25, 0.125):
+                nearby, within = _inside(point + share * step, orders)
+                tried = errors_at(nearby)
+                if tried @ tried < before:
+                    break
+            still = free & within
+            if tried @ tried < before or (still == free).all() or not still.any():
                 break
+            free = still
+        if tried @ tried < before:
+            point, errors = nearby, tried
+            converged = bool(before - errors @ errors < SMALL_GAIN * before)
         else:
-            hoped = errors + slopes @ step
+            hoped = errors + slopes[:, still] @ step[still]
             converged = bool(before - hoped @ hoped <= SMALL_GAIN * before)
-            break
-        point, errors = nearby, tried
-        if before - errors @ errors < SMALL_GAIN * before:
-            converged = True
+        if converged or errors is not tried:
             break
     levels, shocks = _polynomials(point, orders)
     return Fit(np.convolve(levels, differences), shocks, errors, converged)

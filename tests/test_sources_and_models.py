@@ -210,6 +210,21 @@ def test_orders_are_recovered(order, seasonal_order, point):
         assert not seasonal_ar.fit_seasonal_ar(y, orders, 30, 0).converged
 
 
+def test_fit_at_the_bound_comes_to_rest():
+    orders = seasonal_ar.Orders()
+    for seed in range(6):  # differences of plain noise draw the moving average to its bound
+        y = np.random.default_rng(seed).normal(size=700)
+        fit = seasonal_ar.fit_seasonal_ar(y, orders, 30, 50)
+        z, least = np.convolve(y, orders.differences(), "valid"), fit.errors @ fit.errors
+        assert fit.converged
+        levels = np.polydiv(fit.levels[::-1], orders.differences()[::-1])[0][::-1]
+        a, b = -levels[1], -levels[7]
+        for da, db in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02), (0.02, 0.02)):
+            near, shocks = seasonal_ar._polynomials(np.array([a + da, b + db, fit.shocks[1]]), orders)
+            tried = seasonal_ar.one_step_errors(z, near, shocks)
+            assert tried @ tried > least
+
+
 def test_unsupported_orders_are_an_error(spark):
     for order, seasonal_order in (((1, 1), (1, 1, 0, 7)), ((1, -1, 1), (1, 1, 0, 7)), ((1, 1.5, 1), (1, 1, 0, 7)),
                                   ((7, 1, 1), (1, 1, 0, 7)), ((1, 1, 1), (1, 1, 0, 1)), ((1, 1, 1), (1, 1, 0))):
