@@ -58,17 +58,16 @@ class Training:
     most_documents: int = 20_000
     rounds: int = 2
     smoothing: float = 0.02
-    longest_piece: int = 12
 
 
-def pieces_of(vocabulary: str, longest: int) -> list[str]:
-    """The pieces of a SentencePiece model, without control and byte pieces, in the order of their ids."""
+def pieces_of(vocabulary: str) -> list[str]:
+    """All lettered pieces of a SentencePiece model, without control and byte pieces, in the order of their ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())
              if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-    return [p for p in names if len(p) <= longest and LETTERS.fullmatch(p.replace(BEGIN, "", 1) or "a")]
+    return [p for p in names if LETTERS.fullmatch(p.replace(BEGIN, "", 1) or "a")]
 
 
 def units(raw: str) -> list[str]:
@@ -287,11 +286,12 @@ def learn(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     # A text without a letter teaches nothing.
     languages, sample = _sample(known.where(F.col("text").rlike(r"\p{L}")), training.most_documents)
     counts = durable(_word_counts(sample.select("text", "lang")), "word_counts")
-    pieces = pieces_of(vocabulary, training.longest_piece)
-    model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1 / len(pieces)), training.longest_piece)
+    pieces = pieces_of(vocabulary)
+    longest = max(map(len, pieces))
+    model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1 / len(pieces)), longest)
     for _ in range(training.rounds if languages else 0):
         uses = _round(counts, model) + training.smoothing
-        model = Model(languages, pieces, uses / uses.sum(axis=0), training.longest_piece)
+        model = Model(languages, pieces, uses / uses.sum(axis=0), longest)
     return model
 
 

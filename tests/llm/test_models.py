@@ -94,6 +94,17 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(lattice.forward([word])[0, 0], np.log(plain_probability(word, pieces)))
 
 
+def test_pieces_of_all_lengths_count():
+    pieces = language.pieces_of(PIECES)
+    longest = max(pieces, key=len)
+    assert len(longest) > 12 and sum(len(p) > 12 for p in pieces) > 200
+    some = {p: 0.01 * (k % 7 + 1) for k, p in enumerate(pieces) if p in longest}
+    lattice = language.Lattice(list(some), np.array(list(some.values()))[:, None], len(longest))
+    assert np.isclose(lattice.forward([longest])[0, 0], np.log(plain_probability(longest, some)))
+    without = {p: x for p, x in some.items() if p != longest}
+    assert plain_probability(longest, some) > plain_probability(longest, without)
+
+
 def test_expected_uses_add_up_to_the_word():
     pieces = {"▁": 0.1, "a": 0.2, "b": 0.1, "ab": 0.3, "▁a": 0.2, "ba": 0.1}
     lattice = language.Lattice(list(pieces), np.array(list(pieces.values()))[:, None], 3)
