@@ -13,7 +13,8 @@ the chance of any wrong match is about 3e-8); hashing keeps the row at 8 bytes a
 
 Defined cases: a null text has no words, so base_failed is true; a null id is kept and has no label;
 rows that repeat an id are separate rows; labels other than 0 and 1 are not learned from; without
-labels of both kinds there are no rules and only base_failed decides; other columns are ignored.
+labels of both kinds there are no rules and only base_failed decides; other columns are ignored;
+an empty table gives no rows. A very long text is one row, its words an array in one task.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ Defined cases: `und` with score 0 when the text is null or has no letter, or whe
 learned; null ids and repeated ids are kept as rows; null languages are not learned from; ties go to
 the first language by name; other columns are ignored by `identify` and kept by `reject_unknown`, which
 drops the rows of null texts and texts without a letter and no others, also when nothing could be learned.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ template's long words are passed over: they cannot reach the coverage.
 
 Defined cases: a null or empty text has no finds; null and repeated ids stay as they are; of
 overlapping finds the one with more matched words, then the first by name, is given; other columns
-are ignored; a text without finds gives no rows. Memory: one text's words.
+are ignored; a text without finds and an empty table give no rows. Memory: one text's words.
 """
 
 from __future__ import annotations
