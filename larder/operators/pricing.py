@@ -18,6 +18,7 @@ from larder.functions.quantiles import exact_quantiles
 from larder.functions.ranking import best_per_group, largest, ranked
 from larder.functions.sums import mean, summed
 from larder.params import DEFAULTS, Params
+from larder.session import durable
 
 MIN_POINTS = 3
 
@@ -76,8 +77,12 @@ def product_elasticity(df: DataFrame, key: str = "product_id", params: Params =
 
 
 def category_elasticity(df: DataFrame, key: str = "product_id") -> DataFrame:
-    """Median slope of the products of each category."""
-    slopes = product_elasticity(df, key).select("category", "elasticity")
+    """Median slope of the products of each category.
+
+    The slopes are written once: a slope found again may differ in its last digits with the order in which partial
+    sums meet, and the passes of the median must see the same values.
+    """
+    slopes = durable(product_elasticity(df, key).select("category", "elasticity"), "slopes")
     medians = exact_quantiles(slopes, "elasticity", [0.5], ["category"])
     slope = F.get("quantiles", F.lit(0))
     return medians.select(
