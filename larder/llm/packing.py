@@ -21,6 +21,9 @@ Memory: one block, or one document if that is longer.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 from collections import deque
 from collections.abc import Iterator
@@ -167,6 +170,14 @@ class Packer:
         return pa.RecordBatch.from_pydict(columns)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on from stage to stage, and the C library and Arrow keep what they freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
          costs: Costs = Costs()) -> DataFrame:
     """One row per piece of a document in a sequence, with its ids (little-endian unsigned 32-bit).
@@ -177,6 +188,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = None
+        give_back()  # what earlier stages have left
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -189,8 +201,12 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id"
                     found = packer.pack(last=False)
                     if found is not None:
                         yield found
+                    found = None
+                    give_back()
         found = packer.pack(last=True) if packer else None
         if found is not None:
             yield found
+        found = packer = encoder = None
+        give_back()
 
     return in_order(df, id_col, text_col).mapInArrow(run, PIECES)
