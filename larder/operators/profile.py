@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from larder.functions.quantiles import column_quantiles, exact_quantiles
 from larder.functions.ranking import largest, top_per_group
 from larder.functions.spread import per_column
 from larder.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS
+from larder.session import durable
 
 GROUPED_DIMENSIONS = ("category", "region", "seasonality", "weather", "holiday_promotion")
 
@@ -242,8 +244,11 @@ def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column counts, distinct values, zeros, extremes and quartiles.
 
     approx_distinct replaces the exact distinct counts, which shuffle every distinct
-    value of every column, by sketches.
+    value of every column, by sketches. The fact is written once: the measures and the quartiles
+    read it without joining it again, and each distinct count reads its own column only, where one
+    aggregate over all columns would take every row once per column.
     """
+    df = durable(df, "profiled_fact")
     kinds = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema}
     numbers = [c for c, number in kinds.items() if number]
 
@@ -266,7 +271,8 @@ def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     if approx_distinct:
         profile = per_column(df, df.columns, **measures, n_distinct=lambda c: F.approx_count_distinct(c))
     else:
-        distinct = per_column(df, df.columns, n_distinct=lambda c: F.count_distinct(c))
+        distinct = reduce(DataFrame.unionByName, [
+            known(df.select(c), c).distinct().agg(F.lit(c).alias("column_name"), F.count("*").alias("n_distinct")) for c in df.columns])
         profile = per_column(df, df.columns, **measures).join(F.broadcast(distinct), "column_name")
     quartiles = column_quantiles(df, numbers, [0.25, 0.5, 0.75]).select(
         "column_name", *[F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(("q25", "q50", "q75"))]

@@ -13,6 +13,7 @@ from larder.functions.quantiles import column_quantiles
 from larder.functions.spread import per_column
 from larder.operators.profile import duplicate_count
 from larder.schema import FACT_COLUMNS, FACT_SCHEMA
+from larder.session import durable
 
 NON_NEGATIVE = ("price", "units_sold", "inventory_level", "demand_forecast")
 OUTLIER_COLUMNS = (
@@ -124,11 +125,13 @@ def _outside(c: str, fences: dict[str, tuple[Column, Column]]) -> Column:
 def iqr_outliers(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS, factor: float = 1.5) -> DataFrame:
     """Q6: values outside of the quartiles by more than 1.5 IQR, per column.
 
-    The fences stand as numbers in the plan, so the counts are one wide aggregate over the fact.
+    The columns are written once, so that the passes of the quartiles do not join the fact again. The fences stand as
+    numbers in the plan, so the counts are one wide aggregate over the fact.
     """
-    fences = _fences(df, columns, factor)
+    rows = durable(df.select(*columns), "outlier_columns")
+    fences = _fences(rows, columns, factor)
     counts = per_column(
-        df, columns,
+        rows, columns,
         low_fence=lambda c: F.first(fences[c][0]),
         high_fence=lambda c: F.first(fences[c][1]),
         n_outliers=lambda c: _outside(c, fences),
@@ -157,8 +160,10 @@ def missing_days(df: DataFrame) -> DataFrame:
 def validation_status(df: DataFrame) -> DataFrame:
     """Q8: one row with the outcome of every check and of all together.
 
-    All counts over rows are one wide aggregate, the fences being numbers; duplicates are counted by digests.
+    All counts over rows are one wide aggregate, the fences being numbers; duplicates are counted by digests. The fact
+    is written once, so that no pass joins it again.
     """
+    df = durable(df, "checked_fact")
     present = [c for c in FACT_COLUMNS if c in df.columns]
     missing = sum((F.col(c).isNull().cast("long") for c in present), F.lit(0))
     negative = sum((F.coalesce((F.col(c) < 0).cast("long"), F.lit(0)) for c in NON_NEGATIVE), F.lit(0))

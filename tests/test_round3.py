@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from larder.functions import forest
 from larder.operators import pricing as G
+from larder.operators import profile as A
+from larder.operators import validate as Q
 
 
 def test_slopes_that_differ_by_pass_have_a_median(spark):
@@ -42,3 +44,23 @@ def test_a_tree_splits_where_the_variance_falls_most():
     assert found["bin"][0] == 1 and found["value"].tolist() == pytest.approx([20 / 6, 1, 8]) and found["size"].tolist() == [6, 4, 2]
     flat = forest.grown(1, bins, np.full(6, 0.1), np.ones(6), forest.Limits(max_depth=9, min_instances=1, seed=0))
     assert flat["node"].tolist() == [1]
+
+
+def joins_of(spark, make):
+    """How often `make` and its result read a counting column of the fact, per row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    make(lambda df, c: df.withColumn(c, F.udf(counted, "double").asNondeterministic()(c))).collect()
+    return seen.value
+
+
+def test_checks_and_profile_make_the_fact_once(spark, fact):
+    rows = [{"price": float(k), "units_sold": k} for k in range(8)]
+    for operator in (Q.iqr_outliers, Q.validation_status, A.column_profile):
+        assert joins_of(spark, lambda through: operator(through(fact(rows), "price"))) == 8
+    found = {r.column_name: r.n_distinct for r in A.column_profile(fact([*rows, {"price": None, "region": None}])).collect()}
+    assert (found["price"], found["region"], found["units_sold"]) == (8, 1, 8)
