@@ -132,6 +132,10 @@ class Tree:
         self.left = np.searchsorted(self.node, 2 * self.node)
         self.steps = int(self.node[-1]).bit_length() - 1
 
+    def parts(self) -> tuple:
+        """What makes the tree anew on a worker, which may not have this package."""
+        return self.node, self.feature, self.bin, self.value
+
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The place of each row's last node."""
         at, every = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
@@ -156,15 +160,17 @@ class Trees:
         return shares.sum(axis=0) / max(shares.sum(), 1e-300)
 
     def predictor(self, df: DataFrame):
-        sent = df.sparkSession.sparkContext.broadcast((self.ends, self.trees))  # bounded by trees and depth
+        sent = df.sparkSession.sparkContext.broadcast((self.ends, [t.parts() for t in self.trees]))  # bounded by trees and depth
 
         @F.pandas_udf("double")
-        def predicted(features: pd.Series) -> pd.Series:
-            if not len(features):
-                return pd.Series([], dtype=float)
-            ends, trees = sent.value
-            bins = binned(np.stack(features.to_numpy()), ends)
-            return pd.Series(sum(t.value[t.leaves(bins)] for t in trees) / len(trees))
+        def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            ends, trees = sent.value[0], [Tree(*p) for p in sent.value[1]]
+            for features in batches:
+                if not len(features):
+                    yield pd.Series([], dtype=float)
+                    continue
+                bins = binned(np.stack(features.to_numpy()), ends)
+                yield pd.Series(sum(t.value[t.leaves(bins)] for t in trees) / len(trees))
 
         return predicted
 
@@ -194,10 +200,10 @@ def _split_large(table: DataFrame, tops: list[Tree], wanted: list[tuple[int, int
     slots: dict[int, dict[int, int]] = {}
     for tree, node in wanted:
         slots.setdefault(tree, {})[node] = len(slots.get(tree, {}))
-    sent = table.sparkSession.sparkContext.broadcast((tops, slots))
+    sent = table.sparkSession.sparkContext.broadcast(([t.parts() for t in tops], slots))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, slots = sent.value
+        tops, slots = [Tree(*p) for p in sent.value[0]], sent.value[1]
         sums = {t: np.zeros((2, features, len(of), BINS)) for t, of in slots.items()}
         first = None
         for row, label, bins in _blocks(batches, features):
@@ -228,10 +234,10 @@ def _split_large(table: DataFrame, tops: list[Tree], wanted: list[tuple[int, int
 
 def _grow_small(table: DataFrame, tops: list[Tree], small: list[set[int]], features: int, limits: Limits) -> DataFrame:
     """The subtrees of all small nodes, each grown over its own rows."""
-    sent = table.sparkSession.sparkContext.broadcast((tops, small))
+    sent = table.sparkSession.sparkContext.broadcast(([t.parts() for t in tops], small))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, small = sent.value
+        tops, small = [Tree(*p) for p in sent.value[0]], sent.value[1]
         for row, label, bins in _blocks(batches, features):
             for t, top in enumerate(tops):
                 weight, place = weights(row, t, limits.seed), top.leaves(bins)
