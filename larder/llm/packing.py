@@ -21,9 +21,6 @@ Memory: one block, or one document if that is longer.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import sys
 from collections import deque
 from collections.abc import Iterator
@@ -34,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 
-from larder.llm.encoding import PiecewiseEncoder, slices, vocabulary_text, with_end
+from larder.llm.encoding import PiecewiseEncoder, give_back, slices, vocabulary_text, with_end
 from larder.llm.token_files import in_order
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -170,14 +167,6 @@ class Packer:
         return pa.RecordBatch.from_pydict(columns)
 
 
-def give_back() -> None:
-    """Return freed memory to the system. Workers live on from stage to stage, and the C library and Arrow keep what they freed."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def pack(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
          costs: Costs = Costs()) -> DataFrame:
     """One row per piece of a document in a sequence, with its ids (little-endian unsigned 32-bit).

@@ -16,7 +16,7 @@ between their digits, and different values stay different.
     secret   hexadecimal or alphanumeric values that are assigned to a token, key or password
 
 The key is a parameter. Texts without a digit or @ are passed on as they are, and each task needs one
-batch of texts. Defined cases: a null text stays null; null ids and repeated ids stay rows; values
+batch of texts and a slice of it rewritten. Defined cases: a null text stays null; null ids and repeated ids stay rows; values
 that fail validation are left alone, after shorter ends of an account or card number at borders of groups,
 the other kinds at the same place and all later places have been tried; overlapping finds go to the first kind in the order above;
 further columns stay as they are; an empty table gives no rows.
@@ -39,10 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.chunk_recipes import free_name
+from larder.llm.encoding import give_back, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROUNDS = 8
+SLICE_BYTES = 2 << 20  # of texts that are rewritten at once
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -307,18 +309,22 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", finds_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Pseudonyms(secret)
-        for batch in batches:
-            texts = batch.column(place)
-            worth = pc.fill_null(pc.match_substring_regex(texts, r"@|\d\D{0,3}\d\D{0,3}\d|(?i:token|secret|pass|key|pwd)"), False)
-            rows = pc.indices_nonzero(worth).to_pylist()
-            found: list = [[] if t else None for t in texts.is_valid().to_pylist()]
-            if rows:
-                new = texts.to_pylist()
-                for r in rows:
-                    new[r], found[r] = work.replace(new[r])
-                texts = pa.array(new, pa.string())
-            columns = [texts if k == place else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*batch.schema.names, finds])
+        give_back()  # what earlier stages have left
+        for whole in batches:
+            for a, b in slices(whole.column(place), SLICE_BYTES):
+                batch = whole.slice(a, b - a)
+                texts = batch.column(place)
+                worth = pc.fill_null(pc.match_substring_regex(texts, r"@|\d\D{0,3}\d\D{0,3}\d|(?i:token|secret|pass|key|pwd)"), False)
+                rows = pc.indices_nonzero(worth).to_pylist()
+                found: list = [[] if t else None for t in texts.is_valid().to_pylist()]
+                if rows:
+                    new = texts.to_pylist()
+                    for r in rows:
+                        new[r], found[r] = work.replace(new[r])
+                    texts = pa.array(new, pa.string())
+                columns = [texts if k == place else c for k, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*batch.schema.names, finds])
+        give_back()
 
     out = df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
     return out.withColumnRenamed(finds, finds_col) if finds_col else out.drop(finds)
