@@ -3,10 +3,13 @@
 MLlib sums up every node of every level over the whole table, and each partition sends a histogram of all features for
 each node, however few rows a deep node has. Here only nodes of more than MOST_ROWS rows are split that way:
 
-1. a feature's values become at most 32 bins, at splits found on a bounded sample;
+1. a feature's values become at most 32 bins, at splits found on a bounded sample; neighbouring features share a code of
+   at most CELLS values, so that one count by code serves them all;
 2. large nodes are split level by level: each task sums counts and labels by tree, node, feature and bin, the sums of a
    node meet in one group, and the driver keeps one split per node;
-3. the rows of each smaller node are dealt to a group of their own, and its whole subtree is grown there.
+3. the rows of each smaller node are dealt to a group, and its whole subtree is grown there. Nodes of several trees that
+   hold the same part of the feature space share a group, so their rows travel once. Of two siblings only the one with
+   fewer rows is counted; the other is what is left of their parent.
 
 Each tree draws its rows with replacement: a row's weight is Poisson(1) by a hash of row, tree and seed, so the same rows
 give the same forest on any cluster. Nodes are numbered from the root, 1, the children of i being 2 i and 2 i + 1.
@@ -16,8 +19,8 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,15 +34,20 @@ from larder.session import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS = 32
+CELLS = 1024  # of a code
 SAMPLE = 10_000  # rows that the bins are found on
-MOST_ROWS = 1 << 18  # of a node that is grown in one group
+MOST_ROWS = 1 << 21  # of a node that is grown in one group
 NODES_A_JOB = 4096  # whose sums a task holds at the same time
-ROWS_A_CHUNK = 100_000
+NODES_AT_ONCE = 256  # of a subtree, whose sums are held at the same time
+TREES_A_GROUP = 25
+LEAST_GROUPS = 64
+ROWS_A_CHUNK = 1 << 17
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-SUMS = "tree int, node long, first long, counts binary, sums binary"
-CHUNKS = "tree int, node long, first long, label binary, weight binary, bins binary"
-GROWN = "tree int, node binary, feature binary, bin binary, value binary, gain binary, size binary"
+SUMS = "tree int, box int, first long, counts binary, sums binary"
+CHUNKS = "part int, group int, first long, row binary, label binary, words binary"
+GROWN = "tree int, node binary, feature binary, bin binary, value binary, gains binary"
 KINDS = {"node": np.int64, "feature": np.int16, "bin": np.uint8, "value": np.float64, "gain": np.float64, "size": np.float64}
+KEPT = ("node", "feature", "bin", "value")
 
 
 @dataclass(frozen=True)
@@ -65,31 +73,124 @@ def binned(rows: np.ndarray, ends: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x).astype(np.uint8) for e, x in zip(ends, rows.T)])
 
 
-def weights(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
+def draws() -> np.ndarray:
+    """The weight that each upper 16 bits of a hash stand for; 255 where the lower ones decide."""
+    first = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
+    low, high = (np.searchsorted(POISSON, x * 2.0**-53, side="right") for x in (first, first + np.uint64((1 << 37) - 1)))
+    return np.where(low == high, low, 255).astype(np.uint8)
+
+
+def weights(rows: np.ndarray, tree: int, seed: int, table: np.ndarray | None = None) -> np.ndarray:
     """How often a tree has drawn each row."""
     start = (tree + 1) * 0xD1342543DE82EF95 + seed * 0xDA942042E4DD58B5 & 0xFFFFFFFFFFFFFFFF
-    x = rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = rows.astype(np.uint64)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x += np.uint64(start)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
-    return np.searchsorted(POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(np.uint8)
+    found = np.take(draws() if table is None else table, (x >> np.uint64(48)).astype(np.uint16))
+    unsure = np.flatnonzero(found == 255)
+    found[unsure] = np.searchsorted(POISSON, (x[unsure] >> np.uint64(11)) * 2.0**-53, side="right")
+    return found
+
+
+class Codes:
+    """Which features share a code, and where a code lies in the words of a row.
+
+    sizes: the bins of each feature. Four codes of 16 bits make a word; a feature with a single bin is in no code.
+    """
+
+    def __init__(self, sizes: list[int]):
+        self.sizes, self.groups = sizes, []
+        for f in sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)):
+            if sizes[f] > 1:
+                room = (g for g in self.groups if math.prod(sizes[x] for x in g) * sizes[f] <= CELLS)
+                if found := next(room, None):
+                    found.append(f)
+                else:
+                    self.groups.append([f])
+        self.groups = self.groups or [[0]]
+        self.cells = [math.prod(sizes[x] for x in g) for g in self.groups]
+        self.words = -(-len(self.groups) // 4)
+        self.edges = np.cumsum([0, *sizes])  # of the features in a row of sums
+        self.of, self.bin = {}, {}  # the code of a feature, and its bin by code
+        for k, g in enumerate(self.groups):
+            step = 1
+            for f in reversed(g):
+                self.of[f], self.bin[f] = k, (np.arange(self.cells[k]) // step % sizes[f]).astype(np.uint8)
+                step *= sizes[f]
+
+    def words_of(self, bins: np.ndarray) -> np.ndarray:
+        """A row per word, from a row per feature."""
+        out = np.zeros((bins.shape[1], 4 * self.words), np.uint16)
+        for k, g in enumerate(self.groups):
+            for f in g:
+                out[:, k] = out[:, k] * np.uint16(self.sizes[f]) + bins[f]
+        return np.ascontiguousarray(out.view(np.uint64).T)
+
+    def code(self, words: list[np.ndarray], k: int) -> np.ndarray:
+        return words[k // 4].view(np.uint16)[k % 4 :: 4]
+
+    def bins(self, words: list[np.ndarray], f: int) -> np.ndarray:
+        return np.take(self.bin[f], self.code(words, self.of[f]))
+
+    def sums(self, words: list[np.ndarray], slot: np.ndarray | None, slots: int, value: np.ndarray) -> np.ndarray:
+        """Per slot a row with the sums of `value` by feature and bin; `slot` counts the rows of each slot, one after another."""
+        out = np.empty((slots, self.edges[-1]))
+        for k, (g, cells) in enumerate(zip(self.groups, self.cells)):
+            key = self.code(words, k)
+            if slot is not None:
+                key = np.repeat(np.arange(0, slots * cells, cells), slot) + key
+            found = np.bincount(key, value, slots * cells)
+            for f in g:
+                x = found.reshape(slots, *[self.sizes[y] for y in g])
+                at = g.index(f)
+                if len(g) == 2:
+                    x = np.ones(x.shape[1]) @ x if at else x @ np.ones(x.shape[2])
+                else:
+                    x = x.sum(axis=tuple(y + 1 for y in range(len(g)) if y != at))
+                out[:, self.edges[f] : self.edges[f + 1]] = x
+        for f in range(len(self.sizes)):
+            if f not in self.of:  # one bin
+                first = self.groups[0][0]
+                out[:, self.edges[f]] = out[:, self.edges[first] : self.edges[first + 1]].sum(axis=1)
+        return out
+
+
+def weighted(label: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """What is summed up: counts and labels as one number a row if that is exact, else one after the other.
 
+    One number is weight * (label * scale + 1). It is exact for whole labels while all sums lie below 2**53.
+    """
+    total = float(weight.sum(dtype=np.float64))
+    scale = 2.0 ** int(total).bit_length()
+    if (np.rint(label) == label).all() and (float(weight @ np.abs(label)) + 1) * scale < 2.0**52:
+        return [weight * (label * scale + 1)], scale
+    return [weight.astype(float), weight * label], 0.0
 
-def histogram(slot: np.ndarray, bins: np.ndarray, slots: int, weight: np.ndarray, label: np.ndarray) -> Iterator[tuple]:
-    """For each feature the counts and the label sums by slot and bin."""
-    base, weighted = slot * BINS, weight * label
-    for x in bins:
-        key = base + x
-        yield tuple(np.bincount(key, w, slots * BINS).reshape(slots, BINS) for w in (weight, weighted))
+
+def parted(sums: list[np.ndarray], scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and label sums."""
+    if not scale:
+        return sums[0], sums[1]
+    total = np.floor(sums[0] * (1 / scale))
+    return sums[0] - total * scale, total
 
 
 def best_splits(found: Iterator[tuple], slots: int, min_instances: int) -> dict[str, np.ndarray]:
-    """Per slot the split that leaves least variance: feature (-1: none), bin (the last to go left), value, gain, size, left."""
-    out = {"feature": np.full(slots, -1, np.int16), "bin": np.zeros(slots, np.uint8), "gain": np.zeros(slots), "left": np.zeros(slots)}
+    """Per slot the split that leaves least variance: feature (-1: none), bin (the last to go left), value, gain, size, and
+    count and label sum of the left side. found: per feature counts and label sums by slot and bin."""
+    out = {"feature": np.full(slots, -1, np.int16), "bin": np.zeros(slots, np.uint8)}
+    out |= {c: np.zeros(slots) for c in ("gain", "left", "left_sum")}
     every = np.arange(slots)
     for f, (counts, sums) in enumerate(found):
-        n, s = counts.sum(axis=1), sums.sum(axis=1)
-        base = s * s / np.maximum(n, 1)
+        if not f:
+            n, s = counts.sum(axis=1), sums.sum(axis=1)
+            base = s * s / np.maximum(n, 1)
+        if counts.shape[1] < 2:
+            continue
         n1, s1 = counts.cumsum(axis=1)[:, :-1], sums.cumsum(axis=1)[:, :-1]
         n2, s2 = n[:, None] - n1, s[:, None] - s1
         score = s1 * s1 / np.maximum(n1, 1) + s2 * s2 / np.maximum(n2, 1) - base[:, None]
@@ -99,50 +200,117 @@ def best_splits(found: Iterator[tuple], slots: int, min_instances: int) -> dict[
         better = (gain > out["gain"]) & (gain > 1e-12 * base)  # less is rounding
         out["feature"][better], out["bin"][better] = f, at[better]
         out["gain"][better], out["left"][better] = gain[better], n1[every, at][better]
-    return out | {"value": s / np.maximum(n, 1), "size": n}
+        out["left_sum"][better] = s1[every, at][better]
+    return out | {"sum": s, "value": s / np.maximum(n, 1), "size": n}
+
+
+@dataclass
+class Open:
+    """Nodes of one level whose rows lie one after another, siblings beside each other, and the sums of their parents."""
+
+    nodes: np.ndarray
+    edges: np.ndarray
+    words: list[np.ndarray]
+    values: list[np.ndarray]
+    above: list[np.ndarray] = field(default_factory=list)
+
+
+def _sums(codes: Codes, now: Open, scale: float) -> list[np.ndarray]:
+    sizes, slots = np.diff(now.edges), len(now.nodes)
+    if not now.above or not scale:  # differences of rounded sums would not be sums
+        return [codes.sums(now.words, sizes, slots, v) for v in now.values]
+    fewer = 2 * np.arange(slots // 2) + (sizes[1::2] < sizes[::2])
+    counted = np.zeros(slots, bool)
+    counted[fewer] = True
+    rows = np.flatnonzero(np.repeat(counted, sizes))
+    words = [np.take(w, rows) for w in now.words]
+    out = []
+    for v, whole in zip(now.values, now.above):
+        part = codes.sums(words, sizes[fewer], len(fewer), np.take(v, rows))
+        both = np.empty((slots, part.shape[1]))
+        both[fewer], both[fewer ^ 1] = part, whole - part
+        out.append(both)
+    return out
+
+
+def subtree(root: int, codes: Codes, words: list[np.ndarray], label: np.ndarray, weight: np.ndarray, limits: Limits) -> dict[str, np.ndarray]:
+    """All nodes of the subtree under `root` over its rows. Parts of a level are finished before their neighbours."""
+    parts: dict[str, list] = {c: [] for c in KINDS}
+
+    def write(node, feature, bin, value, gain, size):
+        for c, x in zip(KINDS, (node, feature, bin, value, gain, size)):
+            parts[c].append(np.asarray(x).astype(KINDS[c]))
+
+    values, scale = weighted(label, weight)
+    work = [Open(np.array([root]), np.array([0, len(label)]), words, values)]
+    while work:
+        now = work.pop()
+        sums = _sums(codes, now, scale)
+        counts, totals = parted(sums, scale)
+        ranges = list(zip(codes.edges, codes.edges[1:]))
+        found = best_splits(((counts[:, a:b], totals[:, a:b]) for a, b in ranges), len(now.nodes), limits.min_instances)
+        depth = int(now.nodes[0]).bit_length()
+        if depth > limits.max_depth:
+            found["feature"][:], found["gain"][:], found["bin"][:] = -1, 0, 0
+        write(now.nodes, *[found[c] for c in ("feature", "bin", "value", "gain", "size")])
+        split = np.flatnonzero(found["feature"] >= 0)
+        if not len(split):
+            continue
+        children = 2 * now.nodes[split][:, None] + [0, 1]
+        left, left_sum = found["left"][split], found["left_sum"][split]
+        size = np.stack([left, found["size"][split] - left], axis=1)
+        total = np.stack([left_sum, found["sum"][split] - left_sum], axis=1)
+        further = (size >= 2 * limits.min_instances).any(axis=1) if depth < limits.max_depth else np.zeros(len(split), bool)
+        ends = size[~further].ravel()
+        none = np.zeros(len(ends))
+        write(children[~further].ravel(), none - 1, none, total[~further].ravel() / np.maximum(ends, 1), none, ends)
+        for k in range(0, int(further.sum()), NODES_AT_ONCE // 2):
+            some = np.flatnonzero(further)[k : k + NODES_AT_ONCE // 2]
+            order, edges = [], [0]
+            for s in split[some].tolist():
+                a, b, f = now.edges[s], now.edges[s + 1], int(found["feature"][s])
+                right = codes.bins([w[a:b] for w in now.words], f) > found["bin"][s]
+                for side in (~right, right):
+                    order.append(np.flatnonzero(side) + a)
+                    edges.append(edges[-1] + len(order[-1]))
+            rows = np.concatenate(order)
+            work.append(Open(children[some].ravel(), np.array(edges), [np.take(w, rows) for w in now.words],
+                             [np.take(v, rows) for v in now.values], [x[split[some]] for x in sums]))
+    return {c: np.concatenate(x) for c, x in parts.items()}
 
 
 def grown(root: int, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, limits: Limits) -> dict[str, np.ndarray]:
-    """All nodes of the subtree under `root` over its rows."""
-    parts: dict[str, list] = {c: [] for c in KINDS}
-    nodes, slot, weight = np.array([root]), np.zeros(len(label), np.int64), weight.astype(float)
-    while len(nodes):
-        deepest = int(nodes[0]).bit_length() > limits.max_depth
-        found = best_splits(histogram(slot, bins[:1] if deepest else bins, len(nodes), weight, label), len(nodes), limits.min_instances)
-        if deepest:
-            found["feature"][:], found["gain"][:] = -1, 0
-        for c in KINDS:
-            parts[c].append((nodes if c == "node" else found[c]).astype(KINDS[c]))
-        split = found["feature"] >= 0
-        place = np.cumsum(split) - 1  # among the nodes that are split
-        keep = np.flatnonzero(split[slot])
-        slot, bins, label, weight = slot[keep], bins[:, keep], label[keep], weight[keep]
-        right = bins[found["feature"][slot], np.arange(len(slot))] > found["bin"][slot]
-        slot = 2 * place[slot] + right
-        nodes = np.stack([2 * nodes[split], 2 * nodes[split] + 1], axis=1).ravel()
-    return {c: np.concatenate(x) for c, x in parts.items()}
+    """All nodes of the subtree under `root` over rows with these bins, a row per feature."""
+    codes = Codes([int(x.max(initial=0)) + 1 for x in bins])
+    return subtree(root, codes, list(codes.words_of(bins)), label, weight, limits)
 
 
 class Tree:
     """Nodes in the order of their numbers, so that siblings are neighbours."""
 
     def __init__(self, node, feature, bin, value):
-        order = np.argsort(node)
+        order = np.argsort(node, kind="stable")  # quick where they are in order
         self.node, self.feature, self.bin, self.value = node[order], feature[order], bin[order], value[order]
-        self.left = np.searchsorted(self.node, 2 * self.node)
         self.steps = int(self.node[-1]).bit_length() - 1
 
     def parts(self) -> tuple:
         """What makes the tree anew on a worker, which may not have this package."""
         return self.node, self.feature, self.bin, self.value
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The place of each row's last node."""
-        at, every = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
+    def ready(self) -> Tree:
+        """The tree with what `leaves` needs: a row that is at a leaf stays there."""
+        inner = self.feature >= 0
+        left = np.where(inner, np.searchsorted(self.node, 2 * self.node), np.arange(len(self.node)))
+        self.step = left << 24 | np.where(inner, self.feature, 0).astype(np.int64) << 8 | np.where(inner, self.bin, 255)
+        return self
+
+    def leaves(self, flat: np.ndarray, rows: int) -> np.ndarray:
+        """The place of each row's last node; flat: the bins of the first row, of the second and so on."""
+        at = np.zeros(rows, np.int64)
+        first = np.arange(rows) * (len(flat) // max(rows, 1))
         for _ in range(self.steps):
-            feature = self.feature[at]
-            after = self.left[at] + (bins[feature, every] > self.bin[at])
-            at = np.where(feature < 0, at, after)
+            step = np.take(self.step, at)
+            at = (step >> 24) + (np.take(flat, (step >> 8 & 0xFFFF) + first) > (step & 0xFF))
         return at
 
 
@@ -164,25 +332,74 @@ class Trees:
 
         @F.pandas_udf("double")
         def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            ends, trees = sent.value[0], [Tree(*p) for p in sent.value[1]]
+            ends, trees = sent.value[0], [Tree(*p).ready() for p in sent.value[1]]
             for features in batches:
                 if not len(features):
                     yield pd.Series([], dtype=float)
                     continue
-                bins = binned(np.stack(features.to_numpy()), ends)
-                yield pd.Series(sum(t.value[t.leaves(bins)] for t in trees) / len(trees))
+                flat = binned(np.stack(features.to_numpy()), ends).T.ravel()
+                yield pd.Series(sum(t.value[t.leaves(flat, len(features))] for t in trees) / len(trees))
 
         return predicted
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]:
-    """Rows, labels and bins of about ROWS_A_CHUNK rows at a time."""
+class Boxes:
+    """Parts of the feature space that nodes stand for: the root's, and what a split leaves of another.
+
+    Nodes with the same bounds have the same box, in whatever tree and by whatever order of splits.
+    """
+
+    def __init__(self):
+        self.steps: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]  # the larger box, feature, bin, 1: right side
+        self.bounds: list[dict[int, tuple[int, int]]] = [{}]
+        self.numbers = {frozenset(): 0}
+
+    def child(self, box: int, feature: int, bin: int, right: int) -> int:
+        low, high = self.bounds[box].get(feature, (0, BINS - 1))
+        now = self.bounds[box] | {feature: (max(low, bin + 1), high) if right else (low, min(high, bin))}
+        key = frozenset(now.items())
+        if key not in self.numbers:
+            self.numbers[key] = len(self.steps)
+            self.steps.append((box, feature, bin, right))
+            self.bounds.append(now)
+        return self.numbers[key]
+
+
+class Members:
+    """The rows of a block that lie in each box."""
+
+    def __init__(self, codes: Codes, words: list[np.ndarray], steps: list[tuple[int, int, int, int]]):
+        self.codes, self.words, self.steps = codes, words, steps
+        self.found, self.sides = {0: np.arange(len(words[0]))}, {}
+
+    def of(self, box: int) -> np.ndarray:
+        if box not in self.found:
+            larger, feature, bin, right = self.steps[box]
+            rows, ask = self.of(larger), (larger, feature, bin)
+            if ask not in self.sides:
+                self.sides[ask] = self.codes.bins([np.take(w, rows) for w in self.words], feature) > bin
+            side = self.sides[ask]
+            self.found[box] = rows[np.flatnonzero(side if right else ~side)]
+        return self.found[box]
+
+
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    """The values of a column of equally long binaries, one after another."""
+    if not len(column):
+        return np.array([], kind)
+    at = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    at = at[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple]:
+    """Rows, labels and words of about ROWS_A_CHUNK rows at a time."""
     held, n = [], 0
 
     def out():
-        row, label, bins = (pa.concat_arrays([b[c] for b in held]) for c in ("row", "label", "bins"))
-        flat = np.frombuffer(b"".join(bins.to_pylist()), np.uint8)
-        return row.to_numpy(), label.to_numpy(), np.ascontiguousarray(flat.reshape(-1, features).T)
+        row, label = (pa.concat_arrays([b[c] for b in held]).to_numpy() for c in ("row", "label"))
+        flat = np.concatenate([_numbers(b["words"], np.uint64) for b in held])
+        return row, label, list(np.ascontiguousarray(flat.reshape(-1, words).T))
 
     for batch in batches:
         if batch.num_rows:
@@ -195,128 +412,174 @@ def _blocks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]
         yield out()
 
 
-def _split_large(table: DataFrame, tops: list[Tree], wanted: list[tuple[int, int]], features: int, limits: Limits) -> list:
-    """One row per wanted (tree, node): its best split."""
-    slots: dict[int, dict[int, int]] = {}
-    for tree, node in wanted:
-        slots.setdefault(tree, {})[node] = len(slots.get(tree, {}))
-    sent = table.sparkSession.sparkContext.broadcast(([t.parts() for t in tops], slots))
+def _split_large(table: DataFrame, codes: Codes, boxes: Boxes, wanted: list[tuple[int, int]], limits: Limits) -> list:
+    """One row per wanted (tree, box): its best split."""
+    trees_of: dict[int, list[int]] = {}
+    for tree, box in wanted:
+        trees_of.setdefault(box, []).append(tree)
+    sizes, features = codes.sizes, len(codes.sizes)
+    sent = table.sparkSession.sparkContext.broadcast((trees_of, boxes.steps))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, slots = [Tree(*p) for p in sent.value[0]], sent.value[1]
-        sums = {t: np.zeros((2, features, len(of), BINS)) for t, of in slots.items()}
+        (trees_of, steps), codes, table = sent.value, Codes(sizes), draws()
+        sums = {box: np.zeros((2, len(of), codes.edges[-1])) for box, of in trees_of.items()}
         first = None
-        for row, label, bins in _blocks(batches, features):
+        for row, label, words in _blocks(batches, codes.words):
             first = int(row[0]) if first is None else first
-            for t, of in slots.items():
-                weight = weights(row, t, limits.seed)
-                place = np.array([of.get(n, -1) for n in tops[t].node.tolist()])[tops[t].leaves(bins)]
-                keep = np.flatnonzero((weight > 0) & (place >= 0))
-                found = histogram(place[keep], bins[:, keep], len(of), weight[keep].astype(float), label[keep])
-                for f, (counts, totals) in enumerate(found):
-                    sums[t][0, f] += counts
-                    sums[t][1, f] += totals
-        for t, of in slots.items() if first is not None else ():
+            members = Members(codes, words, steps)
+            for box, of in trees_of.items():
+                rows = members.of(box)
+                own, own_row, own_label = [np.take(w, rows) for w in words], np.take(row, rows), np.take(label, rows)
+                for k, tree in enumerate(of if len(rows) else ()):
+                    values, scale = weighted(own_label, weights(own_row, tree, limits.seed, table))
+                    counts, totals = parted([codes.sums(own, None, 1, v) for v in values], scale)
+                    sums[box][0, k] += counts[0]
+                    sums[box][1, k] += totals[0]
+        for box, of in trees_of.items() if first is not None else ():
             yield pa.RecordBatch.from_pydict({
-                "tree": pa.array([t] * len(of), pa.int32()), "node": list(of), "first": [first] * len(of),
-                **{c: [sums[t][k, :, s].tobytes() for s in of.values()] for k, c in enumerate(("counts", "sums"))}})
+                "tree": pa.array(of, pa.int32()), "box": pa.array([box] * len(of), pa.int32()), "first": [first] * len(of),
+                **{c: [x.tobytes() for x in sums[box][k]] for k, c in enumerate(("counts", "sums"))}})
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first")
-        counts, sums = (sum(np.frombuffer(x).reshape(features, 1, BINS) for x in rows[c]) for c in ("counts", "sums"))
-        found = best_splits(zip(counts, sums), 1, limits.min_instances)
-        return pd.DataFrame({"tree": rows["tree"].iloc[:1], "node": rows["node"].iloc[:1], **{
-            c: found[c][:1].astype(float if c in ("value", "gain", "size", "left") else int) for c in found}})
-
-    return table.mapInArrow(summed, SUMS).groupBy("tree", "node").applyInPandas(
-        best, "tree int, node long, feature int, bin int, value double, gain double, size double, left double").collect()
-
-
-def _grow_small(table: DataFrame, tops: list[Tree], small: list[set[int]], features: int, limits: Limits) -> DataFrame:
+        edges = np.cumsum([0, *sizes])
+        counts, sums = (sum(np.frombuffer(x) for x in rows[c])[None] for c in ("counts", "sums"))
+        found = best_splits(((counts[:, a:b], sums[:, a:b]) for a, b in zip(edges, edges[1:])), 1, limits.min_instances)
+        names = ("feature", "bin", "value", "gain", "size", "left")
+        return pd.DataFrame({"tree": rows["tree"].iloc[:1], "box": rows["box"].iloc[:1], **{
+            c: found[c][:1].astype(int if c in ("feature", "bin") else float) for c in names}})
+
+    return table.mapInArrow(summed, SUMS).groupBy("tree", "box").applyInPandas(
+        best, "tree int, box int, feature int, bin int, value double, gain double, size double, left double").collect()
+
+
+def _groups(small: list[tuple[int, int, int, float]], trees: int, most_rows: int) -> tuple[list, int]:
+    """Part, box and (tree, node) pairs of each group, and the number of parts, whose work is about equal.
+
+    small: tree, node, box and about how many rows each node has.
+    """
+    by_box: dict[int, list] = {}
+    for tree, node, box, size in small:
+        by_box.setdefault(box, []).append((tree, node, size))
+    each = min(max(len(by_box) * trees // LEAST_GROUPS, 4), TREES_A_GROUP)
+    groups = []
+    for box, nodes in by_box.items():
+        count = -(-len(nodes) // each)
+        groups += [(box, nodes[len(nodes) * k // count : len(nodes) * (k + 1) // count]) for k in range(count)]
+    work = np.array([sum(size for _, _, size in nodes) + 1 for _, nodes in groups], float)
+    parts = min(len(groups), max(2 * LEAST_GROUPS, int(work.sum() / most_rows / TREES_A_GROUP)))
+    before = np.cumsum(work) - work
+    place = np.minimum((before / work.sum() * parts).astype(int), parts - 1).tolist()
+    return [(p, box, [(t, n) for t, n, _ in nodes]) for p, (box, nodes) in zip(place, groups)], parts
+
+
+def _grow_small(table: DataFrame, codes: Codes, boxes: Boxes, small: list[tuple], trees: int, most_rows: int, limits: Limits) -> DataFrame:
     """The subtrees of all small nodes, each grown over its own rows."""
-    sent = table.sparkSession.sparkContext.broadcast(([t.parts() for t in tops], small))
+    groups, parts = _groups(small, trees, most_rows)
+    sizes = codes.sizes
+    sent = table.sparkSession.sparkContext.broadcast((groups, boxes.steps))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, small = [Tree(*p) for p in sent.value[0]], sent.value[1]
-        for row, label, bins in _blocks(batches, features):
-            for t, top in enumerate(tops):
-                weight, place = weights(row, t, limits.seed), top.leaves(bins)
-                drawn = np.flatnonzero(weight)
-                drawn = drawn[np.argsort(place[drawn], kind="stable")]
-                at = place[drawn]
-                edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-                parts = [drawn[a:b] for a, b in zip(edges, edges[1:]) if b > a and int(top.node[at[a]]) in small[t]]
-                for p in parts:
+        (groups, steps), codes, table = sent.value, Codes(sizes), draws()
+        for row, label, words in _blocks(batches, codes.words):
+            members = Members(codes, words, steps)
+            for k, (part, box, nodes) in enumerate(groups):
+                rows = members.of(box)
+                if len(nodes) == 1:
+                    rows = rows[np.flatnonzero(weights(np.take(row, rows), nodes[0][0], limits.seed, table))]
+                if len(rows):
                     yield pa.RecordBatch.from_pydict({
-                        "tree": pa.array([t], pa.int32()), "node": [int(top.node[place[p[0]]])], "first": [int(row[p[0]])],
-                        "label": [label[p].tobytes()], "weight": [weight[p].tobytes()], "bins": [bins[:, p].tobytes()]})
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first")
-        label, weight = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("label", float), ("weight", np.uint8)))
-        bins = np.concatenate([np.frombuffer(x, np.uint8).reshape(features, -1) for x in rows["bins"]], axis=1)
-        found = grown(int(rows["node"].iloc[0]), bins, label, weight, limits)
-        return pd.DataFrame({"tree": rows["tree"].iloc[:1].tolist(), **{c: [x.tobytes()] for c, x in found.items()}})
-
-    return table.mapInArrow(dealt, CHUNKS).groupBy("tree", "node").applyInPandas(grow, GROWN)
-
-
-def train(rows: DataFrame, label: str, features: Column, trees: int, limits: Limits, most_rows: int = MOST_ROWS) -> Trees:
-    """features: an array of numbers. The order of rows within the partitions of `rows` names them, so it must be fixed."""
-    spark = rows.sparkSession
+                        "part": pa.array([part], pa.int32()), "group": pa.array([k], pa.int32()), "first": [int(row[rows[0]])],
+                        "row": [row[rows].tobytes()], "label": [label[rows].tobytes()], "words": [b"".join(w[rows].tobytes() for w in words)]})
+
+    def subtrees(group: int, chunks: list[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes = Codes(sizes)
+        row, label = (np.concatenate([np.frombuffer(c[name][0].as_buffer(), kind) for c in chunks]) for name, kind in (("row", np.int64), ("label", float)))
+        blocks = [np.frombuffer(c["words"][0].as_buffer(), np.uint64).reshape(codes.words, -1) for c in chunks]
+        words = [np.concatenate([b[k] for b in blocks]) for k in range(codes.words)]
+        del blocks, chunks[:]
+        for tree, node in sent.value[0][group][2]:
+            weight = weights(row, tree, limits.seed, table)
+            drawn = np.flatnonzero(weight)
+            if not len(drawn):
+                continue
+            found = subtree(node, codes, [np.take(w, drawn) for w in words], label[drawn], weight[drawn], limits)
+            split = found["feature"] >= 0
+            gains = np.bincount(found["feature"][split], found["gain"][split], len(sizes))
+            yield pa.RecordBatch.from_pydict({
+                "tree": pa.array([tree], pa.int32()), **{c: [found[c].tobytes()] for c in KEPT}, "gains": [gains.tobytes()]})
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now, held = draws(), None, []
+        for batch in batches:
+            for k, group in enumerate(batch["group"].to_pylist()):
+                if held and group != now:
+                    yield from subtrees(now, held, table)
+                now = group
+                held.append(batch.slice(k, 1))
+        if held:
+            yield from subtrees(now, held, table)
+
+    together = table.mapInArrow(dealt, CHUNKS).repartitionById(parts, "part").sortWithinPartitions("group", "first")
+    return together.mapInArrow(grow, GROWN)
+
+
+def train(rows: DataFrame, label: str, features: Column | Sequence[Column], trees: int, limits: Limits, most_rows: int = MOST_ROWS) -> Trees:
+    """features: numbers, or an array of numbers. The order of rows within the partitions of `rows` names them, so it must be fixed."""
+    if isinstance(features, Column):
+        found = rows.select(F.size(features)).first()
+        features = [F.get(features, F.lit(k)) for k in range(found[0] if found else 0)]
+    columns = [f"x{k}" for k in range(len(features))]
     named = durable(rows.select(
-        F.monotonically_increasing_id().alias("row"), F.col(label).cast("double").alias("label"), features.alias("features")), "forest_named")
+        F.monotonically_increasing_id().alias("row"), F.col(label).cast("double").alias("label"),
+        *[x.cast("double").alias(c) for x, c in zip(features, columns)]), "forest_named")
     n = named.count()
     if not n:
         raise ValueError("there are no rows to train a forest on")
     share = int(min(SAMPLE / n, 1.0) * 1_000_000)
-    drawn = named.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < share).select("row", "features").collect()
-    sample = np.array([r.features for r in sorted(drawn, key=lambda r: r.row)] or [named.first().features], dtype=float)
+    drawn = named.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < share).drop("label").collect()
+    sample = np.array([r[1:] for r in sorted(drawn)] or [named.first()[2:]], dtype=float)
     ends = [bin_ends(x) for x in sample.T]
-    width = len(ends)
-
-    @F.pandas_udf("binary")
-    def as_bins(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        return pd.Series([r.tobytes() for r in np.ascontiguousarray(binned(np.stack(x.to_numpy()), ends).T)])
-
-    table = durable(named.select("row", "label", as_bins("features").alias("bins")), "forest_bins")
-    known: list[dict[str, list]] = [{c: [] for c in KINDS} for _ in range(trees)]
-    small: list[set[int]] = [set() for _ in range(trees)]
-    open_nodes = [(t, 1) for t in range(trees)]
+    sizes, width = [len(e) + 1 for e in ends], len(ends)
+    codes = Codes(sizes)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(sizes)
+        for batch in batches:
+            values = (batch[f"x{k}"].to_numpy(zero_copy_only=False) for k in range(width))
+            bins = np.stack([np.searchsorted(e, x).astype(np.uint8) for e, x in zip(ends, values)])
+            words = codes.words_of(bins).T.tobytes()
+            each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * codes.words), batch.num_rows, [None, pa.py_buffer(words)])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["label"], each.cast(pa.binary())], ["row", "label", "words"])
+
+    table = durable(named.mapInArrow(coded, "row long, label double, words binary"), "forest_codes")
+    known: list[dict[str, list]] = [{c: [] for c in KEPT} for _ in range(trees)]
+    gains, boxes = np.zeros((trees, width)), Boxes()
+    small: list[tuple[int, int, int, float]] = []
+    open_nodes = [(t, 1, 0, float(n)) for t in range(trees)]
     if n <= most_rows:
-        small, open_nodes = [{1} for _ in range(trees)], []
-
-    def tops() -> list[Tree]:
-        """The trees so far; nodes that wait are leaves."""
-        out = []
-        for t in range(trees):
-            waiting = [*small[t], *[x for k, x in open_nodes if k == t]]
-            one = [np.array([*known[t][c], *[v] * len(waiting)], KINDS[c]) for c, v in (("feature", -1), ("bin", 0), ("value", 0.0))]
-            out.append(Tree(np.array([*known[t]["node"], *waiting], np.int64), *one))
-        return out
-
+        small, open_nodes = open_nodes, []
     while open_nodes:
-        now, following = tops(), []
+        following, nodes = [], {(t, box): node for t, node, box, _ in open_nodes}
         for k in range(0, len(open_nodes), NODES_A_JOB):
-            for r in _split_large(table, now, open_nodes[k : k + NODES_A_JOB], width, limits):
-                leaf = r.feature < 0 or r.node.bit_length() > limits.max_depth
-                for c in KINDS:
-                    known[r.tree][c].append({"feature": -1, "gain": 0.0}.get(c, r[c]) if leaf else r[c])
-                for child, size in () if leaf else ((2 * r.node, r.left), (2 * r.node + 1, r.size - r.left)):
-                    if size > most_rows:
-                        following.append((r.tree, child))
-                    else:
-                        small[r.tree].add(child)
+            wanted = [(t, box) for t, _, box, _ in open_nodes[k : k + NODES_A_JOB]]
+            for r in sorted(_split_large(table, codes, boxes, wanted, limits)):
+                node = nodes[r.tree, r.box]
+                leaf = r.feature < 0 or node.bit_length() > limits.max_depth
+                for c, x in zip(KEPT, (node, -1, 0, r.value) if leaf else (node, r.feature, r.bin, r.value)):
+                    known[r.tree][c].append(x)
+                if leaf:
+                    continue
+                gains[r.tree, r.feature] += r.gain
+                for right, size in enumerate((r.left, r.size - r.left)):
+                    child = (r.tree, 2 * node + right, boxes.child(r.box, r.feature, r.bin, right), size)
+                    (following if size > most_rows else small).append(child)
         open_nodes = sorted(following)
-    for r in durable(_grow_small(table, tops(), small, width, limits), "forest_subtrees").collect():  # a node has 28 bytes
-        for c, kind in KINDS.items():
-            known[r.tree][c].append(np.frombuffer(r[c], kind))
-    whole, gains = [], np.zeros((trees, width))
-    for t, parts in enumerate(known):
-        one = {c: np.concatenate([np.atleast_1d(np.asarray(x, kind)) for x in parts[c]]) for c, kind in KINDS.items()}
-        split = one["feature"] >= 0
-        np.add.at(gains[t], one["feature"][split], one["gain"][split])
-        whole.append(Tree(one["node"], one["feature"], one["bin"], one["value"]))
+    if small:
+        subtrees = durable(_grow_small(table, codes, boxes, small, trees, most_rows, limits), "forest_subtrees")
+        for r in subtrees.toLocalIterator():  # a node has 19 bytes
+            for c in KEPT:
+                known[r.tree][c].append(np.frombuffer(r[c], KINDS[c]))
+            gains[r.tree] += np.frombuffer(r.gains)
+    whole = [Tree(*[np.concatenate([np.atleast_1d(np.asarray(x, KINDS[c])) for x in parts[c]]) for c in KEPT]) for parts in known]
     return Trees(ends, whole, gains)
