@@ -340,7 +340,7 @@ class Trees:
                 flat = binned(np.stack(features.to_numpy()), ends).T.ravel()
                 yield pd.Series(sum(t.value[t.leaves(flat, len(features))] for t in trees) / len(trees))
 
-        return predicted
+        return predicted.asNondeterministic()  # else a plan that uses a prediction twice may make it twice
 
 
 class Boxes:

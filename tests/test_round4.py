@@ -110,6 +110,19 @@ def test_rows_are_written_once_before_training(spark, fact, monkeypatch):
     assert fit.predictions().count() > 0 and other.count() == 0
 
 
+def test_a_prediction_that_is_used_twice_is_made_once(spark):
+    """Steps that feed predictions back would double their work with each step."""
+    ends, one = [np.array([2.5]), np.array([0.5])], np.array
+    tree = forest.Tree(one([1, 2, 3]), one([0, -1, -1], np.int16), one([0, 0, 0], np.uint8), one([0.0, 1.0, 4.0]))
+    model = M.Forest(M.Inputs(("a", "b"), {}), forest.Trees(ends, [tree], np.ones((1, 2))))
+    state = spark.createDataFrame([([1.0, 2.0],), ([5.0, 5.0],)], "recent array<double>")
+    for _ in range(4):
+        scored = model.transform(state.withColumns({"a": F.element_at("recent", -1), "b": F.element_at("recent", -2)}))
+        state = scored.select(F.concat(F.slice("recent", 2, 1), F.array("prediction")).alias("recent"))
+    assert state._jdf.queryExecution().optimizedPlan().toString().count("predicted(") == 4
+    assert sorted(r.recent for r in state.collect()) == [[1.0, 1.0], [4.0, 4.0]]
+
+
 def test_texts_become_one_number_for_each_label(spark):
     inputs = M.Inputs(("n",), {"t": ("a", "b")})
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "n int, t string")
